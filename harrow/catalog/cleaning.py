@@ -62,10 +62,10 @@ view("bar_filled", """
   f as (partition by symbol order by d rows between current row and unbounded following))""")
 
 
-@query("acu_despike", f"select symbol, d, {sround('close', 8)} as close from bar_filled")
+@query("acu_despike", f"select symbol, d, {sround('ln(close)', 8)} log_close from bar_filled")
 def acu_despike(spark, sf):
     out = clean.despike(t.bars(spark, sf).select("symbol", "d", "close"), ["symbol"], "d", {"close": 0.06})
-    return out.select("symbol", "d", rounded("close", 8).alias("close"))
+    return out.select("symbol", "d", rounded(F.ln("close"), 8).alias("log_close"))
 
 
 @query("interpolate_linear", f"""
