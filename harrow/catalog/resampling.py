@@ -19,11 +19,11 @@ def _r(df, keys, cols):
 
 
 @query("resample_ohlcv_weekly", f"""
- select symbol, {WEEK} as week, {sround('arg_min(open,d)')} open, {sround('max(high)')} high, {sround('min(low)')} low,
+ select symbol, {WEEK} as week, {sround('arg_min(open,d)')} open, {sround('max(high)', 9)} high, {sround('min(low)', 9)} low,
   {sround('arg_max(close,d)')} as close, sum(volume) volume from bars group by 1,2""")
 def resample_ohlcv_weekly(spark, sf):
     out = S.to_weeks(t.bars(spark, sf), ["symbol"], "d", S.MARKET_WEEKLY, complete=True, week="week")
-    return _r(out, ["symbol", "week"], ["open", "high", "low", "close", "volume"])
+    return out.select("symbol", "week", *[rounded(c, 9).alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
 @query("resample_weather_weekly", f"""
@@ -65,10 +65,10 @@ def resample_last_weekly(spark, sf):
     return _r(S.to_weeks(t.fx(spark, sf), [], "d", {"close": "last"}, week="week"), ["week"], ["close"])
 
 
-@query("resample_mean_weekly", f"select symbol, {WEEK} as week, {sround('avg(close)', 5)} as close, {sround('avg(volume)')} volume from bars group by 1,2")
+@query("resample_mean_weekly", f"select symbol, {WEEK} as week, {sround('avg(close)', 9)} as close, {sround('avg(volume)')} volume from bars group by 1,2")
 def resample_mean_weekly(spark, sf):
     out = S.to_weeks(t.bars(spark, sf), ["symbol"], "d", {"close": "mean", "volume": "mean"}, week="week")
-    return out.select("symbol", "week", rounded("close", 5).alias("close"), rounded("volume").alias("volume"))
+    return out.select("symbol", "week", rounded("close", 9).alias("close"), rounded("volume").alias("volume"))
 
 
 @query("region_backbone", f"select d, {sround('avg(temp_max)')} temp_max, {sround('avg(precip)')} precip from weather group by 1")

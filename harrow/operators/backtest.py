@@ -1,2 +1,193 @@
-"""Backtests."""
+"""Backtests of dated signals, one grouped job over all (tag, model) pairs.
+
+Trades are keyed by series and ordered by a DATE, so a series is bounded by the calendar.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.nullsafe import col, is_true, ratio
+from ..functions.scalars import cost_verdict, gate_verdict
+from .joins import cross_grid
+from .metrics import quantiles
+from .ordered import Run, positions, running
+from .splits import draw_index, stride
+
+# Backtest settings.
+PERIODS = 52
+RISK_FREE = 0.04
+RISK_FREE_BY_YEAR = 0.02
 COSTS = [0.0, 0.0005, 0.001, 0.002, 0.003, 0.005]
+LEVEL_DAILY, LEVEL_WEEKLY = 0.33, 0.25
+TOP_SHARE = 0.75
+MIN_ROWS, MIN_ROWS_YEAR = 10, 5
+
+
+def threshold_signal(p: str | Column, threshold: Column) -> Column:
+    return (col(p) >= threshold).cast("int")
+
+
+def long_short_signal(p_up: str, p_down: str, level: Column | float, shorts: Column) -> Column:
+    """+1 above the level, else -1 for series that may go short, else 0. Scores are 32-bit."""
+    up = F.col(p_up).cast("float") > level
+    down = F.col(p_down).cast("float") > level
+    return F.when(up, 1).when(down & shorts, -1).otherwise(0)
+
+
+def class_signal(c: str) -> Column:
+    return F.when(F.col(c) == 2, 1).when(F.col(c) == 0, -1).otherwise(0)
+
+
+def percentile_signal(df: DataFrame, keys: list[str], pred: str, share: float = TOP_SHARE) -> DataFrame:
+    """Add `signal`: prediction above the group's own percentile; predictions are 32-bit."""
+    x = df.withColumn("__p", F.col(pred).cast("float").cast("double"))
+    cut = quantiles(x, keys, "__p", {"__cut": share}, bounded=True)
+    return x.join(cut, keys).withColumn("signal", (F.col("__p") > F.col("__cut")).cast("int")).drop("__p", "__cut")
+
+
+def strategy_return(signal: str = "signal", r: str = "r") -> Column:
+    return F.when(F.col(signal) != 0, F.col(signal) * F.col(r)).otherwise(F.lit(0.0))
+
+
+def sharpe(r: str | Column, rf: float = RISK_FREE, periods: int = PERIODS) -> Column:
+    """Annualised Sharpe ratio as an aggregate; null for fewer than two or constant returns."""
+    c = col(r)
+    value = F.try_divide(F.avg(c) - rf / periods, F.stddev_pop(c)) * math.sqrt(periods)
+    return F.when(F.count(c) >= 2, value)
+
+
+def win_rate(signal: str | Column, strat: str | Column) -> Column:
+    """Share of trades that gained."""
+    return F.avg(F.when(col(signal) != 0, (col(strat) > 0).cast("double")))
+
+
+def equity(df: DataFrame, keys: list[str], d: str, cols: dict[str, str]) -> DataFrame:
+    """Cumulative product of 1 + return for each {out: return column}."""
+    return running(df, keys, d, {out: Run("product", 1 + F.col(r)) for out, r in cols.items()})
+
+
+def drawdowns(df: DataFrame, keys: list[str], d: str, eq: str, out: str) -> DataFrame:
+    """Equity against its running peak; the peak starts at the first equity value."""
+    peak = running(df, keys, d, {"__peak": Run("max", F.col(eq))})
+    return peak.withColumn(out, ratio(F.col(eq) - F.col("__peak"), "__peak")).drop("__peak")
+
+
+def summarize(trades: DataFrame, keys: list[str], d: str = "d", rf: float = RISK_FREE) -> DataFrame:
+    """All backtest metrics of (signal, r) rows per key."""
+    t = trades.withColumn("strat", strategy_return())
+    t = equity(t, keys, d, {"eq": "strat"})
+    t = drawdowns(t, keys, d, "eq", "dd")
+    active = F.col("signal") != 0
+    out = t.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_test"),
+        F.count_if(active).alias("n_trades"),
+        sharpe("strat", rf).alias("sharpe"),
+        F.min("dd").alias("max_drawdown"),
+        win_rate("signal", "strat").alias("win_rate"),
+        (F.product(1 + F.col("strat")) - 1).alias("total_return"),
+        sharpe("r", rf).alias("bh_sharpe"),
+        (F.product(1 + F.col("r")) - 1).alias("bh_total_return"),
+    )
+    return out.withColumn("trade_rate", ratio("n_trades", "n_test"))
+
+
+def compare(rows: DataFrame, keys: list[str], signal: Column, step: Column | int = 7, d: str = "d") -> DataFrame:
+    """Backtest every key with at least ten aligned rows, best Sharpe first within a tag.
+
+    `rows` holds predictions joined with returns; the stride runs after the join.
+    """
+    enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= MIN_ROWS)
+    kept = rows.join(enough.select(*keys), keys, "left_semi")
+    trades = stride(kept, keys, d, step).withColumn("signal", signal)
+    return summarize(trades, keys, d)
+
+
+def equity_curve(rows: DataFrame, keys: list[str], signal: Column, step: int = 1, d: str = "d") -> DataFrame:
+    """Dated equity of strategy and benchmark; step 1 compounds overlapping returns."""
+    t = rows if step == 1 else stride(rows, keys, d, step)
+    t = t.withColumn("signal", signal).withColumn("strat", strategy_return())
+    t = equity(t, keys, d, {"model_equity": "strat", "bh_equity": "r"})
+    return t.select(*keys, d, "model_equity", "bh_equity")
+
+
+def by_year(trades: DataFrame, keys: list[str], d: str = "d", rf: float = RISK_FREE_BY_YEAR) -> DataFrame:
+    """Metrics per calendar year and for ALL, for groups of at least five rows."""
+    groups = F.explode(F.array(F.year(d).cast("string"), F.lit("ALL"))).alias("year")
+    rows = trades.select("*", groups)
+    out = summarize(rows, [*keys, "year"], d, rf).filter(F.col("n_test") >= MIN_ROWS_YEAR)
+    traded = F.col("n_trades") > 0
+    return out.select(
+        *keys, "year", F.col("n_test").alias("n"), "n_trades",
+        F.when(traded, F.col("sharpe")).alias("sharpe"),
+        F.when(traded, F.col("max_drawdown")).alias("mdd"),
+        F.col("win_rate").alias("winrate"),
+    )
+
+
+def viability(years: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of years with a positive Sharpe ratio, and the verdict on it."""
+    yearly = years.filter(F.col("year") != "ALL")
+    out = yearly.groupBy(*keys).agg(
+        F.count_if(is_true(F.col("sharpe") > 0)).alias("good_years"), F.count(F.lit(1)).alias("years")
+    )
+    return out.withColumn("verdict", gate_verdict(F.col("good_years"), F.col("years")))
+
+
+def bootstrap_draws(trades: DataFrame, keys: list[str], value: str, draws: int, d: str = "d", chunk: int = 50) -> DataFrame:
+    """(keys, b, sample): `draws` resamples with replacement of each key's values.
+
+    A key's strided returns are one array (calendar-bounded); draws index into it inside the row,
+    so the draws are never shuffled. Draw numbers are spread in chunks over the cluster.
+    """
+    p = positions(trades, keys, d, "__rn")
+    pairs = F.array_sort(F.collect_list(F.struct("__rn", F.col(value).alias("v"))))
+    arrays = p.groupBy(*keys).agg(F.transform(pairs, lambda s: s["v"]).alias("v"))
+    chunks = math.ceil(draws / chunk)
+    spread = arrays.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(*keys, "c")
+    b = F.explode(F.sequence(F.col("c") * chunk + 1, F.least((F.col("c") + 1) * chunk, F.lit(draws))))
+    n = F.size("v").cast("long")
+    drawn = F.transform(
+        F.sequence(F.lit(0).cast("long"), n - 1),
+        lambda j: F.get("v", draw_index(F.col("b").cast("long"), j, n).cast("int")),
+    )
+    return spread.withColumn("b", b).select(*keys, F.col("b").cast("long").alias("b"), drawn.alias("sample"))
+
+
+def bootstrap_sharpe(trades: DataFrame, keys: list[str], value: str = "strat", draws: int = 10_000, d: str = "d") -> DataFrame:
+    """Observed Sharpe, 95 % interval, median and tail probabilities; undefined draws dropped."""
+    b = bootstrap_draws(trades, keys, value, draws, d).select(*keys, "b", F.explode("sample").alias("x"))
+    # combined map-side: the rows of a draw come out of one input row
+    valid = b.groupBy(*keys, "b").agg(sharpe("x").alias("s")).filter(F.col("s").isNotNull())
+    # at most `draws` values per key
+    ci = valid.groupBy(*keys).agg(
+        F.percentile("s", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"),
+        F.avg((F.col("s") > 0).cast("double")).alias("p_positive"),
+        F.avg((F.col("s") > 1).cast("double")).alias("p_above_1"),
+        F.count(F.lit(1)).alias("n_boot"),
+    )
+    seen = trades.groupBy(*keys).agg(sharpe(value).alias("sharpe_obs"))
+    return seen.join(ci, keys).select(
+        *keys, "sharpe_obs", F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("median_bs"),
+        F.col("q")[2].alias("ci_upper"), "p_positive", "p_above_1", "n_boot",
+    )
+
+
+def cost_sensitivity(trades: DataFrame, keys: list[str], costs: list[float] = COSTS, d: str = "d") -> DataFrame:
+    """Metrics net of a round-trip cost on traded periods, for each cost level."""
+    grid = cross_grid(trades, "cost", costs)
+    net = grid.withColumn("strat", strategy_return() - F.when(F.col("signal") != 0, F.col("cost")).otherwise(0.0))
+    k = [*keys, "cost"]
+    t = drawdowns(equity(net, k, d, {"eq": "strat"}), k, d, "eq", "dd")
+    out = t.groupBy(*k).agg(
+        F.count_if(F.col("signal") != 0).alias("n_trades"),
+        sharpe("strat").alias("sharpe"),
+        (F.product(1 + F.col("strat")) - 1).alias("total_return"),
+        F.min("dd").alias("mdd"),
+        win_rate("signal", "strat").alias("win_rate"),
+    )
+    return out.withColumn("verdict", cost_verdict(F.col("cost"), F.col("sharpe")))
+

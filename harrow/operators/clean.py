@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rolling as R
 from ..functions.calendar import spine_of
 from ..functions.nullsafe import flag
-from .ordered import Run, over_rows, positions, running
+from .ordered import Run, numbered, over_rows, running
 
 
 def iqr_outliers(df, keys, order, cols, window=15, k=3.0, **kw) -> DataFrame:
@@ -23,7 +23,7 @@ def run_totals(df, keys, order, flags: list[str], **kw) -> DataFrame:
     A run ends where the flag is not 1, so its length follows from the row numbers of the nearest
     such rows on both sides; no group per run is formed, however long a run gets.
     """
-    p = positions(df, keys, order, "__pos", "__len", **kw)
+    p = numbered(df, keys, order, "__len", **kw)
     gaps = {f: F.when(F.coalesce(F.col(f), F.lit(0)) != 1, F.col("__pos")) for f in flags}
     specs = {f"__b_{f}": Run("last", g) for f, g in gaps.items()}
     specs |= {f"__a_{f}": Run("first", g) for f, g in gaps.items()}
@@ -41,7 +41,7 @@ def run_totals(df, keys, order, flags: list[str], **kw) -> DataFrame:
 
 def run_length(df, keys, order, flags: list[str], suffix: str = "_run", **kw) -> DataFrame:
     """Add `<flag>_run`: number of consecutive ones up to and including the row."""
-    p = positions(df, keys, order, "__pos", **kw)
+    p = numbered(df, keys, order, **kw)
     specs = {
         f"__b_{f}": Run("last", F.when(F.coalesce(F.col(f), F.lit(0)) != 1, F.col("__pos"))) for f in flags
     }
@@ -107,7 +107,7 @@ def despike(df, keys, order, limits: dict[str, object], **kw) -> DataFrame:
 
 def interpolate(df, keys, order, cols, **kw) -> DataFrame:
     """Linear by row position; a trailing gap repeats the last value, a leading gap stays."""
-    p = positions(df, keys, order, "__pos", **kw)
+    p = numbered(df, keys, order, **kw)
     known = {
         c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("__pos").alias("at"))) for c in cols
     }

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nullsafe import col
+from ..sources.sinks import cut
 
 BLOCK_ROWS = 4096
 
@@ -83,8 +84,8 @@ def positions(
         if n:
             cols[n] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
         return df.withColumns(cols)
-    cut = df.withColumn("__t", _bucket(df, order, width))
-    counts = cut.groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias("__c"))
+    cut_up = df.withColumn("__t", _bucket(df, order, width))
+    counts = cut_up.groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias("__c"))
     series = Window.partitionBy(*keys)
     offsets = counts.select(
         *keys,
@@ -93,12 +94,19 @@ def positions(
         F.sum("__c").over(series).alias(n or "__n"),
     )
     inside = Window.partitionBy(*keys, "__t").orderBy(order)
-    out = cut.join(offsets, [*keys, "__t"]).withColumn(
+    out = cut_up.join(offsets, [*keys, "__t"]).withColumn(
         rn, F.col("__off") + F.row_number().over(inside)
     )
     return out.drop("__t", "__off") if n else out.drop("__t", "__off", "__n")
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, n: str | None = None, **kw) -> DataFrame:
+    """`positions` as `__pos` for a following `running`; the blocked form is written out, since
+    that scan reads its input twice."""
+    out = positions(df, keys, order, "__pos", n, **kw)
+    return out if is_calendar(df, order) else cut(out, "numbered")
+
+
 def over_rows(
     df: DataFrame,
     keys: list[str],
@@ -206,7 +214,7 @@ def running(
         w = Window.partitionBy(*keys).orderBy(order)
         return df.withColumns({o: _fold(s.kind, s.expr).over(frame(w, s.kind)) for o, s in specs.items()})
 
-    cut = df.withColumns(
+    cut_up = df.withColumns(
         {
             "__t": _bucket(df, order, width) if bucket is None else bucket,
             **{f"__x_{o}": s.expr for o, s in specs.items()},
@@ -222,7 +230,7 @@ def running(
             return F.min_by(x, at)
         return _fold(kind, x)
 
-    blocks = cut.groupBy(*keys, "__t").agg(*[summary(o, s.kind).alias(f"__s_{o}") for o, s in specs.items()])
+    blocks = cut_up.groupBy(*keys, "__t").agg(*[summary(o, s.kind).alias(f"__s_{o}") for o, s in specs.items()])
     across = Window.partitionBy(*keys).orderBy("__t")
     carried = blocks.select(
         *keys,
@@ -233,7 +241,7 @@ def running(
         ],
     )
     inside = Window.partitionBy(*keys, "__t").orderBy(order)
-    joined = cut.join(carried, [*keys, "__t"]).withColumns(
+    joined = cut_up.join(carried, [*keys, "__t"]).withColumns(
         {f"__l_{o}": _fold(s.kind, F.col(f"__x_{o}")).over(frame(inside, s.kind)) for o, s in specs.items()}
     )
     merged = joined.withColumns(
@@ -244,12 +252,18 @@ def running(
 
 
 def running_by_value(
-    df: DataFrame, keys: list[str], value: str, specs: dict[str, Run], pieces: int = 256
+    df: DataFrame, keys: list[str], value: str, specs: dict[str, Run], bounded: bool = False, pieces: int = 256
 ) -> DataFrame:
-    """`running` along a numeric column, cut into equal value ranges between min and max per key.
+    """`running` along a numeric column.
 
-    The cut depends on the data only, so a recomputed task lands in the same block.
+    bounded: the caller knows that a key holds at most one row per day, so a key fits one task.
+    Otherwise keys are cut into equal value ranges between their min and max. That cut depends on
+    the data only, so a recomputed task lands in the same block; the input is written out first
+    because it is read three times.
     """
+    if bounded:
+        return running(df, keys, value, specs, blocked=False)
+    df = cut(df, "by_value")
     ends = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     v, lo, hi = F.col(value), F.col("__lo"), F.col("__hi")
     piece = F.coalesce(F.floor(F.try_divide((v - lo) * float(pieces), hi - lo)), F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import closing_monday, spine_of
 from ..functions.nullsafe import ratio
+from .metrics import quantiles
 
 
 def aggregate_of(how: str, c: str, d: str) -> Column:
@@ -138,18 +139,17 @@ def fixed_histogram(df: DataFrame, keys: list[str], c: str, lo: float, hi: float
 def distribution(df: DataFrame, keys: list[str], r: str, theta: float) -> DataFrame:
     """Flat / positive / negative shares and moments of returns."""
     x = F.col(r)
+    known = df.filter(x.isNotNull())
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
-    return df.filter(x.isNotNull()).groupBy(*keys).agg(
+    moments = known.groupBy(*keys).agg(
         F.count(x).alias("n"),
         share(F.abs(x) <= theta).alias("flat_pct"),
         share(x > theta).alias("pos_pct"),
         share(x < -theta).alias("neg_pct"),
         F.avg(x).alias("mean"),
         F.stddev_pop(x).alias("std"),
-        F.percentile(x, 0.5).alias("median"),
-        F.percentile(x, 0.05).alias("p5"),
-        F.percentile(x, 0.95).alias("p95"),
     )
+    return moments.join(quantiles(known, keys, r, {"median": 0.5, "p5": 0.05, "p95": 0.95}), keys)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
