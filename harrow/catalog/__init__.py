@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return fn
 
     return keep
@@ -53,6 +53,10 @@ def with_views(sql: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + sql
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_views(sql) for name, sql in ORACLES.items()}
+
+
 def load() -> None:
     import importlib.util
     for part in (

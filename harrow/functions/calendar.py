@@ -23,8 +23,17 @@ def release_date(month_start: str | Column, months: int = 1, days: int = 12) ->
 
 
 def to_day(c: str | Column) -> Column:
-    """Text to DATE, null when it is not a date."""
-    return F.try_to_date(F.substring(F.trim(col(c)), 1, 10), "yyyy-MM-dd")
+    """Text to the DATE of its instant in UTC, null when it is not a date.
+
+    Text without an offset is taken as UTC. The result does not depend on the session time zone.
+    """
+    text = F.trim(col(c))
+    offset = (F.length(text) > 10) & text.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    zoned = F.when(offset, text).when(F.length(text) > 10, F.concat(text, F.lit("Z"))).otherwise(
+        F.concat(text, F.lit(" 00:00:00Z"))
+    )
+    days = F.floor(F.unix_seconds(F.try_to_timestamp(zoned)) / 86400)
+    return F.date_from_unix_date(days.cast("int"))
 
 
 def in_months(d: str | Column, months: list[int]) -> Column:

@@ -1,7 +1,27 @@
-"""Lag scans."""
+"""Lag scans: which past values of a variable move with a target.
+
+Series are weekly tables keyed by `keys` and ordered by a DATE, so a series is calendar-bounded;
+the work spreads over (series, lag), (series, lag, draw) and (series, lag, window).
+"""
+
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from ..functions import rolling as R
+from ..functions.nullsafe import pearson
+from .ordered import over_rows, positions
+from .splits import permuted_arrays
+
+# Scan settings.
+MAX_LAG = 52
+DRAWS = 300
+WINDOW, STEP = 52, 4
+ALPHA, STABLE_SHARE = 0.05, 0.6
+MIN_PAIRS, MIN_WINDOW_PAIRS = 20, 15
 
 
 def shift_layer(actions: dict[str, dict[int, str]], rows_per_week: int):
@@ -16,3 +36,143 @@ def shift_layer(actions: dict[str, dict[int, str]], rows_per_week: int):
         }
 
     return layer
+
+
+def complete_pairs(df: DataFrame, keys: list[str], d: str, x: str, y: str, max_lag: int = MAX_LAG) -> DataFrame:
+    """Rows with both values, of series long enough for the scan, with position and length."""
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return positions(pairs, keys, d, "rn", "n").filter(F.col("n") >= max_lag + MIN_PAIRS)
+
+
+def static_scan(df: DataFrame, keys: list[str], d: str, x: str, y: str, max_lag: int = MAX_LAG) -> DataFrame:
+    """(keys, lag, r, pairs): correlation of x[t-lag] with y[t] for lags 1..max_lag.
+
+    One window pass hands each row its last max_lag values of x; they are unrolled and aggregated
+    map-side, so lags are neither joined nor shuffled as rows.
+    """
+    rows = complete_pairs(df, keys, d, x, y, max_lag)
+    past = over_rows(
+        rows, keys, d,
+        [lambda c: {"past": F.collect_list(x).over(c.w.rowsBetween(-max_lag, -1))}],
+        before=max_lag,
+    )
+    size = F.size("past")
+    long = past.select(*keys, y, size.alias("m"), F.posexplode("past").alias("i", "x_lag"))
+    out = long.groupBy(*keys, (F.col("m") - F.col("i")).alias("lag")).agg(
+        pearson("x_lag", y).alias("r"), F.count(F.lit(1)).alias("pairs")
+    )
+    return out.filter(F.col("pairs") >= MIN_PAIRS)
+
+
+def series_arrays(df: DataFrame, keys: list[str], d: str, x: str, y: str, max_lag: int = MAX_LAG) -> DataFrame:
+    """One row per series with its x and y in date order."""
+    rows = complete_pairs(df, keys, d, x, y, max_lag)
+    ordered = F.array_sort(F.collect_list(F.struct("rn", F.col(x).alias("x"), F.col(y).alias("y"))))
+    s = rows.groupBy(*keys).agg(ordered.alias("s"))
+    return s.select(*keys, F.transform("s", lambda e: e["x"]).alias("x"), F.transform("s", lambda e: e["y"]).alias("y"))
+
+
+def null_scan(df: DataFrame, keys: list[str], d: str, x: str, y: str, draws: int = DRAWS, max_lag: int = MAX_LAG) -> DataFrame:
+    """(keys, lag, b, r): correlations after shuffling the lagged side, one row per draw."""
+    arrays = series_arrays(df, keys, d, x, y, max_lag)
+    lagged = arrays.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).repartition(*keys, "lag")
+    n = F.size("x") - F.col("lag")
+    lagged = lagged.filter(n >= MIN_PAIRS).select(
+        *keys, "lag", F.slice("x", F.lit(1), n).alias("x"), F.slice("y", F.col("lag") + 1, n).alias("y")
+    )
+    drawn = permuted_arrays(lagged, [*keys, "lag"], "x", draws)
+    long = drawn.select(*keys, "lag", "b", F.explode(F.arrays_zip("shuffled", "y")).alias("p"))
+    return long.groupBy(*keys, "lag", "b").agg(pearson("p.shuffled", "p.y").alias("r"))
+
+
+def permutation_p(static: DataFrame, null: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lag, r, p): share of shuffles whose correlation is at least as large."""
+    seen = static.select(*keys, "lag", F.col("r").alias("r_obs"))
+    hit = (F.abs("r") >= F.abs("r_obs")).cast("double")
+    # joined on (series, lag): one observed value against its own draws
+    out = null.join(seen, [*keys, "lag"]).groupBy(*keys, "lag").agg(F.first("r_obs").alias("r"), F.avg(hit).alias("p"))
+    return out
+
+
+def rolling_scan(df: DataFrame, keys: list[str], d: str, x: str, y: str, lags: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """(keys, lag, start, r, pairs): the same correlation inside windows of `window` rows.
+
+    `lags` lists the (keys, lag) to look at. A window holds the pairs (i, i + lag) that lie inside
+    it; the windows of a pair are an arithmetic range, so membership is an explode.
+    """
+    longest = window - MIN_WINDOW_PAIRS
+    rows = positions(df, keys, d, "rn", "n")
+    past = over_rows(
+        rows, keys, d,
+        [lambda c: {"past": F.collect_list(F.struct(F.col(x).alias("v"))).over(c.w.rowsBetween(-longest, -1))}],
+        before=longest,
+    )
+    size = F.size("past")
+    long = past.select(*keys, y, "rn", "n", size.alias("m"), F.posexplode("past").alias("k", "p"))
+    long = long.select(*keys, (F.col("m") - F.col("k")).alias("lag"), "rn", "n", F.col("p.v").alias("x_lag"), F.col(y).alias("y_now"))
+    long = long.join(lags.select(*keys, "lag"), [*keys, "lag"], "left_semi")
+    i = F.col("rn") - 1 - F.col("lag")
+    # starts s with s <= i < s + window - lag, s % step == 0, s < n - window - lag
+    first = F.greatest(F.floor((i - (window - F.col("lag"))) / step) + 1, F.lit(0))
+    last = F.least(F.floor(i / step), F.floor((F.col("n") - window - F.col("lag") - 1) / step))
+    starts = F.when(first <= last, F.sequence(first, last))
+    member = long.filter(F.col("x_lag").isNotNull() & F.col("y_now").isNotNull()).withColumn("s", F.explode(starts))
+    out = member.groupBy(*keys, "lag", (F.col("s") * step).alias("start")).agg(
+        pearson("x_lag", "y_now").alias("r"), F.count(F.lit(1)).alias("pairs")
+    )
+    return out.filter(F.col("pairs") >= MIN_WINDOW_PAIRS)
+
+
+def pearson_p(r: str | Column, n: str | Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs.
+
+    The t distribution with whole degrees of freedom has a finite cosine series, folded here over
+    (n - 2) / 2 terms.
+    """
+    r = F.col(r) if isinstance(r, str) else r
+    n = F.col(n) if isinstance(n, str) else n
+    dof = n - 2
+    # theta = atan(t / sqrt(dof)) is asin(r)
+    sin, cos2 = F.abs(r), 1 - r * r
+    odd = dof % 2 == 1
+    terms = F.floor((dof - F.when(odd, 1).otherwise(0)) / 2).cast("int")
+    first = F.when(odd, F.sqrt(cos2)).otherwise(F.lit(1.0))
+    start = F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
+
+    def add(acc: Column, k: Column) -> Column:
+        k = k.cast("double")
+        grow = F.when(odd, (2 * k) / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k)) * cos2
+        return F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * grow).alias("term"))
+
+    ks = F.when(terms >= 1, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
+    series = F.aggregate(ks, start, add)["sum"]
+    area = F.when(odd, (F.asin(sin) + sin * series) * (2 / math.pi)).otherwise(sin * series)
+    p = F.greatest(1 - area, F.lit(0.0))
+    return F.when((dof >= 1) & (F.abs(r) <= 1), p)
+
+
+def classify(static: DataFrame, rolling: DataFrame, keys: list[str], alpha: float = ALPHA, share: float = STABLE_SHARE) -> DataFrame:
+    """Verdict per significant lag: shift_feature when most windows agree, else rolling_corr.
+
+    `static` has (lag, r, p), `rolling` has (lag, start, r, pairs). Lags without any window are
+    dropped, as their stability is unknown.
+    """
+    sig = F.coalesce(pearson_p("r", "pairs") < alpha, F.lit(False))
+    windows = rolling.groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("windows"), F.count_if(sig).alias("significant"))
+    out = static.filter(F.col("p") < alpha).join(windows, [*keys, "lag"])
+    stable = F.col("significant") / F.col("windows") >= share
+    return out.withColumn("action", F.when(stable, "shift_feature").otherwise("rolling_corr"))
+
+
+def lag_config(classified: DataFrame, static: DataFrame, keys: list[str], alpha: float = ALPHA) -> DataFrame:
+    """One row per variable: its lags by kind and the strongest significant correlation."""
+    best = static.filter(F.col("p") < alpha).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("lag")).alias("significant_lags_weeks"), F.max(F.abs("r")).alias("best_abs_r")
+    )
+    at = lambda a: F.array_sort(F.collect_list(F.when(F.col("action") == a, F.col("lag"))))
+    kinds = classified.groupBy(*keys).agg(
+        at("shift_feature").alias("stable_lags"),
+        at("rolling_corr").alias("unstable_lags"),
+        F.map_from_entries(F.collect_list(F.struct("lag", "action"))).alias("action"),
+    )
+    return best.join(kinds, keys)

@@ -107,6 +107,20 @@ def draw_key(b: Column, j: Column) -> Column:
     return mixed % 2147483647
 
 
+def permuted_arrays(df: DataFrame, keys: list[str], x: str, draws: int) -> DataFrame:
+    """One row per key and draw with the array x in a seeded random order.
+
+    Keys hold arrays already (calendar-bounded); the order comes from sorting hashed positions.
+    """
+    out = df.withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
+    last = F.size(x).cast("long") - 1
+    tagged = F.transform(
+        F.sequence(F.lit(0).cast("long"), last),
+        lambda j: F.struct(draw_key(F.col("b"), j).alias("h"), j.alias("j"), F.get(x, j.cast("int")).alias("v")),
+    )
+    return out.withColumn("shuffled", F.transform(F.array_sort(tagged), lambda s: s["v"]))
+
+
 def minmax_scale(df: DataFrame, keys: list[str], cols: list[str], split: str = "split") -> DataFrame:
     """Scale by the training range of each key; a constant column becomes value - min."""
     train = F.col(split) == "train"
