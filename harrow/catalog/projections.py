@@ -79,7 +79,7 @@ def sanitize_features(spark, sf):
 def drop_by_prefix(spark, sf):
     from ..operators.joins import prefixed
 
-    return features.drop_by_prefix(prefixed(t.calendar(spark, "corn"), "cal_", ["d"]), "cal_")
+    return features.drop_by_prefix(prefixed(t.calendar(spark, sf, "corn"), "cal_", ["d"]), "cal_")
 
 
 @query("state_filter", "select week_ending, state, measure, v from report_named where state in ('US TOTAL','IOWA')")

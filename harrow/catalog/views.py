@@ -22,7 +22,7 @@ view("weather", """
   max(value) temp_max, min(value) temp_min, sum(case when value<20 then value else 0 end) precip,
   avg(value) et0, max(value)-min(value) vpd_max from events group by 1,2""")
 view("spine", """
- select cast(unnest(generate_series(date '1995-01-01', date '2001-12-31', interval 1 day)) as date) d""")
+ select cast(unnest(generate_series(lo, hi, interval 1 day)) as date) d from (select min(d) lo, max(d) hi from fx)""")
 view("cal_coffee", """
  select d, cast(month(d) in (9,10,11) as int) is_flowering, cast(month(d) in (5,6,7,8) as int) is_harvest from spine""")
 view("cal_corn", """

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nullsafe import is_true, pearson
-from .features import NOT_FEATURES
 from .joins import shared_dates
 from .labels import LABEL_COLUMNS, forward_return
 from .ordered import over_rows
@@ -41,12 +40,11 @@ def split_overlap(df: DataFrame, keys: list[str], d: str) -> DataFrame:
     return result(out, "split_overlap", subject_of(keys), n == 0, n)
 
 
-def target_leak(packed: DataFrame, keys: list[str], metadata: list[str]) -> DataFrame:
-    """No label among the features and windows no wider than the features there are."""
-    features = set(metadata) - NOT_FEATURES - set(keys)
-    leaked = features & set(LABEL_COLUMNS)
+def target_leak(packed: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """No label among the feature names, and windows no wider than the features there are."""
+    leaked = set(features) & {*LABEL_COLUMNS}
     width = packed.groupBy(*keys).agg(F.max(F.size(F.get("dynamic", F.lit(0)))).alias("w"))
-    ok = F.lit(not leaked) & (F.col("w") <= len(features))
+    ok = F.lit(not leaked) & (F.col("w") <= len(set(features) - leaked))
     return result(width, "target_leak", subject_of(keys), ok, F.col("w"))
 
 

@@ -6,10 +6,10 @@ Each view is one aggregation over a whole table, so work grows with the table an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import in_months, date_spine
+from ..functions.calendar import in_months, spine_of
 from ..functions.nullsafe import ratio
 from ..operators.ordered import over_rows, positions
 
@@ -101,10 +101,10 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calendar(spark: SparkSession, crop: str, first: str = "1995-01-01", last: str = "2001-12-31") -> DataFrame:
-    """Daily 0/1 stage flags of a crop."""
-    flags = [in_months("d", m).alias(name) for name, m in CROP_MONTHS[crop].items()]
-    return date_spine(spark, first, last).select("d", *flags)
+def calendar(spark: SparkSession, sf_dir: str, crop: str) -> DataFrame:
+    """Daily 0/1 stage flags of a crop over the days the line items span."""
+    days = spine_of(fx(spark, sf_dir).select("d"), [], "d")
+    return days.select("d", *[in_months("d", m).alias(name) for name, m in CROP_MONTHS[crop].items()])
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,3 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "tag", "model", "d", "rn", "r", "y_true", "p", "p_down", "p_flat", "p_up", "y_hat", "cls"
     )
-
-
-def tag_window(*keys: str) -> Window:
-    return Window.partitionBy(*keys).orderBy("d")
