@@ -109,7 +109,7 @@ view("tick_ewm", _ewm_sql("tick_rows", "sensor", "seq", "x", [9, 26], ["ewm_9",
 @query("ewm_adjusted", f"select sensor, seq, {sround('ewm_9')} ewm_9, {sround('ewm_26')} ewm_26 from tick_ewm")
 def ewm_adjusted(spark, sf):
     layers = side_by_side(ewm_layers("ewm_9", "x", 9), ewm_layers("ewm_26", "x", 26))
-    return _out(_ticks(spark, sf, layers, 2 * ewm_reach(26)), ["sensor", "seq"], ["ewm_9", "ewm_26"])
+    return _out(_ticks(spark, sf, layers, ewm_reach(26)), ["sensor", "seq"], ["ewm_9", "ewm_26"])
 
 
 Q30 = repr(1 - 2 / 31)
@@ -120,7 +120,7 @@ Q30 = repr(1 - 2 / 31)
  from tick_rows a join tick_rows b on a.sensor=b.sensor and b.rn<=a.rn group by 1,2""")
 def ewm_recursive(spark, sf):
     layers = ewm_layers("trend", "v", 30, adjust=False)
-    return _out(_ticks(spark, sf, layers, 2 * ewm_reach(30)), ["sensor", "seq"], ["trend"])
+    return _out(_ticks(spark, sf, layers, ewm_reach(30)), ["sensor", "seq"], ["trend"])
 
 
 @query("run_length", f"""
@@ -175,7 +175,7 @@ view("bar_signal", _ewm_sql("bar_macd", "symbol", "d", "macd", [9], ["sig"]))
  from bar_macd join bar_signal using (symbol, d)""")
 def macd(spark, sf):
     layers = R.macd_layers("close")
-    out = _bars(spark, sf, layers, 2 * (ewm_reach(26) + ewm_reach(9)))
+    out = _bars(spark, sf, layers, ewm_reach(26) + ewm_reach(9))
     return _out(out, ["symbol", "d"], ["macd", "macd_signal", "macd_hist"])
 
 

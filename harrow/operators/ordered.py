@@ -167,8 +167,9 @@ class Run:
 
 def _fold(kind: str, c: Column) -> Column:
     return {
+        # `first` looks at rows in reverse order, where the next value is the latest one
         "last": lambda: F.last(c, ignorenulls=True),
-        "first": lambda: F.first(c, ignorenulls=True),
+        "first": lambda: F.last(c, ignorenulls=True),
         "sum": lambda: F.sum(c),
         "product": lambda: F.product(c),
         "max": lambda: F.max(c),
@@ -205,14 +206,15 @@ def running(
     if blocked is None:
         blocked = bucket is not None or not is_calendar(df, order)
 
-    def frame(w: WindowSpec, kind: str, exclude: int = 0) -> WindowSpec:
-        if kind == "first":
-            return w.rowsBetween(exclude, Window.unboundedFollowing)
+    def frame(by: list[str], at: str, kind: str, exclude: int = 0) -> WindowSpec:
+        # A frame open at its end is evaluated anew for each row; the mirrored one is not.
+        w = Window.partitionBy(*by).orderBy(F.col(at).desc() if kind == "first" else F.col(at))
         return w.rowsBetween(Window.unboundedPreceding, -exclude)
 
     if not blocked:
-        w = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumns({o: _fold(s.kind, s.expr).over(frame(w, s.kind)) for o, s in specs.items()})
+        return df.withColumns(
+            {o: _fold(s.kind, s.expr).over(frame(keys, order, s.kind)) for o, s in specs.items()}
+        )
 
     cut_up = df.withColumns(
         {
@@ -231,18 +233,17 @@ def running(
         return _fold(kind, x)
 
     blocks = cut_up.groupBy(*keys, "__t").agg(*[summary(o, s.kind).alias(f"__s_{o}") for o, s in specs.items()])
-    across = Window.partitionBy(*keys).orderBy("__t")
     carried = blocks.select(
         *keys,
         "__t",
         *[
-            _fold(s.kind, F.col(f"__s_{o}")).over(frame(across, s.kind, 1)).alias(f"__c_{o}")
+            _fold(s.kind, F.col(f"__s_{o}")).over(frame(keys, "__t", s.kind, 1)).alias(f"__c_{o}")
             for o, s in specs.items()
         ],
     )
-    inside = Window.partitionBy(*keys, "__t").orderBy(order)
+    inside = [*keys, "__t"]
     joined = cut_up.join(carried, [*keys, "__t"]).withColumns(
-        {f"__l_{o}": _fold(s.kind, F.col(f"__x_{o}")).over(frame(inside, s.kind)) for o, s in specs.items()}
+        {f"__l_{o}": _fold(s.kind, F.col(f"__x_{o}")).over(frame(inside, order, s.kind)) for o, s in specs.items()}
     )
     merged = joined.withColumns(
         {o: _merge(s.kind, F.col(f"__c_{o}"), F.col(f"__l_{o}")) for o, s in specs.items()}
@@ -276,18 +277,23 @@ def ewm_reach(span: int) -> int:
     return math.ceil(46.0 / -math.log(1 - 2 / (span + 1)))
 
 
+# Rows per segment. Weights inside a segment stay below 2^700, within double range for any span
+# from 3 up, and one size for all spans lets their windows share a sort.
+SEGMENT = 700
+
+
 def ewm_layers(out: str, c: str | Column, span: int, adjust: bool = True) -> list[Layer]:
     """Exponentially weighted mean as running sums, linear in the number of rows.
 
-    Rows are numbered inside segments of `ewm_reach(span)` rows. Inside a segment the decayed sum
-    is q^k * sum(x * q^-k); what earlier segments contribute is the value at the end of the
-    previous one times q^(k+1), everything older has weight below 1e-20. Missing values keep
-    decaying the weights. With adjust=False the first value seeds the mean; feed that form a
+    Rows are numbered inside segments no shorter than `ewm_reach(span)`. Inside a segment the
+    decayed sum is q^k * sum(x * q^-k); what earlier segments contribute is the value at the end
+    of the previous one times q^(k+1), everything older has weight below 1e-20. A caller's
+    `before` has to cover `ewm_reach(span)`. Missing values keep decaying the weights. With adjust=False the first value seeds the mean; feed that form a
     series without gaps after its first value.
     """
-    q, m = 1 - 2 / (span + 1), ewm_reach(span)
+    q, m = 1 - 2 / (span + 1), max(SEGMENT, ewm_reach(span)) if span >= 3 else ewm_reach(span)
     x = col(c).cast("double")
-    num, den, seg, k = f"__n_{out}", f"__d_{out}", f"__g_{out}", f"__k_{out}"
+    num, den, seg, k = f"__n_{out}", f"__d_{out}", f"__g_{m}", f"__k_{m}"
 
     def number(ctx: Ctx) -> dict[str, Column]:
         r = F.col("__rn") - 1

@@ -12,6 +12,7 @@ from ..operators import clean, features, joins, labels
 from ..operators.lagscan import shift_layer
 from ..operators.ordered import ewm_layers, ewm_reach, over_rows, side_by_side
 from ..operators.resample import MARKET_WEEKLY, to_weeks
+from ..sources.sinks import cut
 from . import weather as weather_plan
 
 # Weeks between weather and its effect on the crop.
@@ -52,7 +53,8 @@ def integrate(
     are dropped at the end, columns without any value before that.
     """
     if weekly:
-        market = to_weeks(market, keys, "d", MARKET_WEEKLY, every_week=True)
+        how = {c: h for c, h in MARKET_WEEKLY.items() if c != "bb_middle"}
+        market = to_weeks(market, keys, "d", how, every_week=True)
         weather = weather_plan.backbone_weekly(weather, []) if weather is not None else None
     df = merged(market, keys, sources, weather)
 
@@ -105,7 +107,7 @@ def integrate(
     last = lambda c: {"rv_ratio": ratio("rv_5d", F.col("rv_20d") + TINY)}
     after_base = side_by_side([second, third, last], ewm_layers("ema_adj", adj, n), R.rsi_layers("rsi_adj", adj, n))
     layers = [base, *after_base]
-    reach = max(2 * ewm_reach(30), BIO_LAG_WEEKS[crop] * step) + 64
+    reach = max(ewm_reach(30), BIO_LAG_WEEKS[crop] * step) + 64
     if bio:
         trends = side_by_side(
             ewm_layers("temp_wavelet_trend", "weekend_temp_max", 30, adjust=False),
@@ -116,7 +118,8 @@ def integrate(
     limit = theta if theta is not None else labels.threshold(crop, weekly)
     out = out.withColumns(labels.all_labels("return_future", limit))
     if drop_empty:
-        out = features.drop_all_null_columns(out)
+        # looked at twice: once for empty columns, once for the rows
+        out = features.drop_all_null_columns(cut(out, "integrated"))
     return out.na.drop(how="any")
 
 

@@ -43,7 +43,7 @@ def daily_features(bars: DataFrame, keys: list[str], limit: float | Column) -> D
     layers = side_by_side(
         [first, rest], R.rsi_layers("rsi_14", c, 14, zero_loss="limit"), ewm_layers("ema_20", c, 20), R.macd_layers(c)
     )
-    reach = 2 * (ewm_reach(26) + ewm_reach(9)) + 50
+    reach = ewm_reach(26) + ewm_reach(9) + 50
     return over_rows(despiked(bars, keys, limit), keys, "d", layers, before=reach).na.drop(how="any")
 
 

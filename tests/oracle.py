@@ -17,6 +17,9 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -48,8 +51,12 @@ def table(cols: list[str], rows) -> tuple[list[str], list[tuple]]:
 
 def compare(spark, con, name: str, sf_dir: str, fn, sql: str | None) -> str:
     """'' when equal, else what differs."""
+    start = time.time()
     df = fn(spark, sf_dir)
-    got = table(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["plan"] = time.time() - start
+    rows = [tuple(r) for r in df.collect()]
+    TIMES["run"] = time.time() - start - TIMES["plan"]
+    got = table(df.columns, rows)
     if sql is None:
         return "" if got[1] else "no rows"
     cur = con.execute(sql)
@@ -97,5 +104,5 @@ if __name__ == "__main__":
             problem = f"{type(e).__name__}: {str(e)[:1500]}"
         bad += bool(problem)
         kind = "oracle" if name in oracles else "rows"
-        print(f"{'FAIL' if problem else 'ok':4} {kind:6} {name:28} {time.time() - t:6.2f}s {problem}", flush=True)
+        print(f"{'FAIL' if problem else 'ok':4} {kind:6} {name:28} plan {TIMES.get('plan', 0):5.1f} run {TIMES.get('run', 0):5.1f} all {time.time() - t:5.1f}s {problem}", flush=True)
     print("failures:", bad)
