@@ -19,13 +19,13 @@ from .ordered import Run, running_by_value
 THRESHOLDS = 90  # 0.05, 0.06, .. 0.94
 
 
-def rank_fraction(df: DataFrame, keys: list[str], c: str, out: str) -> DataFrame:
+def rank_fraction(df: DataFrame, keys: list[str], c: str, out: str, bounded: bool = False) -> DataFrame:
     """Average rank of a value in its group over the group size.
 
     Ranks come from a table of distinct values with counts, scanned along value ranges.
     """
     counts = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__c"))
-    below = running_by_value(counts, keys, c, {"__cum": Run("sum", F.col("__c"))})
+    below = running_by_value(counts, keys, c, {"__cum": Run("sum", F.col("__c"))}, bounded)
     size = counts.groupBy(*keys).agg(F.sum("__c").alias("__size"))
     rank = F.col("__cum") - F.col("__c") + (F.col("__c") + 1) / 2.0
     ranked = below.join(size, keys).select(*keys, c, (rank / F.col("__size")).alias(out))

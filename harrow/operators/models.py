@@ -1,9 +1,224 @@
-"""Models."""
+"""Models fitted with Spark ML on distributed feature tables.
+
+Settings follow the inventory's; what Spark's trees do not have (leaf caps, L1/L2 on leaves) is
+left out. Every fit takes `rounds` so that tests can stay small. Tables are written out before a
+fit, since boosting passes over its input once per tree level.
+"""
+
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import rank_fraction
+from .ordered import positions
+from .splits import balanced_weights, expanding_folds, positive_weight
+
+SEED = 42
+# Tree settings per task and frequency.
+GBT = {
+    ("binary", False): dict(maxIter=2000, stepSize=0.015, maxDepth=4, minInstancesPerNode=35, subsamplingRate=0.7, featureSubsetStrategy="0.6"),
+    ("binary", True): dict(maxIter=500, stepSize=0.01, maxDepth=3, minInstancesPerNode=10, subsamplingRate=0.7, featureSubsetStrategy="0.5"),
+    ("multiclass", False): dict(maxIter=2000, stepSize=0.02, maxDepth=4, minInstancesPerNode=30, subsamplingRate=0.7, featureSubsetStrategy="0.6"),
+    ("multiclass", True): dict(maxIter=500, stepSize=0.01, maxDepth=3, minInstancesPerNode=10, subsamplingRate=0.7, featureSubsetStrategy="0.5"),
+    ("regression", False): dict(maxIter=2000, stepSize=0.02, maxDepth=5, minInstancesPerNode=30, subsamplingRate=0.8, featureSubsetStrategy="0.7"),
+    ("regression", True): dict(maxIter=500, stepSize=0.01, maxDepth=3, minInstancesPerNode=10, subsamplingRate=0.8, featureSubsetStrategy="0.6"),
+    ("magnitude", False): dict(maxIter=500, stepSize=0.05, maxDepth=4, minInstancesPerNode=5, subsamplingRate=0.8, featureSubsetStrategy="0.7"),
+    ("magnitude", True): dict(maxIter=300, stepSize=0.05, maxDepth=3, minInstancesPerNode=3, subsamplingRate=0.8, featureSubsetStrategy="0.6"),
+}
+FOREST = {
+    ("class", False): dict(numTrees=500, maxDepth=5, minInstancesPerNode=20, featureSubsetStrategy="0.5"),
+    ("class", True): dict(numTrees=200, maxDepth=3, minInstancesPerNode=30, featureSubsetStrategy="0.4"),
+    ("regression", False): dict(numTrees=400, maxDepth=4, minInstancesPerNode=30, featureSubsetStrategy="0.4"),
+    ("regression", True): dict(numTrees=200, maxDepth=3, minInstancesPerNode=30, featureSubsetStrategy="0.4"),
+}
+
+
+def assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    """Feature vector with missing values as 0."""
+    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
+
+
+def _gbt_params(kind: str, weekly: bool, rounds: int | None) -> dict:
+    out = dict(GBT[kind, weekly], seed=SEED)
+    return out | {"maxIter": rounds} if rounds else out
+
+
+def _forest_params(kind: str, weekly: bool, rounds: int | None) -> dict:
+    out = dict(FOREST[kind, weekly], seed=SEED)
+    return out | {"numTrees": rounds} if rounds else out
+
+
+def _fit_rows(df: DataFrame, split: str = "split") -> DataFrame:
+    """Training and validation rows, the latter marked for early stopping."""
+    return df.filter(F.col(split).isin("train", "val")).withColumn("is_val", F.col(split) == "val")
+
+
+def probability(model, df: DataFrame, cls: int = 1, out: str = "p") -> DataFrame:
+    scored = model.transform(df)
+    return scored.withColumn(out, F.get(vector_to_array("probability"), F.lit(cls))).drop(
+        "rawPrediction", "probability", "prediction"
+    )
+
+
+def fit_gbt_binary(df: DataFrame, features: list[str], label: str, weekly: bool = False, rounds: int | None = None):
+    """Boosted trees; positives weigh (negatives / positives), capped; stops early on validation."""
+    rows = assembled(_fit_rows(df), features)
+    weight = rows.filter(~F.col("is_val")).agg(positive_weight(label).alias("w")).first()["w"]
+    rows = rows.withColumn("weight", F.when(F.col(label) == 1, weight).otherwise(1.0))
+    est = GBTClassifier(
+        labelCol=label, weightCol="weight", validationIndicatorCol="is_val", **_gbt_params("binary", weekly, rounds)
+    )
+    return est.fit(rows)
+
+
+def gbt_multiclass(df: DataFrame, features: list[str], label: str, classes: list[int], weekly: bool = False, rounds: int | None = None) -> DataFrame:
+    """One boosted model per class against the rest, balanced rows, scores normalised to one.
+
+    Adds p_<class> columns to the assembled table.
+    """
+    rows = assembled(df, features)
+    fit = balanced_weights(_fit_rows(rows), [], label)
+    out = rows
+    for c in classes:
+        one = fit.withColumn("is_cls", (F.col(label) == c).cast("double"))
+        est = GBTClassifier(
+            labelCol="is_cls", weightCol="weight", validationIndicatorCol="is_val", **_gbt_params("multiclass", weekly, rounds)
+        )
+        out = probability(est.fit(one), out, 1, f"__p{c}")
+    total = reduce(lambda a, b: a + b, [F.col(f"__p{c}") for c in classes])
+    out = out.withColumns({f"p_{c}": F.col(f"__p{c}") / total for c in classes})
+    return out.drop(*[f"__p{c}" for c in classes])
+
+
+def fit_gbt_regression(df: DataFrame, features: list[str], label: str, kind: str = "regression", weekly: bool = False, rounds: int | None = None):
+    rows = assembled(_fit_rows(df), features)
+    est = GBTRegressor(labelCol=label, validationIndicatorCol="is_val", **_gbt_params(kind, weekly, rounds))
+    return est.fit(rows)
+
+
+def fit_forest(df: DataFrame, features: list[str], label: str, weekly: bool = False, rounds: int | None = None):
+    """Random forest for two or more classes with balanced rows."""
+    rows = balanced_weights(assembled(df.filter(F.col("split") == "train"), features), [], label)
+    est = RandomForestClassifier(labelCol=label, weightCol="weight", **_forest_params("class", weekly, rounds))
+    return est.fit(rows)
+
+
+def fit_forest_regression(df: DataFrame, features: list[str], label: str, weekly: bool = False, rounds: int | None = None):
+    rows = assembled(df.filter(F.col("split") == "train"), features)
+    return RandomForestRegressor(labelCol=label, **_forest_params("regression", weekly, rounds)).fit(rows)
+
+
+def predictions(model, df: DataFrame, features: list[str], out: str = "y_hat") -> DataFrame:
+    return model.transform(assembled(df, features)).withColumnRenamed("prediction", out)
+
+
+def importances(model, features: list[str], spark) -> DataFrame:
+    """(feature, gain) of a fitted tree model."""
+    gains = model.featureImportances.toArray()
+    return spark.createDataFrame([(f, float(g)) for f, g in zip(features, gains)], "feature string, gain double")
+
+
+def walkforward_gbt(blocks: DataFrame, keys: list[str], d: str, features: list[str], label: str, numbers: list[int], rounds: int | None = None) -> DataFrame:
+    """Predictions of the test rows of each walk-forward block by a model of the block's rows.
+
+    `blocks` has (block, role) from `splits.walkforward`; the last 15 % of a training window, at
+    least 30 rows, stop the boosting early. A handful of fits, each distributed.
+    """
+    train = positions(blocks.filter(F.col("role") == "train"), [*keys, "block"], d, "__i", "__m")
+    held = F.greatest(F.lit(30), F.floor(F.col("__m") * F.lit(0.15)))
+    train = train.withColumn("split", F.when(F.col("__i") > F.col("__m") - held, "val").otherwise("train"))
+    parts = []
+    for b in numbers:
+        model = fit_gbt_binary(train.filter(F.col("block") == b).drop("__i", "__m"), features, label, rounds=rounds)
+        test = blocks.filter((F.col("block") == b) & (F.col("role") == "test"))
+        parts.append(probability(model, assembled(test, features)).select(*keys, d, "block", F.col(label).alias("y_true"), "p"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def shuffled_label(df: DataFrame, ident: list[str], label: str, seed: int) -> DataFrame:
+    """The table with its labels in random order.
+
+    Rows and labels are numbered along two independent hashes and paired by number, so the
+    shuffle is an equi join and no task sees the whole column.
+    """
+    cell = 2**52
+    order = lambda s, name: F.xxhash64(F.lit(s), *ident).alias(name)
+    a = positions(df.drop(label).select("*", order(seed, "__h")), [], "__h", "__at", blocked=True, width=cell)
+    b = df.select(label, order(seed + 1, "__g"))
+    b = positions(b, [], "__g", "__at", blocked=True, width=cell)
+    return a.join(b, "__at").drop("__h", "__g", "__at")
+
+
+def null_importance(df: DataFrame, features: list[str], label: str, ident: list[str], folds: int = 3, null_runs: int = 5, rounds: int = 50, keep: float = 0.05, regression: bool = False) -> DataFrame:
+    """(feature, score, kept): importance over expanding folds minus importance under shuffled
+    labels, relative to the largest; every feature is kept when none passes.
+
+    `df` holds training rows with rn and n.
+    """
+    spark = df.sparkSession
+
+    def gains(table: DataFrame) -> DataFrame:
+        folded = expanding_folds(table, folds).filter(F.col("role") == "train")
+        parts = []
+        for f in range(folds):
+            rows = assembled(folded.filter(F.col("fold") == f), features)
+            est = (GBTRegressor if regression else GBTClassifier)(labelCol=label, maxIter=rounds, seed=SEED)
+            parts.append(importances(est.fit(rows), features, spark))
+        return reduce(lambda a, b: a.unionByName(b), parts).groupBy("feature").agg(F.avg("gain").alias("gain"))
+
+    actual = gains(df)
+    nulls = [gains(shuffled_label(df, ident, label, SEED + 2 * i)) for i in range(null_runs)]
+    null = reduce(lambda a, b: a.unionByName(b), nulls).groupBy("feature").agg(F.avg("gain").alias("null_gain"))
+    # one row per feature from here on
+    top = actual.agg(F.max("gain").alias("g")).first()["g"] + 1e-5
+    scored = actual.join(null, "feature").withColumn("score", F.greatest(F.col("gain") - F.col("null_gain"), F.lit(0.0)) / top)
+    passed = scored.agg(F.count_if(F.col("score") >= keep).alias("k")).first()["k"]
+    return scored.select("feature", "score", (F.col("score") >= keep if passed else F.lit(True)).alias("kept"))
+
+
+def _l2(c: float, weights: float) -> float:
+    """Spark's averaged penalty for an inverse strength c over total weight."""
+    return 1.0 / (c * weights)
+
+
+def stack_logistic(meta: DataFrame, cols: list[str], label: str, c: float = 1.0, multinomial: bool = False):
+    """L2 logistic regression with balanced rows on base predictions (rows of the fit only)."""
+    rows = balanced_weights(assembled(meta, cols), [], label)
+    n = rows.count()  # balanced weights sum to the number of rows
+    est = LogisticRegression(
+        labelCol=label, weightCol="weight", regParam=_l2(c, n), elasticNetParam=0.0, standardization=False,
+        maxIter=1000 if not multinomial else 500, family="multinomial" if multinomial else "binomial",
+    )
+    return est.fit(rows)
+
+
+def stack_rank_ridge(meta: DataFrame, keys: list[str], cols: list[str], label: str, alpha: float = 0.1, fit_split: str = "val", bounded: bool = False) -> DataFrame:
+    """Ridge on rank-transformed base predictions; ranks are taken per key and split.
+
+    Returns all rows with y_hat.
+    """
+    ranked = meta
+    for c in cols:
+        ranked = rank_fraction(ranked, [*keys, "split"], c, f"rank_{c}", bounded)
+    feats = [f"rank_{c}" for c in cols]
+    rows = assembled(ranked.filter(F.col("split") == fit_split), feats)
+    n = rows.count()
+    est = LinearRegression(labelCol=label, regParam=alpha / n, elasticNetParam=0.0, standardization=False)
+    return predictions(est.fit(rows), ranked, feats)
+
+
+def blend(cols: list[str]) -> Column:
+    """Equal-weight mean of base predictions."""
+    return reduce(lambda a, b: a + b, [F.col(c) for c in cols]) / len(cols)
+
 
 def hurdle_legs(df: DataFrame, r: str, theta: float) -> DataFrame:
     """Up and down subsets with the size of the move, as one table with a `leg` column."""
@@ -11,3 +226,30 @@ def hurdle_legs(df: DataFrame, r: str, theta: float) -> DataFrame:
     return df.withColumn("leg", leg).filter(F.col("leg").isNotNull()).withColumn(
         "magnitude", F.when(F.col("leg") == "up", F.col(r)).otherwise(-F.col(r))
     )
+
+
+def hurdle_magnitudes(df: DataFrame, features: list[str], r: str, theta: float, weekly: bool = False, rounds: int | None = None, least: int = 20) -> DataFrame:
+    """Test rows with the predicted size of an up move and of a down move, at least 0.
+
+    A leg with fewer than `least` training rows predicts theta.
+    """
+    legs = hurdle_legs(df, r, theta)
+    train_rows = {
+        x["leg"]: x["n"]
+        for x in legs.filter(F.col("split") == "train").groupBy("leg").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+    out = assembled(df.filter(F.col("split") == "test"), features)
+    for leg, name in (("up", "m_up"), ("down", "m_down")):
+        if train_rows.get(leg, 0) < least:
+            out = out.withColumn(name, F.lit(theta))
+            continue
+        model = fit_gbt_regression(legs.filter(F.col("leg") == leg), features, "magnitude", "magnitude", weekly, rounds)
+        scored = model.transform(out)
+        out = scored.withColumn(name, F.greatest("prediction", F.lit(0.0))).drop("prediction")
+    return out
+
+
+def hurdle_expectation(p_up="p_up", m_up="m_up", p_down="p_down", m_down="m_down") -> dict[str, Column]:
+    """Half (up leg only) and full expected return."""
+    half = F.col(p_up) * F.col(m_up)
+    return {"half_hurdle_pred": half, "full_hurdle_pred": half - F.col(p_down) * F.col(m_down)}
