@@ -347,7 +347,7 @@ REP = ["corn_planting_pct", "corn_condition_ge_pct", "corn_stress_index"]
 
 
 @query("job_attach_report_calendar", f"""
- select symbol, d, {sround('close', 5)} as close, {', '.join(f'{sround(f"last_value({c} ignore nulls) over ({SYM} rows between unbounded preceding and current row)")} rep_{c}' for c in REP)}
+ select symbol, d, {sround('ln(close)')} log_close, {', '.join(f'{sround(f"last_value({c} ignore nulls) over ({SYM} rows between unbounded preceding and current row)")} rep_{c}' for c in REP)}
  from i_final left join corn_daily using (d)""")
 def job_attach_report_calendar(spark, sf):
     base = integrated(spark, sf, "corn", weekly=False)
@@ -355,4 +355,4 @@ def job_attach_report_calendar(spark, sf):
     out = integrate.attach_reports(base, rep, ["symbol"], weekly=False, replace_calendar=True)
     if any(c.startswith("cal_") for c in out.columns):
         raise AssertionError("calendar columns are still there")
-    return out.select("symbol", "d", rounded("close", 5).alias("close"), *[rounded(f"rep_{c}").alias(f"rep_{c}") for c in REP])
+    return out.select("symbol", "d", rounded(F.ln("close")).alias("log_close"), *[rounded(f"rep_{c}").alias(f"rep_{c}") for c in REP])

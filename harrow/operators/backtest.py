@@ -138,28 +138,29 @@ def viability(years: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bootstrap_draws(trades: DataFrame, keys: list[str], value: str, draws: int, d: str = "d", chunk: int = 50) -> DataFrame:
-    """(keys, b, sample): `draws` resamples with replacement of each key's values.
+    """(keys, b, j, x): `draws` resamples with replacement of each key's values, one row per slot.
 
-    A key's strided returns are one array (calendar-bounded); draws index into it inside the row,
-    so the draws are never shuffled. Draw numbers are spread in chunks over the cluster.
+    A key's strided returns are one array (calendar-bounded) and a draw indexes into it, so drawn
+    rows are made and aggregated inside one generated stage and never shuffled. Draw numbers are
+    spread in chunks over the cluster.
     """
     p = positions(trades, keys, d, "__rn")
     pairs = F.array_sort(F.collect_list(F.struct("__rn", F.col(value).alias("v"))))
     arrays = p.groupBy(*keys).agg(F.transform(pairs, lambda s: s["v"]).alias("v"))
     chunks = math.ceil(draws / chunk)
     spread = arrays.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(*keys, "c")
-    b = F.explode(F.sequence(F.col("c") * chunk + 1, F.least((F.col("c") + 1) * chunk, F.lit(draws))))
+    c = F.col("c").cast("long")
+    b = F.explode(F.sequence(c * chunk + 1, F.least((c + 1) * chunk, F.lit(draws).cast("long"))))
     n = F.size("v").cast("long")
-    drawn = F.transform(
-        F.sequence(F.lit(0).cast("long"), n - 1),
-        lambda j: F.get("v", draw_index(F.col("b").cast("long"), j, n).cast("int")),
+    slots = spread.select(*keys, "v", b.alias("b")).select(
+        *keys, "v", "b", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("j")
     )
-    return spread.withColumn("b", b).select(*keys, F.col("b").cast("long").alias("b"), drawn.alias("sample"))
+    return slots.select(*keys, "b", "j", F.get("v", draw_index(F.col("b"), F.col("j"), n).cast("int")).alias("x"))
 
 
 def bootstrap_sharpe(trades: DataFrame, keys: list[str], value: str = "strat", draws: int = 10_000, d: str = "d") -> DataFrame:
     """Observed Sharpe, 95 % interval, median and tail probabilities; undefined draws dropped."""
-    b = bootstrap_draws(trades, keys, value, draws, d).select(*keys, "b", F.explode("sample").alias("x"))
+    b = bootstrap_draws(trades, keys, value, draws, d)
     # combined map-side: the rows of a draw come out of one input row
     valid = b.groupBy(*keys, "b").agg(sharpe("x").alias("s")).filter(F.col("s").isNotNull())
     # at most `draws` values per key
