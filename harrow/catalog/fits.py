@@ -169,11 +169,11 @@ def hurdle_two_stage(spark, sf):
 
 
 
-@query("hurdle_combination", f"select tag, d, model, {sround('p_up*(p/10)', 12)} half_hurdle_pred, {sround('p_up*(p/10)-p_down*((1-p)/10)', 12)} full_hurdle_pred from preds")
+@query("hurdle_combination", "select tag, d, model, p_up*(p/10) half_hurdle_pred, p_up*(p/10)-p_down*((1-p)/10) full_hurdle_pred from preds")
 def hurdle_combination(spark, sf):
     p = t.predictions(spark, sf).withColumns({"m_up": F.col("p") / 10, "m_down": (1 - F.col("p")) / 10})
     out = p.withColumns(X.hurdle_expectation())
-    return out.select("tag", "d", "model", *[rounded(c, 12).alias(c) for c in ("half_hurdle_pred", "full_hurdle_pred")])
+    return out.select("tag", "d", "model", "half_hurdle_pred", "full_hurdle_pred")
 
 
 @query("feature_importance")

@@ -270,16 +270,15 @@ def backbone(spark, sf, crop):
 
 
 def integrated(spark, sf, crop, weekly):
-    """Stages are written out once; the assembly reads the tables."""
+    """One plan from the raw tables; only the weekly form reads the daily features twice."""
     symbols = F.col("symbol") % 2 == (1 if crop == "corn" else 0)
-    daily = cut(market.daily_features(t.bars(spark, sf).filter(symbols), ["symbol"], market.SPIKE_LIMIT[crop]), "market")
+    daily = market.daily_features(t.bars(spark, sf).filter(symbols), ["symbol"], market.SPIKE_LIMIT[crop])
     sources = {
-        "usd_": cut(usd_week(spark, sf), "usd"), "inf_": cut(inf_week(spark, sf), "inf"),
-        "cal_": cut(cal_week(spark, sf, crop), "cal"), "vix_": cut(vix_week(spark, sf), "vix"),
+        "usd_": usd_week(spark, sf), "inf_": inf_week(spark, sf),
+        "cal_": cal_week(spark, sf, crop), "vix_": vix_week(spark, sf),
     }
-    return integrate.integrate(daily, ["symbol"], sources, cut(backbone(spark, sf, crop), "backbone"), crop, weekly)
-
-
+    daily = cut(daily, "market") if weekly else daily
+    return integrate.integrate(daily, ["symbol"], sources, backbone(spark, sf, crop), crop, weekly)
 
 
 REG = "partition by region order by d"
