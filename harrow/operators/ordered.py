@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -40,10 +41,13 @@ class Ctx:
 
     w: WindowSpec
     parts: tuple[str, ...]
+    frames: dict[int, WindowSpec] = field(default_factory=dict)
 
     def back(self, n: int) -> WindowSpec:
         """Frame of the last n rows including the current one."""
-        return self.w.rowsBetween(-(n - 1), 0)
+        if n not in self.frames:
+            self.frames[n] = self.w.rowsBetween(-(n - 1), 0)
+        return self.frames[n]
 
 
 Layer = Callable[[Ctx], dict[str, Column]]
@@ -206,14 +210,15 @@ def running(
     if blocked is None:
         blocked = bucket is not None or not is_calendar(df, order)
 
-    def frame(by: list[str], at: str, kind: str, exclude: int = 0) -> WindowSpec:
+    @cache
+    def frame(by: tuple[str, ...], at: str, kind: str, exclude: int = 0) -> WindowSpec:
         # A frame open at its end is evaluated anew for each row; the mirrored one is not.
         w = Window.partitionBy(*by).orderBy(F.col(at).desc() if kind == "first" else F.col(at))
         return w.rowsBetween(Window.unboundedPreceding, -exclude)
 
     if not blocked:
         return df.withColumns(
-            {o: _fold(s.kind, s.expr).over(frame(keys, order, s.kind)) for o, s in specs.items()}
+            {o: _fold(s.kind, s.expr).over(frame((*keys,), order, s.kind)) for o, s in specs.items()}
         )
 
     cut_up = df.withColumns(
@@ -237,11 +242,11 @@ def running(
         *keys,
         "__t",
         *[
-            _fold(s.kind, F.col(f"__s_{o}")).over(frame(keys, "__t", s.kind, 1)).alias(f"__c_{o}")
+            _fold(s.kind, F.col(f"__s_{o}")).over(frame((*keys,), "__t", s.kind, 1)).alias(f"__c_{o}")
             for o, s in specs.items()
         ],
     )
-    inside = [*keys, "__t"]
+    inside = (*keys, "__t")
     joined = cut_up.join(carried, [*keys, "__t"]).withColumns(
         {f"__l_{o}": _fold(s.kind, F.col(f"__x_{o}")).over(frame(inside, order, s.kind)) for o, s in specs.items()}
     )
