@@ -106,9 +106,14 @@ def usd_week(spark, sf):
     return macro.fx_weekly(fx_bars(spark, sf), [])
 
 
-@query("job_fx_features", f"select d, {', '.join(f'{sround(c)} as {c}' for c in F_OUT)} from usd_week")
+F_LEVELS = ["high", "low", "close", "close_lag_1w", "close_lag_1m"]
+F_OTHER = [c for c in F_OUT if c not in F_LEVELS]
+
+
+@query("job_fx_features", f"select d, {', '.join(f'{sround(f"ln({c})")} log_{c}' for c in F_LEVELS)}, {', '.join(f'{sround(c)} {c}' for c in F_OTHER)} from usd_week")
 def job_fx_features(spark, sf):
-    return _r(usd_week(spark, sf), ["d"], F_OUT)
+    logs = [rounded(F.ln(c)).alias(f"log_{c}") for c in F_LEVELS]
+    return usd_week(spark, sf).select("d", *logs, *[rounded(c).alias(c) for c in F_OTHER])
 
 
 view("cpi_month", """

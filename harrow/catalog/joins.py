@@ -24,10 +24,10 @@ def _bars(spark, sf):
 
 
 def _out(df, *cols):
-    return df.select("symbol", "d", *[rounded(c).alias(c) for c in cols])
+    return df.select("symbol", "d", *[rounded(c, 9).alias(c) for c in cols])
 
 
-@query("join_left_date", f"select symbol, b.d, {sround('close')} as close, {sround('usd_close')} usd_close from bars b left join fx_week using (d)")
+@query("join_left_date", f"select symbol, b.d, {sround('close', 9)} as close, {sround('usd_close', 9)} usd_close from bars b left join fx_week using (d)")
 def join_left_date(spark, sf):
     return _out(J.left_on(_bars(spark, sf), [fx_week(spark, sf)], ["d"]), "close", "usd_close")
 
@@ -35,18 +35,18 @@ def join_left_date(spark, sf):
 CARRY = "last_value(usd_close ignore nulls) over (partition by symbol order by d rows between unbounded preceding and current row)"
 
 
-@query("join_exact_then_carry", f"select symbol, d, {sround(CARRY)} usd_close from bars left join fx_week using (d)")
+@query("join_exact_then_carry", f"select symbol, d, {sround(CARRY, 9)} usd_close from bars left join fx_week using (d)")
 def join_exact_then_carry(spark, sf):
     return _out(J.exact_then_carry(_bars(spark, sf), fx_week(spark, sf), ["symbol"], "d"), "usd_close")
 
 
-@query("join_asof_backward", f"select symbol, b.d, {sround('f.usd_close')} usd_close from bars b asof left join fx_week f on b.d>=f.d")
+@query("join_asof_backward", f"select symbol, b.d, {sround('f.usd_close', 9)} usd_close from bars b asof left join fx_week f on b.d>=f.d")
 def join_asof_backward(spark, sf):
     return _out(J.asof_backward_shared(_bars(spark, sf), fx_week(spark, sf), "d", ["usd_close"]), "usd_close")
 
 
 @query("join_asof_backward_keyed", f"""
- select a.symbol, a.d, {sround('b.volume')} volume from bars a asof left join (select * from bars where volume>=40) b on a.symbol=b.symbol and a.d>=b.d""")
+ select a.symbol, a.d, {sround('b.volume', 9)} volume from bars a asof left join (select * from bars where volume>=40) b on a.symbol=b.symbol and a.d>=b.d""")
 def join_asof_backward_keyed(spark, sf):
     b = t.bars(spark, sf)
     big = b.filter(F.col("volume") >= 40).select("symbol", "d", "volume")
