@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: dict[str, SparkSession] = {}
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster names for checkpoints; a temporary one in local tests."""
+    """A new path in the folder the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, the folder is placed below the session's warehouse, which all executors
+    reach as well. What a session has made is removed when its Python process ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.gettempdir() + "/harrow"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+@atexit.register
+def clear() -> None:
+    """Remove the stage tables of this process."""
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):  # the session may have been stopped before
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _made.pop(path)
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+def cut(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFrame:
     """Materialise a stage as a table in the shared folder, so later plans read it instead of
     recomputing it; survives the loss of executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
