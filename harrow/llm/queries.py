@@ -49,3 +49,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     judged = filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op2_simhash_trie")
+def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
