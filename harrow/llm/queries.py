@@ -56,3 +56,11 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
     return simhash_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op1_sentence_spans")
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentences import drop_repeated_spans
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeated_spans(docs).select("row.doc_id", "n_sentences", "n_removed", "removed", F.col("kept").alias("text"))
