@@ -64,3 +64,24 @@ def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated_spans(docs).select("row.doc_id", "n_sentences", "n_removed", "removed", F.col("kept").alias("text"))
+
+
+@query("op9_fm_decontamination", r"""
+with w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+item as (select item_id, least(len(w), 10) n, list_slice(w, i, i + least(len(w), 10) - 1) g from
+ (select *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from b where len(w) > 0)),
+size as (select distinct n from item),
+occ as (select doc_id, i, n, list_slice(w, i, i + n - 1) g from
+ (select *, unnest(range(1, len(w) - n + 2)) i from w, size where len(w) >= n)),
+hit as (select distinct doc_id, i, n, item_id from occ join item using (n, g)),
+pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hit) group by 1),
+ids as (select doc_id, count(*) n_items, sha256(string_agg(x, ',' order by x)) h from (select distinct doc_id, cast(item_id as varchar) x from hit) group by 1)
+select doc_id, cast(coalesce(len(w.w), 0) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+ coalesce(h, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from w left join pos using (doc_id) left join ids using (doc_id)""")
+def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import digest, find
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(find(docs, read(spark, sf_dir, "benchmark")), "row.doc_id")
