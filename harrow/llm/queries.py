@@ -85,3 +85,16 @@ def op9_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(find(docs, read(spark, sf_dir, "benchmark")), "row.doc_id")
+
+
+@query("op3_rans_tokens")
+def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from harrow.sources.sinks import scratch
+
+    from .tokens import read_tokens, write_tokens
+
+    path = scratch(spark, "token_files")
+    write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path, ids=False)
