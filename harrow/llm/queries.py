@@ -98,3 +98,17 @@ def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token_files")
     write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_tokens(spark, path, ids=False)
+
+
+@query("op4_exact_topk", """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) e from embeddings
+ where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) score
+ from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(r as int) as "rank", vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) r from s) where r <= 20""")
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
