@@ -11,7 +11,7 @@ from harrow.sources.sinks import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-__all__ = ["Query", "compose", "cut", "components", "in_fraction", "pack", "read"]
+__all__ = ["Query", "compose", "cut", "components", "in_fraction", "pack", "read", "revive"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +61,12 @@ def components(edges: DataFrame) -> DataFrame:
             edges.join(left, "a").join(right, "b").filter("ma <> mb")
             .select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
         )
+
+
+def revive(kind: type, state: dict | None):
+    """An object from its broadcast attributes; broadcasts carry plain data only."""
+    if state is None:
+        return None
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out

@@ -112,3 +112,25 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = read(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import in_fraction
+    from .langid import identify
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = in_fraction("doc_id", 5, 0)
+    found = identify(docs.select("doc_id", "text", held_out.alias("held_out")), docs.filter(~held_out))
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
+
+
+@query("op7_toxicity_fm")
+def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import in_fraction
+    from .toxicity import toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = in_fraction("doc_id", 4, 2)
+    found = toxicity(docs.select("doc_id", "text", held_out.alias("held_out")), docs.filter(~held_out), read(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", "row.held_out", "score", "predicted")
