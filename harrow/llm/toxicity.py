@@ -92,8 +92,9 @@ def choose(bags: list[set[int]], y: np.ndarray, size: int, least: int = 2) -> np
     return np.sort(keys[np.lexsort((keys, -g))[:size]])
 
 
-def fit(texts: list[str], labels: list[int], size: int = 2048, epochs: int = 30, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> Model:
-    """Adagrad on the log loss; a fifth of the texts is kept out to calibrate slope and shift."""
+def fit(texts: list[str], labels: list[int], size: int = 2048, epochs: int = 30, rate: float = 0.3, decay: float = 1e-4, seed: int = 5, threshold: float = 0.3) -> Model:
+    """Adagrad on the log loss; a fifth of the texts is kept out to calibrate: the slope by the log loss, the shift so
+    that `threshold` is the score that parts the kept-out labels best (F1)."""
     y = np.array(labels, np.int64)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
@@ -138,7 +139,14 @@ def fit(texts: list[str], labels: list[int], size: int = 2048, epochs: int = 30,
             if abs(da) + abs(db) < 1e-9:
                 break
         if np.isfinite([a, b]).all():
-            model.slope, model.shift = float(np.clip(a, 0.1, 10)), float(np.clip(b, -10, 10))
+            model.slope = float(np.clip(a, 0.1, 10))
+        order = np.argsort(-z, kind="stable")
+        high, hits = z[order], np.cumsum(t[order])
+        ends = np.flatnonzero(np.append(high[1:] != high[:-1], True))
+        f1 = 2 * hits[ends] / (ends + 1 + n1)
+        at = int(ends[np.argmax(f1)])
+        below = high[at + 1] if at + 1 < len(high) else high[at] - 2
+        model.shift = float(np.log(threshold / (1 - threshold)) - model.slope * (high[at] + below) / 2)
     model.words.clear()
     return model
 
@@ -167,7 +175,7 @@ def toxicity(
     no rows.
     """
     rows = sample(labelled, labels, per_label, max_chars, text, doc_id, label)
-    shared = docs.sparkSession.sparkContext.broadcast(vars(fit([t for t, _ in rows], [y for _, y in rows])))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(fit([t for t, _ in rows], [y for _, y in rows], threshold=threshold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = revive(Model, shared.value)
