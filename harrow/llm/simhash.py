@@ -16,7 +16,7 @@ BITS = 64
 HALF = 32
 SEED = 42
 #: Fingerprints of a trie cell; cells grow when there would be more than MAX_CELLS.
-CELL = 1 << 16
+CELL = 1 << 12
 MAX_CELLS = 4096
 #: Node pairs handled at a time within a task.
 CHUNK = 1 << 18
@@ -258,7 +258,7 @@ def trie_links(fps: DataFrame, budget: int, first: int, target: int = CELL) -> D
             at = np.repeat(offsets[cell] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
             yield pa.RecordBatch.from_arrays([pa.array(tasks[at]), pa.array(np.repeat(fp, times))], names=["task", "fp"])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         prefix, _, _, one, two = shared.value
         i, j = one[key[0]], two[key[0]]
         fp = np.unique(pdf["fp"].to_numpy().view(np.uint64))
