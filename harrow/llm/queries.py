@@ -134,3 +134,13 @@ def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = in_fraction("doc_id", 4, 2)
     found = toxicity(docs.select("doc_id", "text", held_out.alias("held_out")), docs.filter(~held_out), read(spark, sf_dir, "labels"))
     return found.select("row.doc_id", "row.held_out", "score", "predicted")
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import drop_repeated_bytes
+
+    found = drop_repeated_bytes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "row.doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
