@@ -23,6 +23,7 @@ SIEVE_BITS = 1 << 27
 #: Bytes of documents taken together.
 CHUNK = 1 << 22
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+SALTS = tuple(np.uint64(j * 0x9E3779B97F4A7C15 % 2**64) for j in (1, 2, 3))
 BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -87,7 +88,7 @@ class Sieve:
 
     @staticmethod
     def places(keys: np.ndarray) -> list[np.ndarray]:
-        return [(mix64(keys + np.uint64(j) * MULTIPLIER) % np.uint64(SIEVE_BITS)).astype(np.int64) for j in (1, 2, 3)]
+        return [(mix64(keys + salt) % np.uint64(SIEVE_BITS)).astype(np.int64) for salt in SALTS]
 
     @staticmethod
     def of(keys: DataFrame) -> np.ndarray:
