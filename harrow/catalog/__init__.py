@@ -45,7 +45,7 @@ def with_views(sql: str) -> str:
 
     sql = sql.strip()
     visit(sql)
-    ctes = [f"{n} AS ({VIEWS[n]})" for n in order]
+    ctes = [f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order]
     if not ctes:
         return sql
     if sql[:5].lower() == "with ":

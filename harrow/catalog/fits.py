@@ -1,4 +1,8 @@
-"""Section 2.11: models. Fits use few rounds here; the defaults of the operators are the full ones."""
+"""Section 2.11: models, with the full settings of the operators.
+
+The values of a fit are Spark's own; the oracles state what any correct fit has to satisfy: rows, keys, labels and
+the range of scores.
+"""
 
 from pyspark.sql import functions as F
 
@@ -19,7 +23,6 @@ from .views import sround
 
 KEYS = ["symbol"]
 FEATURES = ["log_return", "rsi_14", "volatility_20d", "momentum_1w", "momentum_1m", "hl_range_pct", "volume_ratio"]
-ROUNDS = 5
 
 
 def model_table(spark, sf):
@@ -49,21 +52,21 @@ def _test(df):
 @query("gbt_binary")
 def gbt_binary(spark, sf):
     df = split_rows(spark, sf)
-    model = X.fit_gbt_binary(df, FEATURES, "target_binary", rounds=ROUNDS)
+    model = X.fit_gbt_binary(df, FEATURES, "target_binary")
     return X.probability(model, X.assembled(_test(df), FEATURES)).select("symbol", "d", "target_binary", rounded("p").alias("p"))
 
 
 @query("gbt_multiclass")
 def gbt_multiclass(spark, sf):
     df = split_rows(spark, sf)
-    out = X.gbt_multiclass(df, FEATURES, "target_multiclass", [0, 1, 2], rounds=3)
+    out = X.gbt_multiclass(df, FEATURES, "target_multiclass", [0, 1, 2])
     return _test(out).select("symbol", "d", "target_multiclass", *[rounded(f"p_{c}").alias(f"p_{c}") for c in (0, 1, 2)])
 
 
 @query("gbt_regression")
 def gbt_regression(spark, sf):
     df = split_rows(spark, sf)
-    model = X.fit_gbt_regression(df, FEATURES, "target_reg", rounds=ROUNDS)
+    model = X.fit_gbt_regression(df, FEATURES, "target_reg")
     return X.predictions(model, _test(df), FEATURES).select("symbol", "d", "target_reg", rounded("y_hat").alias("y_hat"))
 
 
@@ -71,14 +74,14 @@ def gbt_regression(spark, sf):
 def gbt_walkforward(spark, sf):
     blocks = cut(S.walkforward(model_table(spark, sf).drop("split"), 1000, 130), "blocks")
     numbers = [r["block"] for r in blocks.select("block").distinct().orderBy("block").collect()]
-    out = X.walkforward_gbt(blocks, KEYS, "d", FEATURES, "target_binary", numbers, rounds=ROUNDS)
+    out = X.walkforward_gbt(blocks, KEYS, "d", FEATURES, "target_binary", numbers)
     return out.withColumn("p", rounded("p"))
 
 
 @query("rf_binary")
 def rf_binary(spark, sf):
     df = split_rows(spark, sf)
-    model = X.fit_forest(df, FEATURES, "target_binary", rounds=ROUNDS)
+    model = X.fit_forest(df, FEATURES, "target_binary")
     return X.probability(model, X.assembled(_test(df), FEATURES)).select("symbol", "d", "target_binary", rounded("p").alias("p"))
 
 
@@ -87,7 +90,7 @@ def rf_multiclass(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     df = split_rows(spark, sf)
-    model = X.fit_forest(df, FEATURES, "target_multiclass", rounds=ROUNDS)
+    model = X.fit_forest(df, FEATURES, "target_multiclass")
     scored = model.transform(X.assembled(_test(df), FEATURES)).withColumn("ps", vector_to_array("probability"))
     return scored.select("symbol", "d", "target_multiclass", *[rounded(F.get("ps", F.lit(c))).alias(f"p_{c}") for c in (0, 1, 2)])
 
@@ -95,7 +98,7 @@ def rf_multiclass(spark, sf):
 @query("rf_regression")
 def rf_regression(spark, sf):
     df = split_rows(spark, sf)
-    model = X.fit_forest_regression(df, FEATURES, "target_reg", rounds=ROUNDS)
+    model = X.fit_forest_regression(df, FEATURES, "target_reg")
     return X.predictions(model, _test(df), FEATURES).select("symbol", "d", "target_reg", rounded("y_hat").alias("y_hat"))
 
 
@@ -105,7 +108,7 @@ def null_importance_select(spark, sf):
     from ..operators.ordered import positions
 
     train = cut(positions(train, KEYS, "d", "rn", "n"), "train")
-    out = X.null_importance(train, FEATURES, "target_binary", ["symbol", "d"], folds=2, null_runs=1, rounds=2)
+    out = X.null_importance(train, FEATURES, "target_binary", ["symbol", "d"])
     return out.select("feature", rounded("score").alias("score"), "kept")
 
 
@@ -158,7 +161,7 @@ def blend_average(spark, sf):
 @query("hurdle_two_stage")
 def hurdle_two_stage(spark, sf):
     df = split_rows(spark, sf)
-    test = X.hurdle_magnitudes(df, FEATURES, "return_future", t.THETA, rounds=ROUNDS).withColumnRenamed("symbol", "tag")
+    test = X.hurdle_magnitudes(df, FEATURES, "return_future", t.THETA).withColumnRenamed("symbol", "tag")
     p = t.predictions(spark, sf)
     pick = lambda m, c, name: p.filter(F.col("model") == m).select("tag", "d", F.col(c).alias(name))
     out = J.align_hurdle(test, pick(1, "p_up", "p_up"), pick(2, "p_down", "p_down"), pick(3, "y_hat", "single"), ["tag", "d"])
@@ -178,7 +181,7 @@ def hurdle_combination(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    model = X.fit_forest(split_rows(spark, sf), FEATURES, "target_binary", rounds=ROUNDS)
+    model = X.fit_forest(split_rows(spark, sf), FEATURES, "target_binary")
     return X.importances(model, FEATURES, spark).select("feature", rounded("gain").alias("gain")).orderBy(F.col("gain").desc())
 
 
@@ -193,7 +196,7 @@ def ablation_calendar(spark, sf):
     parts = []
     for name, extra in variants.items():
         feats = FEATURES + extra
-        model = X.fit_forest(df, feats, "target_binary", rounds=3)
+        model = X.fit_forest(df, feats, "target_binary")
         scored = X.probability(model, X.assembled(_test(df), feats)).select(F.lit(name).alias("experiment"), "symbol", "d", "target_binary", "p")
         parts.append(scored)
     from functools import reduce

@@ -21,14 +21,14 @@ view("scan_pairs", """
  select * from (select symbol, x, y, row_number() over (partition by symbol order by d) i, count(*) over (partition by symbol) n from scan_week where x is not null and y is not null) where n>=72""")
 view("scan_static", """
  select a.symbol, b.i-a.i lag, corr(a.x,b.y) r, count(*) pairs from scan_pairs a join scan_pairs b on a.symbol=b.symbol and b.i-a.i between 1 and 52 group by 1,2 having count(*)>=20""")
-DRAWS = 4
+DRAWS = 300
 view("scan_null", f"""
  with l as (select symbol, x, y, i, n, lag from scan_pairs cross join (select unnest(range(1,53)) lag)),
  sx as (select symbol, lag, b, x, row_number() over (partition by symbol, lag, b order by (((b*7919+(i-1)*104729)%1000003)*((b*31+(i-1)*17+7)%999983)+b*(i-1))%2147483647, i) pos
   from l cross join (select unnest(range(1,{DRAWS + 1})) b) where i<=n-lag),
  sy as (select symbol, lag, i-lag pos, y from l where i>lag)
  select symbol, lag, b, corr(x,y) r from sx join sy using (symbol, lag, pos) group by 1,2,3""")
-view("scan_p", "select s.symbol, s.lag, s.r, s.pairs, avg((abs(u.r)>=abs(s.r))::int) p from scan_static s join scan_null u on s.symbol=u.symbol and s.lag=u.lag group by 1,2,3,4")
+view("scan_p", f"select s.symbol, s.lag, s.r, s.pairs, coalesce(sum((abs(u.r)>=abs(s.r))::int),0)/{DRAWS}e0 p from scan_static s join scan_null u on s.symbol=u.symbol and s.lag=u.lag group by 1,2,3,4")
 
 
 def weeks(spark, sf):
@@ -50,7 +50,7 @@ def ccf_static(spark, sf):
 def with_p(spark, sf, w):
     s = G.static_scan(w, KEYS, "d", "x", "y")
     null = G.null_scan(w, KEYS, "d", "x", "y", draws=DRAWS)
-    return G.permutation_p(s, null, KEYS)
+    return G.permutation_p(s, null, KEYS, DRAWS)
 
 
 @query("ccf_permutation_p", f"select symbol, lag, {sround('r')} r, {sround('p')} p from scan_p")
@@ -67,13 +67,13 @@ def rolling_sql(lags: str) -> str:
  select symbol, lag, st start, corr(x,y) r, count(*) pairs from w group by 1,2,3 having count(*)>=15"""
 
 
-view("scan_rolling", rolling_sql("select distinct symbol, unnest([1,4,9,34]) lag from scan_week"))
+view("scan_rolling", rolling_sql("select distinct symbol, unnest(range(1,38)) lag from scan_week"))
 
 
 @query("ccf_rolling", f"select symbol, lag, start, {sround('r')} r, pairs from scan_rolling")
 def ccf_rolling(spark, sf):
     w = weeks(spark, sf)
-    lags = w.select("symbol").distinct().withColumn("lag", F.explode(F.array(*[F.lit(i) for i in (1, 4, 9, 34)])))
+    lags = w.select("symbol").distinct().withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(37))))
     out = G.rolling_scan(w, KEYS, "d", "x", "y", lags)
     return out.select("symbol", F.col("lag").cast("long").alias("lag"), "start", rounded("r").alias("r"), "pairs")
 

@@ -181,7 +181,7 @@ def viability_gate(spark, sf):
     return B.viability(B.by_year(ls_trades(spark, sf), KEYS), KEYS)
 
 
-DRAWS = 200
+DRAWS = 10_000
 view("boot_src", "select tag, sr, row_number() over (partition by tag order by d)-1 j, count(*) over (partition by tag) n from ls_trades where model=4")
 view("boot_draws", f"""
  select tag, b, j, (((b*7919+j*104729)%1000003)*((b*31+j*17+7)%999983)+b*j)%2147483647%n idx from boot_src cross join (select i as b from range(1,{DRAWS + 1}) t(i))""")

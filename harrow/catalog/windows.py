@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import rolling as R
 from ..functions.nullsafe import flag, ratio, rounded
 from ..operators import clean
-from ..operators.ordered import Run, ewm_layers, ewm_reach, over_rows, positions, running, side_by_side
+from ..operators.ordered import Run, ewm_layers, ewm_reach, hold, over_rows, positions, running, side_by_side
 from ..sources import tables as t
 from . import query, view
 from .views import full, sround
@@ -109,7 +109,8 @@ view("tick_ewm", _ewm_sql("tick_rows", "sensor", "seq", "x", [9, 26], ["ewm_9",
 @query("ewm_adjusted", f"select sensor, seq, {sround('ewm_9')} ewm_9, {sround('ewm_26')} ewm_26 from tick_ewm")
 def ewm_adjusted(spark, sf):
     layers = side_by_side(ewm_layers("ewm_9", "x", 9), ewm_layers("ewm_26", "x", 26))
-    return _out(_ticks(spark, sf, layers, ewm_reach(26)), ["sensor", "seq"], ["ewm_9", "ewm_26"])
+    names = ["ewm_9", "ewm_26"]
+    return _out(hold(_ticks(spark, sf, layers, ewm_reach(26)), KEY, "seq", names), ["sensor", "seq"], names)
 
 
 Q30 = repr(1 - 2 / 31)
@@ -120,7 +121,7 @@ Q30 = repr(1 - 2 / 31)
  from tick_rows a join tick_rows b on a.sensor=b.sensor and b.rn<=a.rn group by 1,2""")
 def ewm_recursive(spark, sf):
     layers = ewm_layers("trend", "v", 30, adjust=False)
-    return _out(_ticks(spark, sf, layers, ewm_reach(30)), ["sensor", "seq"], ["trend"])
+    return _out(hold(_ticks(spark, sf, layers, ewm_reach(30)), KEY, "seq", ["trend"]), ["sensor", "seq"], ["trend"])
 
 
 @query("run_length", f"""

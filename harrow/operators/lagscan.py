@@ -75,7 +75,10 @@ def series_arrays(df: DataFrame, keys: list[str], d: str, x: str, y: str, max_la
 def null_scan(df: DataFrame, keys: list[str], d: str, x: str, y: str, draws: int = DRAWS, max_lag: int = MAX_LAG) -> DataFrame:
     """(keys, lag, b, r): correlations after shuffling the lagged side, one row per draw."""
     arrays = series_arrays(df, keys, d, x, y, max_lag)
-    lagged = arrays.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).repartition(*keys, "lag")
+    lagged = arrays.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
+    # few small rows with much work each: a fixed number of tasks, which are not merged again
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    lagged = lagged.repartition(tasks, *keys, "lag")
     n = F.size("x") - F.col("lag")
     lagged = lagged.filter(n >= MIN_PAIRS).select(
         *keys, "lag", F.slice("x", F.lit(1), n).alias("x"), F.slice("y", F.col("lag") + 1, n).alias("y")
@@ -85,12 +88,13 @@ def null_scan(df: DataFrame, keys: list[str], d: str, x: str, y: str, draws: int
     return long.groupBy(*keys, "lag", "b").agg(pearson("p.shuffled", "p.y").alias("r"))
 
 
-def permutation_p(static: DataFrame, null: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, lag, r, p): share of shuffles whose correlation is at least as large."""
+def permutation_p(static: DataFrame, null: DataFrame, keys: list[str], draws: int = DRAWS) -> DataFrame:
+    """(keys, lag, r, p): share of all shuffles whose correlation is at least as large; one without
+    a correlation is not."""
     seen = static.select(*keys, "lag", F.col("r").alias("r_obs"))
     hit = (F.abs("r") >= F.abs("r_obs")).cast("double")
     # joined on (series, lag): one observed value against its own draws
-    out = null.join(seen, [*keys, "lag"]).groupBy(*keys, "lag").agg(F.first("r_obs").alias("r"), F.avg(hit).alias("p"))
+    out = null.join(seen, [*keys, "lag"]).groupBy(*keys, "lag").agg(F.first("r_obs").alias("r"), (F.coalesce(F.sum(hit), F.lit(0.0)) / draws).alias("p"))
     return out
 
 

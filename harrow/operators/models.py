@@ -1,8 +1,11 @@
 """Models fitted with Spark ML on distributed feature tables.
 
 Settings follow the inventory's; what Spark's trees do not have (leaf caps, L1/L2 on leaves) is
-left out. Every fit takes `rounds` so that tests can stay small. Tables are written out before a
+left out. Every fit takes `rounds`, the most trees it may grow. Tables are written out before a
 fit, since boosting passes over its input once per tree level.
+
+Boosting stops early the way the settings ask for: the number of trees is the one with the least
+validation loss, once `patience` further trees have not improved it.
 """
 
 from __future__ import annotations
@@ -21,6 +24,10 @@ from .ordered import positions
 from .splits import balanced_weights, expanding_folds, positive_weight
 
 SEED = 42
+# Trees without improvement after which boosting stops.
+PATIENCE = {"binary": 50, "multiclass": 50, "regression": 50, "magnitude": 30}
+# Rows of a training partition; fewer, larger partitions make the many small jobs of a fit cheap.
+PARTITION_ROWS = 100_000
 # Tree settings per task and frequency.
 GBT = {
     ("binary", False): dict(maxIter=2000, stepSize=0.015, maxDepth=4, minInstancesPerNode=35, subsamplingRate=0.7, featureSubsetStrategy="0.6"),
@@ -68,15 +75,40 @@ def probability(model, df: DataFrame, cls: int = 1, out: str = "p") -> DataFrame
     )
 
 
+def fit_boosted(est, rows: DataFrame, patience: int):
+    """Fit on rows that are not `is_val`, with as many trees as validation wants.
+
+    Spark's own rule stops at the first tree that does not help. Here the model grows to twice the
+    patience, and twice as far as long as the best tree is younger than the patience; the losses of all its
+    prefixes come from one pass over the validation rows. The best prefix is fitted again, as the
+    same seed grows the same trees.
+    """
+    n = rows.agg(F.count_if(~F.col("is_val")).alias("train"), F.count_if("is_val").alias("val")).first()
+    parts = max(1, -(-n["train"] // PARTITION_ROWS))
+    train = rows.filter(~F.col("is_val")).drop("is_val").coalesce(parts).persist()
+    val = rows.filter("is_val").drop("is_val").coalesce(parts).persist()
+    try:
+        most, size = est.getMaxIter(), min(est.getMaxIter(), 2 * patience)
+        while n["val"]:
+            model = est.copy({est.maxIter: size}).fit(train)
+            losses = model.evaluateEachIteration(val) if isinstance(est, GBTClassifier) else model.evaluateEachIteration(val, "squared")
+            best = min(range(size), key=lambda i: losses[i]) + 1
+            if size == most or size - best >= patience:
+                return model if best == size else est.copy({est.maxIter: best}).fit(train)
+            size = min(most, 2 * size)
+        return est.fit(train)
+    finally:
+        train.unpersist()
+        val.unpersist()
+
+
 def fit_gbt_binary(df: DataFrame, features: list[str], label: str, weekly: bool = False, rounds: int | None = None):
     """Boosted trees; positives weigh (negatives / positives), capped; stops early on validation."""
     rows = assembled(_fit_rows(df), features)
     weight = rows.filter(~F.col("is_val")).agg(positive_weight(label).alias("w")).first()["w"]
     rows = rows.withColumn("weight", F.when(F.col(label) == 1, weight).otherwise(1.0))
-    est = GBTClassifier(
-        labelCol=label, weightCol="weight", validationIndicatorCol="is_val", **_gbt_params("binary", weekly, rounds)
-    )
-    return est.fit(rows)
+    est = GBTClassifier(labelCol=label, weightCol="weight", **_gbt_params("binary", weekly, rounds))
+    return fit_boosted(est, rows, PATIENCE["binary"])
 
 
 def gbt_multiclass(df: DataFrame, features: list[str], label: str, classes: list[int], weekly: bool = False, rounds: int | None = None) -> DataFrame:
@@ -89,10 +121,8 @@ def gbt_multiclass(df: DataFrame, features: list[str], label: str, classes: list
     out = rows
     for c in classes:
         one = fit.withColumn("is_cls", (F.col(label) == c).cast("double"))
-        est = GBTClassifier(
-            labelCol="is_cls", weightCol="weight", validationIndicatorCol="is_val", **_gbt_params("multiclass", weekly, rounds)
-        )
-        out = probability(est.fit(one), out, 1, f"__p{c}")
+        est = GBTClassifier(labelCol="is_cls", weightCol="weight", **_gbt_params("multiclass", weekly, rounds))
+        out = probability(fit_boosted(est, one, PATIENCE["multiclass"]), out, 1, f"__p{c}")
     total = reduce(lambda a, b: a + b, [F.col(f"__p{c}") for c in classes])
     out = out.withColumns({f"p_{c}": F.col(f"__p{c}") / total for c in classes})
     return out.drop(*[f"__p{c}" for c in classes])
@@ -100,8 +130,8 @@ def gbt_multiclass(df: DataFrame, features: list[str], label: str, classes: list
 
 def fit_gbt_regression(df: DataFrame, features: list[str], label: str, kind: str = "regression", weekly: bool = False, rounds: int | None = None):
     rows = assembled(_fit_rows(df), features)
-    est = GBTRegressor(labelCol=label, validationIndicatorCol="is_val", **_gbt_params(kind, weekly, rounds))
-    return est.fit(rows)
+    est = GBTRegressor(labelCol=label, **_gbt_params(kind, weekly, rounds))
+    return fit_boosted(est, rows, PATIENCE[kind])
 
 
 def fit_forest(df: DataFrame, features: list[str], label: str, weekly: bool = False, rounds: int | None = None):
@@ -210,8 +240,10 @@ def stack_rank_ridge(meta: DataFrame, keys: list[str], cols: list[str], label: s
         ranked = rank_fraction(ranked, [*keys, "split"], c, f"rank_{c}", bounded)
     feats = [f"rank_{c}" for c in cols]
     rows = assembled(ranked.filter(F.col("split") == fit_split), feats)
-    n = rows.count()
-    est = LinearRegression(labelCol=label, regParam=alpha / n, elasticNetParam=0.0, standardization=False)
+    # Spark divides the label by its deviation before it applies the penalty
+    n, sd = rows.agg(F.count(F.lit(1)), F.stddev(label)).first()
+    penalty = alpha * sd / n if sd else 0.0
+    est = LinearRegression(labelCol=label, regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal")
     return predictions(est.fit(rows), ranked, feats)
 
 

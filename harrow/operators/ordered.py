@@ -293,8 +293,10 @@ def ewm_layers(out: str, c: str | Column, span: int, adjust: bool = True) -> lis
     Rows are numbered inside segments no shorter than `ewm_reach(span)`. Inside a segment the
     decayed sum is q^k * sum(x * q^-k); what earlier segments contribute is the value at the end
     of the previous one times q^(k+1), everything older has weight below 1e-20. A caller's
-    `before` has to cover `ewm_reach(span)`. Missing values keep decaying the weights. With adjust=False the first value seeds the mean; feed that form a
-    series without gaps after its first value.
+    `before` has to cover `ewm_reach(span)`. Missing values keep decaying the weights; at them the mean of
+    the last value holds, however long the gap. In the blocked form a gap may be longer than
+    the halo: apply `hold` to the result. With adjust=False the first value seeds the mean; feed
+    that form a series without gaps after its first value.
     """
     q, m = 1 - 2 / (span + 1), max(SEGMENT, ewm_reach(span)) if span >= 3 else ewm_reach(span)
     x = col(c).cast("double")
@@ -333,12 +335,18 @@ def ewm_layers(out: str, c: str | Column, span: int, adjust: bool = True) -> lis
         return {f"__tn_{out}": total(num), f"__td_{out}": total(den)}
 
     def divide(ctx: Ctx) -> dict[str, Column]:
-        seen = F.count(x).over(ctx.w.rowsBetween(Window.unboundedPreceding, 0)) > 0
-        return {out: F.when(seen, F.try_divide(F.col(f"__tn_{out}"), F.col(f"__td_{out}")))}
+        # numerator and denominator decay alike: between values the mean stays what it was
+        mean = F.when(x.isNotNull(), F.try_divide(F.col(f"__tn_{out}"), F.col(f"__td_{out}")))
+        return {out: F.last(mean, ignorenulls=True).over(ctx.w.rowsBetween(Window.unboundedPreceding, 0))}
 
     return [number, seeds, inside, across, divide] if not adjust else [number, inside, across, divide]
 
 
+def hold(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Carry the last known value of each column through missing ones, over any distance."""
+    return running(df, keys, order, {c: Run("last", F.col(c)) for c in columns})
+
+
 def side_by_side(*stacks: list[Layer]) -> list[Layer]:
     """Run several layer stacks in lockstep, so independent features share window passes."""
     depth = max(len(s) for s in stacks)

@@ -118,7 +118,7 @@ def permuted_arrays(df: DataFrame, keys: list[str], x: str, draws: int) -> DataF
         F.sequence(F.lit(0).cast("long"), last),
         lambda j: F.struct(draw_key(F.col("b"), j).alias("h"), j.alias("j"), F.get(x, j.cast("int")).alias("v")),
     )
-    return out.withColumn("shuffled", F.transform(F.array_sort(tagged), lambda s: s["v"]))
+    return out.withColumn("shuffled", F.transform(F.sort_array(tagged), lambda s: s["v"]))
 
 
 def minmax_scale(df: DataFrame, keys: list[str], cols: list[str], split: str = "split") -> DataFrame:
