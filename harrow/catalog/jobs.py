@@ -246,8 +246,7 @@ def coffee_reports(spark, sf):
                  F.round("lo", 2).alias("production_change_vs_last_year_pct")).alias("national"),
         F.create_map(F.lit("sul_de_minas"), F.struct(F.when(F.col("lo") < 1, "good").when(F.col("lo") < 3, "odd").alias("condition"))).alias("regions"),
         F.array(F.when(F.col("hi") >= 90, "long drought").otherwise("frost")).alias("weather_events"), label_of().alias("signal"))
-    # a report every week or so: days on which no reading stayed under the limit have none
-    text = w.filter(F.col("lo") < 2).select("d", F.to_json(doc).alias("text"))
+    text = w.select("d", F.to_json(doc).alias("text"))
     return reports.parse_coffee(text, "text", ["d"]).filter("accepted")
 
 
@@ -255,7 +254,7 @@ COFFEE = ["coffee_stage_encoded", "coffee_harvest_completion", "coffee_productio
 view("coffee_docs", """
  select d, case when hi<60 then 1 when hi<90 then 4 else 0 end coffee_stage_encoded, least(floor(lo),100)::int coffee_harvest_completion, round(lo,2) coffee_production_change_pct,
   case when lo<1 then 3 else 2 end coffee_sul_minas_condition, 0 coffee_signal_encoded, (hi<60)::int coffee_flowering_flag, (hi>=90)::int coffee_drought_flag
- from (select d, max(temp_max) hi, min(temp_min) lo from weather group by 1) where lo<2""")
+ from (select d, max(temp_max) hi, min(temp_min) lo from weather group by 1)""")
 view("coffee_daily", f"""
  select d, {', '.join(both_fill(c) for c in COFFEE)} from (select cast(unnest(generate_series(lo,hi,interval 1 day)) as date) d from (select min(d) lo, max(d) hi from coffee_docs)) left join coffee_docs using (d)""")
 

@@ -33,12 +33,10 @@ def scan_bars_csv(spark, sf):
 def scan_series_dir(spark, sf):
     w = t.weather(spark, sf)
     base = sinks.scratch(spark, "stations")
-    # region names are the five event types of the schema; each becomes one "file"
-    for region in ("click", "error", "purchase", "signup", "view"):
-        part = w.filter(F.col("region") == region).select("d", "temp_max", "precip")
-        name = ("corn_" if region == "error" else "coffee_") + region
-        sinks.write_csv(part, f"{base}/clean_despiked_{name}.csv")
-    out = files.read_series_dir(spark, f"{base}/*.csv", {"d": "date", "temp_max": "double", "precip": "double"})
+    crop = F.when(F.col("region") == "error", "corn_").otherwise("coffee_")
+    named = w.select(F.concat(F.lit("clean_despiked_"), crop, "region").alias("series"), "d", "temp_max", "precip")
+    sinks.write_csv(named, base, ["series"])
+    out = files.read_series_dir(spark, base, {"d": "date", "temp_max": "double", "precip": "double"})
     return out.select("series", "grp", "d", "temp_max", "precip")
 
 

@@ -8,6 +8,7 @@ from ..operators import metrics as M
 from ..operators import splits
 from ..sources import tables as t
 from . import query, view
+from .evaluation import with_split
 from .views import sround
 
 KEYS = ["tag", "model"]
@@ -36,15 +37,26 @@ def ls_trades(spark, sf):
     return strided(spark, sf).withColumn("signal", B.long_short_signal("p_up", "p_down", F.lit(B.LEVEL_DAILY), shorts()))
 
 
+view("split_preds", "select p.*, s.split from preds p join (select tag, d, split from tag_split where split is not null) s using (tag, d)")
+view("f1_val", """
+ select tag, model, thr, coalesce(2e0*count(*) filter (where y_true=1 and p>=thr)/nullif(count(*) filter (where p>=thr)+sum(y_true),0),0) f1
+ from split_preds cross join (select i*0.01e0+0.05e0 thr from range(90) t(i)) where split='val' group by 1,2,3""")
 view("thr_trades", """
- select a.*, thr, (p>=thr)::int s, (p>=thr)::int*r sr from strided a join (select tag, model, thr from
- (select *, row_number() over (partition by tag, model order by f1 desc, thr) k from f1_scan) where k=1) using (tag, model)""")
+ select a.*, thr, (p>=thr)::int s, (p>=thr)::int*r sr from
+ (select * from (select *, row_number() over (partition by tag, model order by d) q from split_preds where split='test') where (q-1)%7=0) a join (select tag, model, thr from
+ (select *, row_number() over (partition by tag, model order by f1 desc, thr) k from f1_val) where k=1) using (tag, model)""")
+
+
+def tuned(spark, sf):
+    """Test rows with the threshold that does best on the validation rows of the same key."""
+    rows = with_split(spark, sf)
+    thr = M.best_f1_threshold(rows.filter(F.col("split") == "val"), KEYS, "y_true", "p").select(*KEYS, "threshold")
+    return rows.filter(F.col("split") == "test").join(thr, KEYS)
 
 
 @query("signal_threshold", "select tag, model, d, s signal from thr_trades")
 def signal_threshold(spark, sf):
-    thr = M.best_f1_threshold(t.predictions(spark, sf), KEYS, "y_true", "p").select(*KEYS, "threshold")
-    out = strided(spark, sf).join(thr, KEYS).withColumn("signal", B.threshold_signal("p", F.col("threshold")))
+    out = splits.stride(tuned(spark, sf), KEYS, "d", 7).withColumn("signal", B.threshold_signal("p", F.col("threshold")))
     return out.select(*KEYS, "d", "signal")
 
 
@@ -126,10 +138,8 @@ def _summary_out(df, keys):
 
 @query("backtest_compare", _summary_sql("thr_trades"))
 def backtest_compare(spark, sf):
-    """Binary engine: tuned threshold per (tag, model)."""
-    rows = t.predictions(spark, sf)
-    thr = M.best_f1_threshold(rows, KEYS, "y_true", "p").select(*KEYS, "threshold")
-    out = B.compare(rows.join(thr, KEYS), KEYS, B.threshold_signal("p", F.col("threshold")))
+    """Binary engine: threshold per (tag, model) from validation, trades on test."""
+    out = B.compare(tuned(spark, sf), KEYS, B.threshold_signal("p", F.col("threshold")))
     return _summary_out(out, KEYS)
 
 

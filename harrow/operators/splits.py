@@ -88,9 +88,9 @@ def stride(df: DataFrame, keys: list[str], d: str, step: int | Column = 7) -> Da
     return p.filter((F.col("__rn") - 1) % step == 0).drop("__rn")
 
 
-def sample_rows(df: DataFrame, keys: list[str], ident: list[str], k: int, seed: int = 42) -> DataFrame:
-    """Up to k rows per key in the order of a seeded hash of the row identity."""
-    score = F.xxhash64(F.lit(seed), *ident)
+def sample_rows(df: DataFrame, keys: list[str], ident: list[str], k: int, seed: int = 42, score: Column | None = None) -> DataFrame:
+    """Up to k rows per key in the order of a seeded hash of the row identity, or of `score`."""
+    score = F.xxhash64(F.lit(seed), *ident) if score is None else score
     w = Window.partitionBy(*keys).orderBy("__h", *ident)
     ranked = df.withColumn("__h", score).withColumn("__r", F.row_number().over(w))
     # a row_number <= k filter is applied per task before the shuffle as well (group limit)

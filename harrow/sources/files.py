@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +33,29 @@ def number(c: str | Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def by_header(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """Headed CSV files with columns bound by name; every file must have the header of the first one."""
+    names = [f.name for f in spark.read.csv(path, header=True).schema if f.name not in _partitions(spark, path)]
+    missing = set(columns) - set(names)
+    if missing:
+        raise ValueError(f"columns {sorted(missing)} are not in the header of {path}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    raw = spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+    return raw.withColumns({c: F.col(c).cast(kind) for c, kind in columns.items() if kind != "string"})
+
+
+def _partitions(spark: SparkSession, path: str) -> set[str]:
+    """Names that stand in the folders (`name=value`), not in the files."""
+    return {m for f in spark.read.text(path).limit(1).select(F.col("_metadata.file_path")).collect() for m in re.findall(r"/([^/=]+)=[^/]*(?=/)", f[0])}
+
+
 def read_bars_csv(spark: SparkSession, path: str, columns: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
     """Daily bars from headed CSV text.
 
     The date column may be called `index`; rows without a date (a repeated header) are dropped;
     prices which are not numbers become null.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
+    raw = by_header(spark, path, {c: "string" for c in columns})
     if "index" in raw.columns and "Date" not in raw.columns:
         raw = raw.withColumnRenamed("index", "Date")
     prices = [c for c in ("Open", "High", "Low", "Close", "Volume") if c in raw.columns]
@@ -53,11 +70,10 @@ def read_series_dir(spark: SparkSession, path: str, columns: dict[str, str]) ->
 
     `clean_despiked_coffee_North.csv` is series `coffee_North` of group `coffee`.
     """
-    schema = ", ".join(f"{c} {t}" for c, t in columns.items())
-    raw = spark.read.schema(schema).csv(path, header=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv(?:/part-[^/]*)?$", 1)
+    raw = by_header(spark, path, columns)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+?)(?:\.csv)?(?:/part-[^/]*)?$", 1)
     series = F.regexp_replace(name, "^(?:clean_)?(?:despiked_)?", "")
-    return raw.select("*", series.alias("series")).withColumn("grp", F.substring_index("series", "_", 1))
+    return raw.select(*columns, series.alias("series")).withColumn("grp", F.substring_index("series", "_", 1))
 
 
 STATISTICS = "Results struct<series: array<struct<data: array<struct<year: string, period: string, value: string>>>>>"

@@ -46,8 +46,9 @@ def cut(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True)
+def write_csv(df: DataFrame, path: str, by: list[str] = ()) -> None:
+    """Headed CSV files, one folder per value of `by`."""
+    df.write.partitionBy(*by).csv(path, header=True)
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
