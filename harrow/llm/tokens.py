@@ -20,7 +20,7 @@ from .common import cut
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 25
 #: Encoded pieces that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: White space that keeps a text from being cut at its blanks.
 UNEVEN = re.compile(r" \s|\A | \Z")
 
@@ -84,12 +84,14 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: s
 
     spec = Path(tokenizer_path).read_text(encoding="utf-8")
     width = 2 if max(Tokenizer.from_str(spec).get_vocab_size(), end + 1) <= 1 << 16 else 4
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    # a worker keeps the broadcast dictionary over its tasks, and with it its encoder and the pieces it knows
+    shared = docs.sparkSession.sparkContext.broadcast({"spec": spec})
     kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, tail = Encoder(shared.value, kind), np.array([end], kind).tobytes()
+        own = shared.value
+        encoder, tail = own.get("encoder") or own.setdefault("encoder", Encoder(own["spec"], kind)), np.array([end], kind).tobytes()
         for batch in batches:
             blobs = [encoder(t.as_py() or "") + tail for t in batch["text"]]
             sizes = pa.array([len(b) // width for b in blobs], pa.int64())
