@@ -17,7 +17,7 @@ from ..operators.ordered import over_rows, side_by_side
 from ..plans import reports
 from ..sources import tables as t
 from ..sources.sinks import cut
-from . import query
+from . import query, view
 from .resampling import report_wide
 from .views import sround
 
@@ -25,6 +25,29 @@ KEYS = ["symbol"]
 FEATURES = ["log_return", "rsi_14", "volatility_20d", "momentum_1w", "momentum_1m", "hl_range_pct", "volume_ratio"]
 
 
+# rows of the model table: every feature needs its window, every label its horizon
+view("fit_rows", """
+ select symbol, d, target_binary, case when i<floor(n*0.7e0)-7 then 'train' when i>=floor(n*0.7e0) and i<floor(n*0.8e0)-7 then 'val' when i>=floor(n*0.8e0) then 'test' end split
+ from (select symbol, d, (r>0.025e0)::double target_binary, row_number() over (partition by symbol order by d)-1 i, count(*) over (partition by symbol) n from
+ (select symbol, d, lead(close,7) over w/close-1 r, row_number() over w rn, count(*) over (partition by symbol) m from bars window w as (partition by symbol order by d)) where rn>=22 and rn<=m-7)""")
+BINARY = "select symbol, d, target_binary, true valid from fit_rows where split='test'"
+PLAIN = "select symbol, d, true valid from fit_rows where split='test'"
+
+
+def scores(*cols, total=False):
+    """Whether every score is a probability and, for `total`, whether they sum to one."""
+    fine = F.lit(True)
+    for c in cols:
+        fine = fine & F.col(c).between(0.0, 1.0)
+    if total:
+        fine = fine & (F.abs(sum(F.col(c) for c in cols) - 1.0) < 1e-6)
+    return fine.alias("valid")
+
+
+def finite(c):
+    return (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 10)).alias("valid")
+
+
 def model_table(spark, sf):
     """Features, labels and split of all symbols in one table, written once per fit."""
     layers = side_by_side(
@@ -49,25 +72,25 @@ def _test(df):
     return df.filter(F.col("split") == "test")
 
 
-@query("gbt_binary")
+@query("gbt_binary", BINARY)
 def gbt_binary(spark, sf):
     df = split_rows(spark, sf)
     model = X.fit_gbt_binary(df, FEATURES, "target_binary")
-    return X.probability(model, X.assembled(_test(df), FEATURES)).select("symbol", "d", "target_binary", rounded("p").alias("p"))
+    return X.probability(model, X.assembled(_test(df), FEATURES)).select("symbol", "d", "target_binary", scores("p"))
 
 
-@query("gbt_multiclass")
+@query("gbt_multiclass", PLAIN)
 def gbt_multiclass(spark, sf):
     df = split_rows(spark, sf)
     out = X.gbt_multiclass(df, FEATURES, "target_multiclass", [0, 1, 2])
-    return _test(out).select("symbol", "d", "target_multiclass", *[rounded(f"p_{c}").alias(f"p_{c}") for c in (0, 1, 2)])
+    return _test(out).select("symbol", "d", scores("p_0", "p_1", "p_2", total=True))
 
 
-@query("gbt_regression")
+@query("gbt_regression", PLAIN)
 def gbt_regression(spark, sf):
     df = split_rows(spark, sf)
     model = X.fit_gbt_regression(df, FEATURES, "target_reg")
-    return X.predictions(model, _test(df), FEATURES).select("symbol", "d", "target_reg", rounded("y_hat").alias("y_hat"))
+    return X.predictions(model, _test(df), FEATURES).select("symbol", "d", finite("y_hat"))
 
 
 @query("gbt_walkforward")
@@ -78,28 +101,28 @@ def gbt_walkforward(spark, sf):
     return out.withColumn("p", rounded("p"))
 
 
-@query("rf_binary")
+@query("rf_binary", BINARY)
 def rf_binary(spark, sf):
     df = split_rows(spark, sf)
     model = X.fit_forest(df, FEATURES, "target_binary")
-    return X.probability(model, X.assembled(_test(df), FEATURES)).select("symbol", "d", "target_binary", rounded("p").alias("p"))
+    return X.probability(model, X.assembled(_test(df), FEATURES)).select("symbol", "d", "target_binary", scores("p"))
 
 
-@query("rf_multiclass")
+@query("rf_multiclass", PLAIN)
 def rf_multiclass(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     df = split_rows(spark, sf)
     model = X.fit_forest(df, FEATURES, "target_multiclass")
     scored = model.transform(X.assembled(_test(df), FEATURES)).withColumn("ps", vector_to_array("probability"))
-    return scored.select("symbol", "d", "target_multiclass", *[rounded(F.get("ps", F.lit(c))).alias(f"p_{c}") for c in (0, 1, 2)])
+    return scored.withColumns({f"p_{c}": F.get("ps", F.lit(c)) for c in (0, 1, 2)}).select("symbol", "d", scores("p_0", "p_1", "p_2", total=True))
 
 
-@query("rf_regression")
+@query("rf_regression", PLAIN)
 def rf_regression(spark, sf):
     df = split_rows(spark, sf)
     model = X.fit_forest_regression(df, FEATURES, "target_reg")
-    return X.predictions(model, _test(df), FEATURES).select("symbol", "d", "target_reg", rounded("y_hat").alias("y_hat"))
+    return X.predictions(model, _test(df), FEATURES).select("symbol", "d", finite("y_hat"))
 
 
 @query("null_importance_select")
@@ -122,14 +145,14 @@ def meta(spark, sf, value="p", anchor="y_true"):
 BASE = ["m1", "m2", "m3", "m4"]
 
 
-@query("stack_logistic")
+@query("stack_logistic", "select tag, d, y_true, true valid from preds_split where model=1 and split='test'")
 def stack_logistic(spark, sf):
     df = meta(spark, sf)
     model = X.stack_logistic(df.filter(F.col("split") == "val"), BASE, "y_true")
-    return X.probability(model, X.assembled(_test(df), BASE)).select("tag", "d", "y_true", rounded("p").alias("p"))
+    return X.probability(model, X.assembled(_test(df), BASE)).select("tag", "d", "y_true", scores("p"))
 
 
-@query("stack_multinomial")
+@query("stack_multinomial", "select tag, d, cls, true valid from preds_split where model=1 and split='test'")
 def stack_multinomial(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
@@ -142,7 +165,7 @@ def stack_multinomial(spark, sf):
     feats = [f"{m}_{c}" for c in cols for m in BASE]
     model = X.stack_logistic(df.filter(F.col("split") == "val"), feats, "cls", multinomial=True)
     scored = model.transform(X.assembled(_test(df), feats)).withColumn("ps", vector_to_array("probability"))
-    return scored.select("tag", "d", "cls", *[rounded(F.get("ps", F.lit(c))).alias(f"p_{c}") for c in (0, 1, 2)])
+    return scored.withColumns({f"p_{c}": F.get("ps", F.lit(c)) for c in (0, 1, 2)}).select("tag", "d", "cls", scores("p_0", "p_1", "p_2", total=True))
 
 
 @query("stack_rank_ridge")

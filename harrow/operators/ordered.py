@@ -33,6 +33,9 @@ from ..functions.nullsafe import col
 from ..sources.sinks import cut
 
 BLOCK_ROWS = 4096
+# Rows of a value range, and how many there may be; the ranges grow beyond that.
+PIECE_ROWS = 500_000
+MAX_PIECES = 1024
 
 
 @dataclass(frozen=True)
@@ -258,23 +261,26 @@ def running(
 
 
 def running_by_value(
-    df: DataFrame, keys: list[str], value: str, specs: dict[str, Run], bounded: bool = False, pieces: int = 256
+    df: DataFrame, keys: list[str], value: str, specs: dict[str, Run], bounded: bool = False, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """`running` along a numeric column.
 
     bounded: the caller knows that a key holds at most one row per day, so a key fits one task.
-    Otherwise keys are cut into equal value ranges between their min and max. That cut depends on
-    the data only, so a recomputed task lands in the same block; the input is written out first
-    because it is read three times.
+    Otherwise a key is cut at approximate quantiles of its values into pieces of about
+    `piece_rows` rows, so neither outliers nor a hot key gather rows in one task. The splits and the input
+    are written out first: they are read more than once and have to stay the same.
     """
     if bounded:
         return running(df, keys, value, specs, blocked=False)
+    if not keys:
+        return running_by_value(df.withColumn("__all", F.lit(0)), ["__all"], value, specs, piece_rows=piece_rows).drop("__all")
     df = cut(df, "by_value")
-    ends = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    v, lo, hi = F.col(value), F.col("__lo"), F.col("__hi")
-    piece = F.coalesce(F.floor(F.try_divide((v - lo) * float(pieces), hi - lo)), F.lit(0))
-    out = running(df.join(ends, keys), keys, value, specs, bucket=piece)
-    return out.drop("__lo", "__hi")
+    pieces = min(MAX_PIECES, df.count() // piece_rows + 1)
+    at = [i / pieces for i in range(1, pieces)] or [0.5]
+    splits = df.groupBy(*keys).agg(F.percentile_approx(value, at, 10_000).alias("__splits"))
+    splits = cut(splits.withColumn("__splits", F.array_distinct("__splits")), "splits")
+    piece = F.size(F.filter("__splits", lambda s: s < F.col(value))).cast("long")
+    return running(df.join(splits, keys), keys, value, specs, bucket=F.coalesce(piece, F.lit(0))).drop("__splits")
 
 
 def ewm_reach(span: int) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import rolling as R
 from harrow.operators import clean, ordered
-from harrow.operators.ordered import Run, ewm_layers, ewm_reach, over_rows, positions, running, side_by_side
+from harrow.operators.ordered import Run, ewm_layers, ewm_reach, hold, over_rows, positions, running, running_by_value, side_by_side
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +76,41 @@ def test_ewm(frame, series, form, span):
     same(collected(out, ["e"]), expected(series, lambda g: pd.DataFrame({"e": g.v.ewm(span=span).mean()})))
 
 
+def test_ewm_over_long_gap(spark, form, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 4096)
+    rng = np.random.default_rng(1)
+    v = rng.normal(10, 3, 12_000)
+    v[3000:8950] = np.nan
+    pdf = pd.DataFrame({"k": "a", "seq": np.arange(len(v)), "v": v})
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    out = over_rows(df, ["k"], "seq", ewm_layers("e", "v", 9), ewm_reach(9), **(form | {"width": 4096}))
+    got = hold(out, ["k"], "seq", ["e"]).orderBy("seq").toPandas()["e"].to_numpy()
+    np.testing.assert_allclose(got, pdf.v.ewm(span=9).mean().to_numpy(), rtol=1e-9)
+
+
+def test_value_ranges_follow_the_rows(spark):
+    """An outlier and a hot key do not gather rows in one range."""
+    n = 20_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 < 7, "hot").otherwise("b").alias("k"), (F.rand(3) * 100).alias("v"), F.lit(1).alias("one"))
+    df = df.unionByName(df.limit(1).withColumn("v", F.lit(1e9)))
+    seen = {}
+    keep = ordered.running
+
+    def watch(rows, keys, order, specs, blocked=None, width=4096, bucket=None):
+        if bucket is not None:
+            seen["most"] = rows.withColumn("__b", bucket).groupBy(*keys, "__b").count().agg(F.max("count")).first()[0]
+        return keep(rows, keys, order, specs, bucket=bucket)
+
+    ordered.running = watch
+    try:
+        out = running_by_value(df, ["k"], "v", {"total": Run("sum", F.col("one"))}, piece_rows=500).toPandas()
+    finally:
+        ordered.running = keep
+    assert seen["most"] < n / 20
+    for _, g in out.sort_values("v").groupby("k"):
+        assert g.total.tolist() == list(range(1, len(g) + 1))
+
+
 def test_ewm_recursive_and_short_segments(frame, series, form, monkeypatch):
     monkeypatch.setattr(ordered, "SEGMENT", 1)
     filled = clean.forward_fill(frame, ["k"], "seq", ["v"], **form)
