@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow.sources.sinks import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-__all__ = ["Query", "compose", "cut", "components", "in_fraction", "pack", "read", "revive"]
+__all__ = ["Query", "bounded_sample", "compose", "cut", "components", "in_fraction", "pack", "read", "revive"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +71,23 @@ def revive(kind: type, state: dict | None):
     out = kind.__new__(kind)
     out.__dict__.update(state)
     return out
+
+
+def bounded_sample(classes: DataFrame, texts: DataFrame, caps: Callable[[object], int]) -> list[tuple[str, object]]:
+    """Sorted (text, class) of at most caps(class) ids of each class, chosen by a hash of the id.
+
+    `classes` has (id, class), `texts` (id, text). Ids are thinned to about twice the cap before they are ranked, and only
+    the chosen ids, a bounded number, are joined with the texts; an id's least text stands for it.
+    """
+    ids = classes.groupBy("id").agg(F.max("class").alias("class"))
+    counts = {r["class"]: r["n"] for r in ids.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    limits = [(c, caps(c), min(1.0, 2 * caps(c) / n)) for c, n in counts.items()]
+    about = classes.sparkSession.createDataFrame(limits, T.StructType([classes.schema["class"], T.StructField("cap", T.IntegerType()), T.StructField("share", T.DoubleType())]))
+    key = F.xxhash64("id")
+    thinned = ids.join(F.broadcast(about), "class").filter(F.pmod(key, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(key, "id"))
+    chosen = thinned.withColumn("rank", rank).filter("rank <= cap").select("id", "class")
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "class").agg(F.min("text").alias("text"))
+    return sorted((r["text"], r["class"]) for r in found.collect())

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import revive
+from .common import bounded_sample, revive
 
 #: Subwords are byte runs of these lengths within a word and its edges, hashed into BUCKETS.
 SIZES = (2, 3, 4)
@@ -115,12 +115,10 @@ def fit(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.5,
 
 
 def sample(docs: DataFrame, per_lang: int, max_chars: int, text: str, lang: str, doc_id: str) -> list[tuple[str, str]]:
-    """At most `per_lang` whole labelled texts of each language, of at most `max_chars` characters, by hash of id and text."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars))
-    order = Window.partitionBy("lang").orderBy("key", "text")
-    keyed = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
-    few = keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
-    return sorted((r["text"], r["lang"]) for r in few.select("text", "lang").collect())
+    """At most `per_lang` whole labelled texts of each language, of at most `max_chars` characters, by hash of the id."""
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & (F.length(text) <= max_chars))
+    rows = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("class"), F.col(text).alias("text"))
+    return bounded_sample(rows.select("id", "class"), rows.drop("class"), lambda _: per_lang)
 
 
 def identify(

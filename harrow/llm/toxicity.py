@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import revive
+from .common import bounded_sample, revive
 
 #: A word, or a run of marks; the heads of a word are terms as well.
 WORD = re.compile(r"[^\W_]+")
@@ -152,13 +152,10 @@ def fit(texts: list[str], labels: list[int], size: int = 2048, epochs: int = 30,
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int, text: str, doc_id: str, label: str) -> list[tuple[str, int]]:
-    """Labelled texts by hash: at most `per_label` of label 1, and of label 0 in proportion, at most three times as many."""
-    marks = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
+    """Labelled texts by hash of the id: at most `per_label` of label 1 and three times as many of label 0."""
+    marks = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).alias("class"))
     rows = docs.filter(F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    keyed = rows.join(marks, "id").select("text", "y", F.xxhash64("id", "text").alias("key"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("key", "text"))
-    few = keyed.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("y") == 1, per_label).otherwise(3 * per_label))
-    return sorted((r["text"], r["y"]) for r in few.select("text", "y").collect())
+    return bounded_sample(marks.join(rows.select("id"), "id"), rows, lambda y: per_label if y == 1 else 3 * per_label)
 
 
 def toxicity(
