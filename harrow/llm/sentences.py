@@ -29,41 +29,48 @@ def split(text: str | None, long: int = LONG) -> list[str]:
     return out
 
 
-def runs(sentences: list[str], several: int, min_words: int) -> tuple[list[int], list[bytes]]:
+def run_ends(words: list[list[bytes]], several: int, min_words: int) -> list[int]:
     """For every sentence the end (exclusive) of the shortest run from it that has `several` sentences and
-    `min_words` words, and the run's words; runs that the text's end cuts off are left out."""
-    words = [s.encode("utf-8", "surrogatepass").split() for s in sentences]
-    flat, at = [b" ".join(w) for w in words], np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    first = np.searchsorted(at, at[:-1] + min_words) if len(words) else np.array([], int)
+    `min_words` words; runs that the text's end cuts off are left out."""
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+    first = np.searchsorted(at, at[:-1] + min_words)
     ends = np.maximum(first, np.arange(len(words)) + several)
-    ends = ends[ends <= len(words)].tolist()
+    return ends[ends <= len(words)].tolist()
+
+
+def sentence_words(sentences: list[str]) -> list[list[bytes]]:
+    return [s.encode("utf-8", "surrogatepass").split() for s in sentences]
+
+
+def runs(sentences: list[str], several: int, min_words: int) -> tuple[list[int], list[bytes]]:
+    """The ends of all runs and their words."""
+    words = sentence_words(sentences)
+    ends, flat = run_ends(words, several, min_words), [b" ".join(w) for w in words]
     return ends, [b" ".join(filter(None, flat[i:e])) for i, e in enumerate(ends)]
 
 
 def spans(ids: DataFrame, several: int, min_words: int) -> DataFrame:
-    """Rows (h1, h2, doc_id, th, start, end) of every run: 128 bits of hash, the document, the sentences."""
+    """Rows (h1, h2, doc_id, at) of every run: 128 bits of hash, the document, its tie-breaker and the first sentence."""
 
     def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_128_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            at, hashes, start, end = [], [], [], []
+            row, hashes, start = [], [], []
             for k, text in enumerate(batch["text"]):
-                ends, keys = runs(split(text.as_py()), several, min_words)
-                at += [k] * len(ends)
-                start += range(len(ends))
-                end += ends
+                _, keys = runs(split(text.as_py()), several, min_words)
+                row += [k] * len(keys)
+                start += range(len(keys))
                 hashes += [digest(x) for x in keys]
-            both = np.frombuffer(b"".join(h.to_bytes(16, "little") for h in hashes), np.int64).reshape(-1, 2)
-            rows = pa.array(at, pa.int64())
+            both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            rows = pa.array(row, pa.int64())
+            at = batch["tie"].to_numpy()[np.array(row, np.int64)] << 32 | np.array(start, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(both[:, 0]), pa.array(both[:, 1]), batch["doc_id"].take(rows), batch["th"].take(rows),
-                 pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-                names=["h1", "h2", "doc_id", "th", "start", "end"])
+                [pa.array(both[:, 0]), pa.array(both[:, 1]), batch["doc_id"].take(rows), pa.array(at)], names=["h1", "h2", "doc_id", "at"])
 
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInArrow(cut_runs, f"h1 long, h2 long, doc_id {kind}, th long, start int, end int")
+    return ids.mapInArrow(cut_runs, f"h1 long, h2 long, doc_id {kind}, at long")
 
 
 def drop_repeated_spans(
@@ -83,15 +90,15 @@ def drop_repeated_spans(
     hash. A missing id counts as the smallest. An empty table gives no rows.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    packed = packed.withColumn("th", F.xxhash64("text"))
-    found = spans(packed.select("doc_id", "th", "text"), several, min_words)
-    place = F.struct("doc_id", "th", "start")
+    packed = packed.withColumn("tie", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
+    found = spans(packed.select("doc_id", "tie", "text"), several, min_words)
+    place = F.struct("doc_id", "at")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     later = found.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     # bounded by a document's own sentences
-    removed = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("hits"))
-    removed = removed.withColumnsRenamed({"doc_id": "did", "th": "tth"})
-    joined = packed.join(removed, packed["doc_id"].eqNullSafe(removed["did"]) & (packed["th"] == removed["tth"]), "left")
+    start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
+    removed = later.groupBy(F.col("doc_id").alias("did"), F.shiftright("at", 32).alias("own")).agg(F.collect_set(start).alias("hits"))
+    joined = packed.join(removed, packed["doc_id"].eqNullSafe(removed["did"]) & (packed["tie"] == removed["own"]), "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +106,9 @@ def drop_repeated_spans(
             for text, hits in zip(batch["text"], batch["hits"]):
                 sentences, text = split(text.as_py()), text.as_py()
                 merged: list[list[int]] = []
-                for s, e in sorted((h["start"], h["end"]) for h in hits.as_py() or []):
+                starts = sorted(hits.as_py() or [])
+                ends = run_ends(sentence_words(sentences), several, min_words) if starts else []
+                for s, e in [(s, ends[s]) for s in starts]:
                     if merged and s <= merged[-1][1]:
                         merged[-1][1] = max(e, merged[-1][1])
                     else:
