@@ -40,22 +40,13 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
         [max(-LIMIT - 1, min(LIMIT, sum(int(a) * int(b) for a, b in zip(x, y)))) for x, y in zip(q, c)], np.int64)
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to smaller ids."""
-    if len(scores) > 4 * k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= edge)
-        return at[np.lexsort((ids[at], -scores[at]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
-
-
-def top_in_block(q_id, q, floor, c_id, c, rotation, k: int) -> tuple[list, list, list]:
+def top_in_block(q_id, q, floor, c_id, c, rotation, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of one block for each query that can reach its floor.
 
     The block is in descending length. Strip by strip, a query stays while its length times the
-    strip's first length reaches the k-th score found so far; the first rotated coordinates give a partial
-    product, the lengths of the rest bound what they leave out, and only pairs whose bound
-    reaches the k-th score are multiplied out, in whole numbers.
+    strip's first length reaches the k-th score known so far; the first rotated coordinates give a partial
+    product, and the lengths of the rest bound what they leave out. Queries with a pair whose bound
+    reaches the k-th score are multiplied out with the strip, in whole numbers.
     """
     width = max(q.shape[1], c.shape[1], len(rotation))
     pad = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
@@ -63,41 +54,49 @@ def top_in_block(q_id, q, floor, c_id, c, rotation, k: int) -> tuple[list, list,
     turn[:len(rotation), :len(rotation)] = rotation
     q, c = pad(q), pad(c)
     # bounds are made in doubles on scaled vectors; the slack covers their rounding
-    scale = max(np.abs(q).max(initial=1), np.abs(c).max(initial=1), 1.0)
+    top_q, top_c = np.abs(q).max(initial=1.0), np.abs(c).max(initial=1.0)
+    scale = max(top_q, top_c)
     tq, tc = (q / scale) @ turn, (c / scale) @ turn
-    unit, head = scale * scale, max(1, width // 4)
+    unit, head, slack = scale * scale, max(1, width // 4), 1e-9 * width
+    plain = top_q * top_c * width < 2.0**53  # products and sums of doubles are then exact
     lq, lc = np.linalg.norm(tq, axis=1), np.linalg.norm(tc, axis=1)
     rq, rc = np.linalg.norm(tq[:, head:], axis=1), np.linalg.norm(tc[:, head:], axis=1)
-    slack = 1e-9 * width
     order = np.argsort(-lc, kind="stable")
-    floor = floor.astype(np.float64).copy()
-    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_id]
+    floor = floor.copy()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(c), STRIP):
         strip = order[at:at + STRIP]
-        need = floor / unit - slack
+        need = floor.astype(np.float64) / unit - slack
         live = np.flatnonzero(lq * lc[strip[0]] >= need)
         if not len(live):
             break
         bound = tq[live, :head] @ tc[strip, :head].T + rq[live, None] * rc[strip]
-        a, b = np.nonzero((bound >= need[live, None]) & (q_id[live, None] != c_id[strip]))
-        score = np.concatenate([exact(q[live[a[i:i + 65536]]], c[strip[b[i:i + 65536]]]) for i in range(0, len(a), 65536)] or [np.zeros(0, np.int64)])
-        ends = np.searchsorted(a, np.arange(len(live) + 1))
-        for i, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-            if x == y:
-                continue
-            n = live[i]
-            ids = np.concatenate([held[n][0], c_id[strip[b[x:y]]]])
-            scores = np.concatenate([held[n][1], score[x:y]])
-            keep = best(ids, scores, k)
-            held[n] = ids[keep], scores[keep]
-            if len(keep) == k:
-                floor[n] = max(floor[n], float(scores[keep[-1]]))
-    out_q, out_c, out_s = [], [], []
-    for n, (ids, scores) in enumerate(held):
-        out_q += [q_id[n]] * len(ids)
-        out_c += ids.tolist()
-        out_s += scores.tolist()
-    return out_q, out_c, out_s
+        near = (bound >= need[live, None]) & (q_id[live, None] != c_id[strip])
+        some = near.any(axis=1)
+        live, near = live[some], near[some]
+        if plain:
+            score = (q[live] @ c[strip].T).astype(np.int64)
+        else:
+            score = np.zeros(near.shape, np.int64)
+            a, b = np.nonzero(near)
+            for i in range(0, len(a), 65536):
+                x, y = a[i:i + 65536], b[i:i + 65536]
+                score[x, y] = exact(q[live[x]], c[strip[y]])
+        near &= score >= floor[live, None]
+        if len(strip) >= k:
+            kth = np.partition(np.where(near, score, -LIMIT - 1), len(strip) - k, axis=1)[:, len(strip) - k]
+            floor[live] = np.maximum(floor[live], kth)
+            near &= score >= floor[live, None]
+        a, b = np.nonzero(near)
+        found.append((live[a], strip[b], score[a, b]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    a, b, score = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort((c_id[b], -score, a))
+    a, b, score = a[by], b[by], score[by]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    keep = rank < k
+    return q_id[a[keep]], c_id[b[keep]], score[keep]
 
 
 def _gram(vectors: DataFrame) -> np.ndarray:
