@@ -102,8 +102,8 @@ class Sieve:
 
         words = keys.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
         out = np.zeros(SIEVE_BITS // 64, np.uint64)
-        found = words.toPandas()
-        out[found["word"]] = found["bits"].to_numpy(np.int64).view(np.uint64)
+        found = words.toArrow()
+        out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
         return out
 
     @staticmethod
