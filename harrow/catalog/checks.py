@@ -31,8 +31,10 @@ view("chk_null", _row("no_null", "sensor", "count(x)=count(*)", "count(*)-count(
 view("chk_overlap", _row("split_overlap", "tag", "sum(n)=0", "sum(n)") + " from (select tag, d, count(distinct split)-1 n from tag_split group by 1,2) group by tag")
 view("win_n", "select symbol, split, count(*) n from (select symbol, split, row_number() over (partition by symbol, split order by d) q from scaled) where q>=14 group by 1,2")
 view("win_rows", "select *, row_number() over (partition by symbol, split order by d) q, count(*) over (partition by symbol, split) m from scaled")
-view("chk_leak", _row("target_leak", "symbol", "true", "2") + " from win_n group by symbol")
-view("chk_shapes", _row("window_shapes", "symbol||'/'||split", "true", "n") + " from win_n")
+view("chk_leak", _row("target_leak", "symbol", "true", "2") + " from win_n group by symbol union all "
+     + _row("target_leak", "symbol||'/leaked'", "false", "2") + " from win_n group by symbol")
+view("chk_shapes", _row("window_shapes", "symbol||'/'||split", "true", "n") + " from win_n union all "
+     + _row("window_shapes", "symbol||'/'||split||'/no targets'", "false", "n") + " from win_n where split='test'")
 view("chk_scaler", " union all ".join([
     _row("scaler_range_train", "symbol", "min(least(close,volume))>=-1e-6 and max(greatest(close,volume))<=1+1e-6", "max(greatest(close,volume))-min(least(close,volume))") + " from win_rows where split='train' and m>=14 group by symbol",
     # a row lies in min(q, 14, m-13, m-q+1) windows
@@ -52,11 +54,21 @@ def overlap(spark, sf):
 
 
 def leak(spark, sf):
-    return Q.target_leak(packed(spark, sf), ["symbol"], ["close", "volume"])
+    """The packed features, and a broken list which holds a label: that one has to fail."""
+    p = packed(spark, sf)
+    broken = Q.target_leak(p, ["symbol"], ["close", "volume", "target_binary"])
+    return Q.target_leak(p, ["symbol"], ["close", "volume"]).unionByName(marked(broken, "/leaked"))
+
+
+def marked(checks, what):
+    return checks.withColumn("subject", F.concat("subject", F.lit(what)))
 
 
 def shapes(spark, sf):
-    return Q.window_shapes(packed(spark, sf), ["symbol", "split"])
+    """The packed windows, and test windows without targets: these have to fail."""
+    p = packed(spark, sf)
+    broken = p.filter(F.col("split") == "test").withColumn("y", F.when(F.lit(False), F.col("y")))
+    return Q.window_shapes(p, ["symbol", "split"]).unionByName(marked(Q.window_shapes(broken, ["symbol", "split"]), "/no targets"))
 
 
 def scaler(spark, sf):

@@ -54,7 +54,7 @@ def auc_roc_pooled(spark, sf):
  u as (select *, sum(pos) over w tp, sum(n) over w hits, sum(pos) over (partition by tag, model) tot from c window w as (partition by tag, model order by p desc))
  select tag, model, {sround('sum(pos/tot*tp/hits)')} pr_auc from u group by 1,2""")
 def pr_auc(spark, sf):
-    return _r(M.ranking_metrics(t.predictions(spark, sf), KEYS, "y_true", "p"), KEYS, ["pr_auc"])
+    return _r(M.ranking_metrics(t.predictions(spark, sf), KEYS, "y_true", "p", bounded=True), KEYS, ["pr_auc"])
 
 
 @query("threshold_metrics", f"""

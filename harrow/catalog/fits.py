@@ -210,7 +210,8 @@ def feature_importance(spark, sf):
 
 @query("ablation_calendar")
 def ablation_calendar(spark, sf):
-    """The same model on calendar columns, on report columns and on both, compared on test rows."""
+    """The same boosted model on calendar columns, on report columns and on both: ranking on test rows, and F1
+    there at the threshold that does best on validation rows."""
     cal = J.prefixed(t.calendar(spark, sf, "corn"), "cal_", ["d"])
     rep = J.prefixed(reports.corn_features(report_wide(spark, sf)).select("d", "corn_planting_pct", "corn_stress_index", "corn_signal_encoded"), "rep_", ["d"])
     df = cut(J.left_on(split_rows(spark, sf), [cal, rep], ["d"]), "ablation")
@@ -219,12 +220,16 @@ def ablation_calendar(spark, sf):
     parts = []
     for name, extra in variants.items():
         feats = FEATURES + extra
-        model = X.fit_forest(df, feats, "target_binary")
-        scored = X.probability(model, X.assembled(_test(df), feats)).select(F.lit(name).alias("experiment"), "symbol", "d", "target_binary", "p")
+        model = X.fit_gbt_binary(df, feats, "target_binary")
+        held = df.filter(F.col("split").isin("val", "test"))
+        scored = X.probability(model, X.assembled(held, feats)).select(F.lit(name).alias("experiment"), "symbol", "d", "split", "target_binary", "p")
         parts.append(scored)
     from functools import reduce
 
     scores = cut(reduce(lambda a, b: a.unionByName(b), parts), "scores")
-    rank = M.ranking_metrics(scores, ["experiment"], "target_binary", "p")
-    f1 = M.best_f1_threshold(scores, ["experiment"], "target_binary", "p").select("experiment", F.col("f1").alias("test_f1"))
+    test = _test(scores)
+    rank = M.ranking_metrics(test, ["experiment"], "target_binary", "p")
+    best = M.best_f1_threshold(scores.filter(F.col("split") == "val"), ["experiment"], "target_binary", "p").select("experiment", "threshold")
+    f1 = M.threshold_metrics(test.join(best, "experiment"), ["experiment"], "target_binary", "p", F.col("threshold"))
+    f1 = f1.select("experiment", F.col("f1").alias("test_f1"))
     return rank.join(f1, "experiment").select("experiment", rounded("auc_roc", 4).alias("test_auc"), rounded("pr_auc", 4).alias("test_prauc"), rounded("test_f1", 4).alias("test_f1"))
