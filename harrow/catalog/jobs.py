@@ -285,10 +285,16 @@ def integrated(spark, sf, crop, weekly):
     return integrate.integrate(daily, ["symbol"], sources, backbone(spark, sf, crop), crop, weekly)
 
 
+def both_crops(spark, sf, weekly):
+    """The integrated tables of all symbols, each with the columns of its crop."""
+    parts = [integrated(spark, sf, crop, weekly).withColumn("crop", F.lit(crop)) for crop in ("corn", "coffee")]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
 REG = "partition by region order by d"
 view("bb_smooth", f"""
  select region, d, temp_max, temp_min, vpd_max, avg(precip) over ({REG} rows between 6 preceding and current row) precip, avg(et0) over ({REG} rows between 6 preceding and current row) et0
- from weather where region in ('error','purchase')""")
+ from weather""")
 view("bb_weekend", f"select region, {WEEK} d, avg(temp_max) weekend_temp_max, sum(precip) weekend_precip_sum, avg(et0) weekend_et0 from bb_smooth where isodow(d) in (6,7) group by 1,2")
 view("bb_flags", f"""
  select region, d, temp_max, temp_min, vpd_max, precip, et0, {', '.join(f'last_value({c} ignore nulls) over ({REG} rows between unbounded preceding and current row) {c}' for c in weather.WEEKEND)},
@@ -296,20 +302,20 @@ view("bb_flags", f"""
 view("bb_spell", f"""
  select *, sum(dry_day) over (partition by region, blk order by d) dry_spell from (select *, sum(1-dry_day) over ({REG}) blk from bb_flags)""")
 BB = ["temp_max", "temp_min", "vpd_max", "precip", "et0", *weather.WEEKEND, "hot_day", "cold_day", "dry_day", "dry_spell"]
-view("bb_corn", f"select d, {', '.join(f'avg({c}) {c}' for c in BB)} from bb_spell group by 1")
+view("bb_crop", f"select d, (region in ('error','purchase'))::int odd, {', '.join(f'avg({c}) {c}' for c in BB)} from bb_spell group by 1,2")
 SYM = "partition by symbol order by d"
 CARRIED = [*BB, "usd_close", "usd_lag_ret", "inf_mom_pct", "cal_sin_week", "vix_regime"]
 view("i_joined", """
- select m.symbol, m.d, m.high, m.low, m.close, m.volume, b.* exclude (d), u.close usd_close, u.log_return_lag_1w usd_lag_ret, i.mom_pct inf_mom_pct, c.sin_week cal_sin_week, v.regime vix_regime
- from (select * from m_complete where symbol%2=1) m left join bb_corn b using (d) left join usd_week u using (d) left join inf_week i using (d) left join cal_week_full c using (d) left join vix_week v using (d)""")
+ select m.symbol, m.d, m.high, m.low, m.close, m.volume, b.* exclude (d, odd), u.close usd_close, u.log_return_lag_1w usd_lag_ret, i.mom_pct inf_mom_pct, c.sin_week cal_sin_week, v.regime vix_regime
+ from m_complete m left join bb_crop b on b.d=m.d and b.odd=m.symbol%2 left join usd_week u on u.d=m.d left join inf_week i on i.d=m.d left join cal_week_full c on c.d=m.d left join vix_week v on v.d=m.d""")
 view("i_carried", f"""
  select symbol, d, high, low, close, volume, row_number() over ({SYM}) rn, {', '.join(f'last_value({c} ignore nulls) over ({SYM} rows between unbounded preceding and current row) {c}' for c in CARRIED)} from i_joined""")
 view("i_base", f"""
- select *, close*usd_close adj, usd_lag_ret*100-inf_mom_pct inflation_pressure, lag(close,2) over ({SYM}) close_lag_2, lag(weekend_temp_max,45) over ({SYM}) temp_bio_lag,
+ select *, close*usd_close adj, usd_lag_ret*100-inf_mom_pct inflation_pressure, lag(close,2) over ({SYM}) close_lag_2, case when symbol%2=1 then lag(weekend_temp_max,45) over ({SYM}) else lag(weekend_temp_max,170) over ({SYM}) end temp_bio_lag,
   (high-low)/nullif(close,0) hl, volume/({full('avg', 'volume', 20, 'symbol')}+1e-8) volume_ratio, volume/nullif(lag(volume) over ({SYM}),0)-1 dv, ln(usd_close/lag(usd_close) over ({SYM})) ur,
   min(case when weekend_temp_max is not null then rn end) over (partition by symbol) rn0 from i_carried""")
 view("i_ret", f"""
- select *, ln(adj/lag(adj) over ({SYM})) lr, adj-lag(adj) over ({SYM}) dl, lead(adj,7) over ({SYM})/adj-1 r,
+ select *, count(temp_bio_lag) over (partition by symbol%2) bio_rows, ln(adj/lag(adj) over ({SYM})) lr, adj-lag(adj) over ({SYM}) dl, lead(adj,7) over ({SYM})/adj-1 r,
   {full('avg', 'adj', 14, 'symbol')}+2*{full('stddev_samp', 'adj', 14, 'symbol')} bb_upper_adj, {full('avg', 'hl', 20, 'symbol')} hl20,
   {full('stddev_samp', 'ur', 5, 'symbol')}*sqrt(252e0) u5, {full('stddev_samp', 'ur', 20, 'symbol')}*sqrt(252e0) u20 from i_base""")
 view("i_third", f"""
@@ -325,7 +331,7 @@ view("i_ewm", f"""
 view("i_final", """
  select *, 100-100/(1+gain/nullif(loss,0)) rsi_adj, rv_5d/(rv_20d+1e-8) rv_ratio, hl/(hl20+1e-8) hl_expansion, u5/(u20+1e-8) usd_rv_ratio,
   1/(1+exp((r+0.025e0)/0.02e0)) pd, 1/(1+exp(-(r-0.025e0)/0.02e0)) pu, greatest(0,1-1/(1+exp((r+0.025e0)/0.02e0))-1/(1+exp(-(r-0.025e0)/0.02e0))) pf
- from i_third join i_ewm using (symbol, d) where r is not null and temp_bio_lag is not null and rv_20d is not null and hl20 is not null and u20 is not null and price_vol_corr is not null and volume_ratio is not null
+ from i_third join i_ewm using (symbol, d) where r is not null and (temp_bio_lag is not null or bio_rows=0) and rv_20d is not null and hl20 is not null and u20 is not null and price_vol_corr is not null and volume_ratio is not null
   and loss>0 and gain is not null and inflation_pressure is not null and vix_regime is not null and cal_sin_week is not null and close_lag_2 is not null and bb_upper_adj is not null and weekend_et0 is not null""")
 I_OUT = ["temp_max", "dry_spell", "weekend_temp_max", "inf_mom_pct", "cal_sin_week", "vix_regime", "currency_adjusted_close", "inflation_pressure", "temp_bio_lag", "temp_wavelet_trend",
          "bb_upper_adj", "ema_adj", "rsi_adj", "rv_5d", "rv_ratio", "hl_expansion", "volume_ratio", "price_vol_corr", "usd_rv_ratio", "return_future", "target_mc_up"]
@@ -333,17 +339,17 @@ I_SQL = {"currency_adjusted_close": "adj", "return_future": "r", "target_mc_up":
 
 
 @query("job_integrate", f"""
- select symbol, d, (r>0.025e0)::double target_binary, case when pd>=pf and pd>=pu then 0e0 when pf>=pu then 1e0 else 2e0 end target_multiclass,
+ select symbol, d, case when symbol%2=1 then 'corn' else 'coffee' end crop, (r>0.025e0)::double target_binary, case when pd>=pf and pd>=pu then 0e0 when pf>=pu then 1e0 else 2e0 end target_multiclass,
   {', '.join(f'{sround(I_SQL.get(c, c), 5)} {c}' for c in I_OUT)} from i_final""")
 def job_integrate(spark, sf):
-    out = integrated(spark, sf, "corn", weekly=False)
-    return _r(out, ["symbol", "d", "target_binary", "target_multiclass"], I_OUT, 5)
+    out = both_crops(spark, sf, weekly=False)
+    return _r(out, ["symbol", "d", "crop", "target_binary", "target_multiclass"], I_OUT, 5)
 
 
 @query("job_integrate_weekly")
 def job_integrate_weekly(spark, sf):
-    out = integrated(spark, sf, "coffee", weekly=True)
-    return out.select("symbol", "d", *[rounded(c, 5).alias(c) for c, t_ in out.dtypes if t_ == "double"])
+    out = both_crops(spark, sf, weekly=True)
+    return out.select("symbol", "d", "crop", *[rounded(c, 5).alias(c) for c, t_ in out.dtypes if t_ == "double"])
 
 
 REP = ["corn_planting_pct", "corn_condition_ge_pct", "corn_stress_index"]
@@ -353,7 +359,7 @@ REP = ["corn_planting_pct", "corn_condition_ge_pct", "corn_stress_index"]
  select symbol, d, {sround('ln(close)')} log_close, {', '.join(f'{sround(f"last_value({c} ignore nulls) over ({SYM} rows between unbounded preceding and current row)")} rep_{c}' for c in REP)}
  from i_final left join corn_daily using (d)""")
 def job_attach_report_calendar(spark, sf):
-    base = integrated(spark, sf, "corn", weekly=False)
+    base = both_crops(spark, sf, weekly=False)
     rep = cut(reports.corn_features(report_wide(spark, sf)), "reports")
     out = integrate.attach_reports(base, rep, ["symbol"], weekly=False, replace_calendar=True)
     if any(c.startswith("cal_") for c in out.columns):
