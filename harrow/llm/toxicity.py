@@ -69,19 +69,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def choose(bags: list[set[int]], y: np.ndarray, size: int, least: int = 2) -> np.ndarray:
+def bag(text: str | None) -> np.ndarray:
+    """The set of a text's hashed terms."""
+    return np.unique(np.fromiter((h for w in distinct_words(text) for h in terms(w)), np.uint32))
+
+
+def choose(bags: list[np.ndarray], y: np.ndarray, size: int, least: int = 2) -> np.ndarray:
     """At most `size` terms that tell the labels apart best, each in at least `least` texts and with a G statistic
     that chance would reach for less than about one of all terms."""
-    n = np.zeros((2,), np.int64)
-    counts: dict[int, list[int]] = {}
-    for bag, label in zip(bags, y):
-        n[label] += 1
-        for h in bag:
-            counts.setdefault(h, [0, 0])[label] += 1
-    keys = np.array([k for k, c in counts.items() if sum(c) >= least], np.int64)
+    sides = [np.unique(np.concatenate([np.zeros(0, np.uint32), *[x for x, k in zip(bags, y) if k == label]]), return_counts=True) for label in (0, 1)]
+    n = np.array([(y == label).sum() for label in (0, 1)])
+    keys = np.union1d(sides[0][0], sides[1][0])
+    c = np.zeros((len(keys), 2))
+    for label, (found, times) in enumerate(sides):
+        c[np.searchsorted(keys, found), label] = times
+    often = c.sum(axis=1) >= least
+    keys, c = keys[often].astype(np.int64), c[often]
     if not len(keys):
         return keys
-    c = np.array([counts[k] for k in keys.tolist()], np.float64)
     cells = [c[:, 0], c[:, 1], n[0] - c[:, 0], n[1] - c[:, 1]]
     total, has = float(n.sum()), c.sum(axis=1)
     expect = [has * n[0] / total, has * n[1] / total, (total - has) * n[0] / total, (total - has) * n[1] / total]
@@ -99,15 +104,16 @@ def fit(texts: list[str], labels: list[int], size: int = 2048, epochs: int = 30,
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     kept, train = (order[:len(order) // 5], order[len(order) // 5:]) if len(order) >= 50 else (order, order)
-    bags = [{h for w in distinct_words(texts[i]) for h in terms(w)} for i in train]
-    model = Model(choose(bags, y[train], size))
-    sets = {int(i): model.features(texts[i]) for i in order}
+    bags = [bag(text) for text in texts]
+    model = Model(choose([bags[i] for i in train], y[train], size))
+    sets = [np.flatnonzero(np.isin(model.hashes, found)) for found in bags]
+    del bags
     prior = min(max(y[train].mean(), 1e-3), 1 - 1e-3) if len(train) else 0.5
     model.bias = float(np.log(prior / (1 - prior)))
     g_linear, g_factors, g_bias = np.full(len(model.hashes), 1e-8), np.full(model.factors.shape, 1e-8), 1e-8
     for _ in range(epochs):
         for i in rng.permutation(train):
-            ids = sets[int(i)]
+            ids = sets[i]
             v = model.factors[ids]
             total = v.sum(axis=0)
             z = model.bias + model.linear[ids].sum() + 0.5 * (total @ total - (v * v).sum())
@@ -123,7 +129,7 @@ def fit(texts: list[str], labels: list[int], size: int = 2048, epochs: int = 30,
             g_factors[ids] += d * d
             model.factors[ids] -= 0.2 * rate * d / np.sqrt(g_factors[ids])
     # Platt scaling on the texts kept out
-    z, t = np.array([model.raw(sets[int(i)]) for i in kept]), y[kept].astype(float)
+    z, t = np.array([model.raw(sets[i]) for i in kept]), y[kept].astype(float)
     n1, n0 = t.sum(), len(t) - t.sum()
     if n1 and n0:
         goal = np.where(t > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -147,7 +153,6 @@ def fit(texts: list[str], labels: list[int], size: int = 2048, epochs: int = 30,
         at = int(ends[np.argmax(f1)])
         below = high[at + 1] if at + 1 < len(high) else high[at] - 2
         model.shift = float(np.log(threshold / (1 - threshold)) - model.slope * (high[at] + below) / 2)
-    model.words.clear()
     return model
 
 
