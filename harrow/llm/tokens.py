@@ -20,7 +20,7 @@ from .common import cut
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 25
 #: Encoded pieces that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: White space that keeps a text from being cut at its blanks.
 UNEVEN = re.compile(r" \s|\A | \Z")
 
@@ -38,7 +38,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.inner = kind, {}
+        self.kind, self.inner, self.leading = kind, {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -50,17 +50,14 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces in one go, each with its blank; token lengths tell them apart."""
-        raw = [(" " + p).encode() for p in pieces]
-        found = self.tokenizer.encode_batch_fast(["".join([" " + p for p in pieces])], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)
         ids = np.array(found[0].ids, self.kind)
-        upto, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(r) for r in raw])
+        upto, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) + 1 for p in pieces])
         cut = np.searchsorted(upto, ends)
         if not (upto[cut] == ends).all():
             raise ValueError("the tokenizer is not a byte-level one")
-        blob, at, size = ids.tobytes(), 0, ids.itemsize
-        for piece, end in zip(pieces, ((cut + 1) * size).tolist()):
-            self.inner[piece] = blob[at:end]
-            at = end
+        blob, ends = ids.tobytes(), ((cut + 1) * ids.itemsize).tolist()
+        self.inner.update(zip(pieces, [blob[a:b] for a, b in zip([0, *ends], ends)]))
 
     def __call__(self, text: str) -> bytes:
         if UNEVEN.search(text):
@@ -73,7 +70,12 @@ class Encoder:
         missing = list(set(pieces).difference(self.inner))
         if missing:
             self._learn(missing)
-        return self.whole(first) + b"".join(map(self.inner.__getitem__, pieces))
+        lead = self.leading.get(first)
+        if lead is None:
+            if len(self.leading) > REMEMBERED // 10:
+                self.leading.clear()
+            lead = self.leading[first] = self.whole(first)
+        return lead + b"".join(map(self.inner.__getitem__, pieces))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", end: int = 0) -> tuple[DataFrame, int]:
