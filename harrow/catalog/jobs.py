@@ -273,21 +273,21 @@ def backbone(spark, sf, crop):
     return weather.backbone(w.filter(corn if crop == "corn" else ~corn), [])
 
 
-def integrated(spark, sf, crop, weekly):
-    """One plan from the raw tables; only the weekly form reads the daily features twice."""
+def integrated(spark, sf, crop, weekly, bars, shared):
+    """The table of one crop; only the weekly form reads the daily features twice."""
     symbols = F.col("symbol") % 2 == (1 if crop == "corn" else 0)
-    daily = market.daily_features(t.bars(spark, sf).filter(symbols), ["symbol"], market.SPIKE_LIMIT[crop])
-    sources = {
-        "usd_": usd_week(spark, sf), "inf_": inf_week(spark, sf),
-        "cal_": cal_week(spark, sf, crop), "vix_": vix_week(spark, sf),
-    }
+    daily = market.daily_features(bars.filter(symbols), ["symbol"], market.SPIKE_LIMIT[crop])
+    sources = {"usd_": shared["usd_"], "inf_": shared["inf_"], "cal_": cal_week(spark, sf, crop), "vix_": shared["vix_"]}
     daily = cut(daily, "market") if weekly else daily
     return integrate.integrate(daily, ["symbol"], sources, backbone(spark, sf, crop), crop, weekly)
 
 
 def both_crops(spark, sf, weekly):
-    """The integrated tables of all symbols, each with the columns of its crop."""
-    parts = [integrated(spark, sf, crop, weekly).withColumn("crop", F.lit(crop)) for crop in ("corn", "coffee")]
+    """The integrated tables of all symbols, each with the columns of its crop. What both crops use, bars and dated
+    tables, is made once."""
+    bars = cut(t.bars(spark, sf), "bars")
+    shared = {"usd_": cut(usd_week(spark, sf), "usd"), "inf_": cut(inf_week(spark, sf), "inf"), "vix_": cut(vix_week(spark, sf), "vix")}
+    parts = [integrated(spark, sf, crop, weekly, bars, shared).withColumn("crop", F.lit(crop)) for crop in ("corn", "coffee")]
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
