@@ -21,7 +21,7 @@ SHARD = 16_384
 #: Bits of a sieve, which is broadcast; a full one lets everything through and costs nothing but time.
 SIEVE_BITS = 1 << 27
 #: Bytes of documents taken together.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SALTS = tuple(np.uint64(j * 0x9E3779B97F4A7C15 % 2**64) for j in (1, 2, 3))
 BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
@@ -48,7 +48,7 @@ def anchors(buf: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, .
     inverse = np.cumprod(np.full(n, np.uint64(pow(int(MULTIPLIER), -1, 2**64))))
     total = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[buf] * power)])
     h = mix64((total[GRAM:] - total[:-GRAM]) * inverse[:n - GRAM + 1])
-    low = np.uint64(CHUNK * 64 - 1)
+    low = np.uint64(2**32 - 1)  # the position, in the lower half of the key
     key = h & ~low | (low - np.arange(len(h), dtype=np.uint64))
     width, reach = size - GRAM + 1, 1
     while reach * 2 <= width:
