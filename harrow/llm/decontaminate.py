@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .fmindex import FMIndex
 
 #: Benchmark words searched in one pass; a larger benchmark takes several passes.
 PASS_WORDS = 5_000_000
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 #: Bytes that part words (ASCII without letters and digits), and A-Z to a-z; the rest stays.
 TO_WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
@@ -126,50 +128,77 @@ def find(
     A window is `size` consecutive words of an item, or all words of a shorter one. Each Arrow
     batch of documents is a shard with an FM-index of its own; the documents are not shuffled and all of
     a text is searched. The windows are broadcast in slices of at most `pass_words` benchmark words; further
-    slices are further passes, which add their spans and items to the row.
+    slices are further passes over the uncut text, each written, which add their spans and items to the row.
 
-    With clean=True the hit words are cut out of `kept`, again until no window is left; else kept
-    is the text. Null and empty texts have no words; items without words have no windows;
+    With clean=True the hit words of all slices are cut out of `kept` at once, and again until no window of any
+    slice is left; else kept is the text. Null and empty texts have no words; items without words have no windows;
     windows of an item without id hit, but name no item. Repeated documents are judged
     each, repeated items count once. Empty tables: no rows, or no hits.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     state = docs.select(
-        row.alias("row"), F.col(text).alias("kept"), F.lit(-1).alias("n_words"),
-        F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for part in _passes(benchmark, item_id, item_text, size, pass_words):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, size)
-            for batch in batches:
-                texts = batch["kept"].to_pylist()
-                split = [words(t) for t in texts]
-                masks, items = search(split, windows)
-                out = []
-                for k, (old, mask) in enumerate(zip(batch["spans"], masks)):
-                    for s in old.as_py():
-                        if not clean:
-                            mask[s["start"]:s["end"]] = True
-                    out.append([{"start": a, "end": b} for a, b in spans(mask)])
-                if clean:
-                    dirty = [k for k, m in enumerate(masks) if m.any()]
-                    gone = {k: spans(masks[k]) for k in dirty}
-                    while dirty:
-                        for k in dirty:
-                            texts[k] = cut_words(texts[k], gone[k])
-                        again, _ = search([words(texts[k]) for k in dirty], windows)
-                        gone = {k: spans(m) for k, m in zip(dirty, again) if m.any()}
-                        dirty = list(gone)
-                n_words = [len(w) if n < 0 else n for w, n in zip(split, batch["n_words"].to_pylist())]
-                named = [sorted(i | set(old)) for i, old in zip(items, batch["items"].to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["row"], pa.array(texts, pa.string()), pa.array(n_words, pa.int32()), pa.array(out, span),
-                     pa.array(named, pa.list_(pa.string()))], names=["row", "kept", "n_words", "spans", "items"])
-
-        state = state.mapInArrow(run, state.schema)
-    return state
+        row.alias("row"), F.col(text).alias("kept"), F.lit(-1).alias("n_words"), none.alias("spans"), none.alias("fresh"),
+        F.lit(True).alias("open"), F.expr("cast(array() as array<string>)").alias("items"))
+    parts = _passes(benchmark, item_id, item_text, size, pass_words)
+    several, first = len(parts) > 1, True
+    while True:
+        for part in parts:
+            state = _search_pass(state, part, size, first, clean and not several)
+            if several:
+                state = cut(state, "decontamination")
+        first = False
+        if not (clean and several) or state.filter(F.size("fresh") > 0).isEmpty():
+            return state.select("row", "kept", "n_words", "spans", "items")
+        state = _cut_pass(state)
+
+
+def _search_pass(state: DataFrame, part: list[tuple], size: int, first: bool, clean: bool) -> DataFrame:
+    """Adds the hits of a slice of the benchmark to `fresh`, the spans in `kept` as it is; in the first round also to
+    `spans` and `items`. Closed rows, whose text has not changed since all slices were searched, are passed by. With clean=True, for a
+    benchmark of one slice, the texts are cut as well, until no window is left."""
+    shared = state.sparkSession.sparkContext.broadcast(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(shared.value, size)
+        for batch in batches:
+            texts, open_ = batch["kept"].to_pylist(), batch["open"].to_pylist()
+            split = [words(t) if o else [] for t, o in zip(texts, open_)]
+            masks, items = search(split, windows)
+            fresh = []
+            for old, mask in zip(batch["fresh"].to_pylist(), masks):
+                for s in old:
+                    mask[s["start"]:s["end"]] = True
+                fresh.append([{"start": a, "end": b} for a, b in spans(mask)])
+            out, n_words, named = batch["spans"], batch["n_words"], batch["items"]
+            if first:
+                out, n_words = pa.array(fresh, SPANS), pa.array([len(w) for w in split], pa.int32())
+                named = pa.array([sorted(i | set(old)) for i, old in zip(items, named.to_pylist())], pa.list_(pa.string()))
+            gone = {k: spans(m) for k, m in enumerate(masks) if clean and m.any()}
+            while gone:
+                for k in gone:
+                    texts[k] = cut_words(texts[k], gone[k])
+                again, _ = search([words(texts[k]) for k in gone], windows)
+                gone = {k: spans(m) for k, m in zip(list(gone), again) if m.any()}
+            yield pa.RecordBatch.from_arrays(
+                [batch["row"], pa.array(texts, pa.string()), n_words, out, pa.array(fresh, SPANS), batch["open"], named],
+                names=["row", "kept", "n_words", "spans", "fresh", "open", "items"])
+
+    return state.mapInArrow(run, state.schema)
+
+
+def _cut_pass(state: DataFrame) -> DataFrame:
+    """Cuts the fresh spans out of `kept`; only rows that had some stay open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [[(s["start"], s["end"]) for s in x] for x in batch["fresh"].to_pylist()]
+            texts = [cut_words(t, g) if g else t for t, g in zip(batch["kept"].to_pylist(), gone)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["row"], pa.array(texts, pa.string()), batch["n_words"], batch["spans"], pa.array([[] for _ in gone], SPANS),
+                 pa.array([bool(g) for g in gone]), batch["items"]], names=["row", "kept", "n_words", "spans", "fresh", "open", "items"])
+
+    return state.mapInArrow(run, state.schema)
 
 
 def digest(found: DataFrame, *columns: str) -> DataFrame:

@@ -110,6 +110,18 @@ def test_decontaminate_values(docs, spark):
     assert none == 0
 
 
+def test_decontaminate_passes_like_one(spark):
+    """Slices whose passages overlap, meet only after a cut, or fill the whole document."""
+    a, b = "a b c d e f g h i j", "f g h i j k l m n o"
+    bench = spark.createDataFrame([(1, a), (2, b), (3, "p q r s t u v w x y"), (4, "z")], "item_id long, text string")
+    texts = [a, "a b c d e f g h i j k l m n o end", "p q r s t z u v w x y", "p q r z s t u v w x y", "z", "free text", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[tuple(r) for r in decontaminate.find(docs, bench, clean=True, pass_words=n).orderBy("row.doc_id").collect()] for n in (1000, 12, 1)]
+    assert got[0] == got[1] == got[2]
+    assert [len(decontaminate.words(r[1])) for r in got[1]] == [0, 1, 0, 0, 0, 2, 0, 0]
+    assert [bool(r[3]) for r in got[1]] == [True] * 5 + [False] * 3
+
+
 def test_simhash_edges(spark, docs):
     rows = simhash.simhash_groups(docs).collect()
     assert len(rows) == len(ROWS)
