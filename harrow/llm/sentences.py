@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -11,21 +12,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A sentence with the marks and white space that end it; a line end closes it as well.
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
+ENDS = ".!?\n\u2028\u2029\u0589\u061f\u06d4\u0964\u0965\u1362\u1367\u104a\u104b\u17d4\u17d5\u2026\u203c\u2047-\u2049\u3002\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
+SENTENCE = re.compile(rf"[^{ENDS}]*(?:[{ENDS}]+\s*|$)")
+#: Scripts that set no blanks between words (Thai, Lao, Burmese, Khmer, kana, Han); each character counts as a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"\s*(?:[{UNSPACED}]|[^\s{UNSPACED}]+)\s*|\s+$")
+#: A sentence of more than LONG words is cut after words whose hash is the least among NEAR words to either side, and LONG
+#: words after the last cut at the latest.
 LONG = 16
+NEAR = 4
 
 
 def split(text: str | None, long: int = LONG) -> list[str]:
-    """The sentences of a text; joined they are the text. One of more than `long` words is cut after
-    every `long` words."""
+    """The sentences of a text; joined they are the text. One of more than `long` words is cut where its words say
+    so, so that the cuts of a repeated passage agree wherever it stands."""
     out: list[str] = []
     for sentence in SENTENCE.findall(text or ""):
-        if sentence.count(" ") < long:
+        # most sentences are too short to have so many words
+        if len(sentence) <= long or len(words := WORD.findall(sentence)) <= long:
             if sentence:
                 out.append(sentence)
             continue
-        words = re.findall(r"\s*\S+\s*|\s+$", sentence)
-        out += ["".join(words[i:i + long]) for i in range(0, len(words), long)]
+        at = 0
+        for end in cuts([crc32(w.strip().encode("utf-8", "surrogatepass")) for w in words], long):
+            out.append("".join(words[at:end]))
+            at = end
+    return out
+
+
+def cuts(hashes: list[int], long: int = LONG, near: int = NEAR) -> list[int]:
+    """The ends (exclusive) of the pieces of a long sentence."""
+    out, last, n = [], 0, len(hashes)
+    for i, h in enumerate(hashes, 1):
+        if i == n or i - last >= long or h < min(hashes[max(0, i - 1 - near):i - 1], default=h) and h <= min(hashes[i:i + near]):
+            out.append(i)
+            last = i
     return out
 
 
@@ -39,7 +60,7 @@ def run_ends(words: list[list[bytes]], several: int, min_words: int) -> list[int
 
 
 def sentence_words(sentences: list[str]) -> list[list[bytes]]:
-    return [s.encode("utf-8", "surrogatepass").split() for s in sentences]
+    return [[w.encode("utf-8", "surrogatepass") for w in s.split()] for s in sentences]
 
 
 def runs(sentences: list[str], several: int, min_words: int) -> tuple[list[int], list[bytes]]:

@@ -49,6 +49,32 @@ def test_sentence_spans(spark, docs):
     assert sum(r["n_removed"] for r in got.values()) > 0
 
 
+def removed_words(spark, texts):
+    from harrow.llm.sentences import drop_repeated_spans
+
+    rows = drop_repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r["kept"] for r in sorted(rows, key=lambda r: r["row"]["doc_id"])]
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\u00a0"])
+def test_passages_off_the_grid(spark, blank):
+    """A passage of 160 words in other surroundings, without sentence marks; for "" of 160 Han characters."""
+    rng = np.random.default_rng(5)
+    word = (lambda n: [chr(0x4E00 + x) for x in rng.integers(0, 5000, n)]) if not blank else (lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)])
+    passage = word(160)
+    texts = [blank.join(word(k) + passage + word(9)) for k in (1, 7, 12)]
+    for text, kept in zip(texts[1:], removed_words(spark, texts)[1:]):
+        gone = len(text) - len(kept)
+        assert gone >= 0.6 * len(blank.join(passage))
+        assert text.endswith(kept[-5:])
+
+
+def test_sentence_marks_of_other_scripts(spark):
+    for mark in "\u3002\uff01\uff1f\u0964\u061f\u06d4":
+        sentences = split(f"aa bb{mark}cc dd{mark} ee")
+        assert sentences == [f"aa bb{mark}", f"cc dd{mark} ", "ee"]
+
+
 def fingerprint(text: str) -> int:
     import xxhash
 
