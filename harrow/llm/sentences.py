@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A sentence with the marks and white space that end it; a line end closes it as well.
-ENDS = ".!?\n\u2028\u2029\u0589\u061f\u06d4\u0964\u0965\u1362\u1367\u104a\u104b\u17d4\u17d5\u2026\u203c\u2047-\u2049\u3002\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
-SENTENCE = re.compile(rf"[^{ENDS}]*(?:[{ENDS}]+\s*|$)")
+#: A sentence with the marks and white space that end it; a line end closes it as well. Marks that numbers and
+#: addresses hold too (3.5, a.org) end it only before white space.
+SOFT = ".!?\u2026"
+HARD = "\n\u2028\u2029\u0589\u061f\u06d4\u0964\u0965\u1362\u1367\u104a\u104b\u17d4\u17d5\u203c\u2047-\u2049\u3002\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
+CLOSE = "\"')\\]\u00bb\u2019\u201d\u300d\u300f"
+SENTENCE = re.compile(rf"[\s\S]*?(?:(?:(?<![{SOFT}])[{SOFT}]++[{CLOSE}]*+(?=[\s{HARD}]|\Z)|[{HARD}])[{SOFT}{HARD}]*\s*|\Z)")
 #: Scripts that set no blanks between words (Thai, Lao, Burmese, Khmer, kana, Han); each character counts as a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(rf"\s*(?:[{UNSPACED}]|[^\s{UNSPACED}]+)\s*|\s+$")
@@ -50,27 +53,23 @@ def cuts(hashes: list[int], long: int = LONG, near: int = NEAR) -> list[int]:
     return out
 
 
-def run_ends(words: list[list[bytes]], several: int, min_words: int) -> list[int]:
-    """For every sentence the end (exclusive) of the shortest run from it that has `several` sentences and
-    `min_words` words; runs that the text's end cuts off are left out."""
-    at = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
-    first = np.searchsorted(at, at[:-1] + min_words)
-    ends = np.maximum(first, np.arange(len(words)) + several)
-    return ends[ends <= len(words)].tolist()
+def run_ends(sentences: list[str], several: int) -> list[int]:
+    """For every sentence the end (exclusive) of the run of `several` sentences from it; a shorter text that is not
+    blank is one run."""
+    if 0 < len(sentences) < several:
+        return [len(sentences)] if any(s.strip() for s in sentences) else []
+    return list(range(several, len(sentences) + 1))
 
 
-def sentence_words(sentences: list[str]) -> list[list[bytes]]:
-    return [[w.encode("utf-8", "surrogatepass") for w in s.split()] for s in sentences]
-
-
-def runs(sentences: list[str], several: int, min_words: int) -> tuple[list[int], list[bytes]]:
-    """The ends of all runs and their words."""
-    words = sentence_words(sentences)
-    ends, flat = run_ends(words, several, min_words), [b" ".join(w) for w in words]
+def runs(sentences: list[str], several: int, min_words: int = 0) -> tuple[list[int], list[bytes]]:
+    """The ends of all runs and their words. `min_words` has no effect: runs were once prolonged to it,
+    which left the last short sentences of a repeated passage in no run."""
+    ends = run_ends(sentences, several)
+    flat = [" ".join(s.split()).encode("utf-8", "surrogatepass") for s in sentences]
     return ends, [b" ".join(filter(None, flat[i:e])) for i, e in enumerate(ends)]
 
 
-def spans(ids: DataFrame, several: int, min_words: int) -> DataFrame:
+def spans(ids: DataFrame, several: int) -> DataFrame:
     """Rows (h1, h2, doc_id, at) of every run: 128 bits of hash, the document, its tie-breaker and the first sentence."""
 
     def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +79,7 @@ def spans(ids: DataFrame, several: int, min_words: int) -> DataFrame:
         for batch in batches:
             row, hashes, start = [], [], []
             for k, text in enumerate(batch["text"]):
-                _, keys = runs(split(text.as_py()), several, min_words)
+                _, keys = runs(split(text.as_py()), several)
                 row += [k] * len(keys)
                 start += range(len(keys))
                 hashes += [digest(x) for x in keys]
@@ -95,13 +94,13 @@ def spans(ids: DataFrame, several: int, min_words: int) -> DataFrame:
 
 
 def drop_repeated_spans(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", several: int = 3, min_words: int = 20,
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", several: int = 3,
 ) -> DataFrame:
     """One row per document: `row` (the input), kept (the text without the removed sentences),
     n_sentences, n_removed and `removed`, the spans (start, end) of removed sentences.
 
-    Every run of `several` consecutive sentences, prolonged until it has `min_words` words, is hashed and
-    joined globally. Sentences covered by a run that also starts earlier (smaller id, or the same
+    Every run of `several` consecutive sentences, however short, is hashed and joined globally, and a text of fewer
+    sentences as a whole. Sentences covered by a run that also starts earlier (smaller id, or the same
     document, earlier start) go; runs are judged on the input. White space does not count. The first
     occurrence is a minimum combined before the shuffle, and the join back has one row per hash on
     one side, so a run that a third of the documents share is split by adaptive execution.
@@ -112,7 +111,7 @@ def drop_repeated_spans(
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     packed = packed.withColumn("tie", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
-    found = spans(packed.select("doc_id", "tie", "text"), several, min_words)
+    found = spans(packed.select("doc_id", "tie", "text"), several)
     place = F.struct("doc_id", "at")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     later = found.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
@@ -128,7 +127,7 @@ def drop_repeated_spans(
                 sentences, text = split(text.as_py()), text.as_py()
                 merged: list[list[int]] = []
                 starts = sorted(hits.as_py() or [])
-                ends = run_ends(sentence_words(sentences), several, min_words) if starts else []
+                ends = run_ends(sentences, several) if starts else []
                 for s, e in [(s, ends[s]) for s in starts]:
                     if merged and s <= merged[-1][1]:
                         merged[-1][1] = max(e, merged[-1][1])

@@ -56,7 +56,7 @@ def removed_words(spark, texts):
     return [r["kept"] for r in sorted(rows, key=lambda r: r["row"]["doc_id"])]
 
 
-@pytest.mark.parametrize("blank", [" ", "\t", "\u00a0"])
+@pytest.mark.parametrize("blank", [" ", "\t", "\u00a0", ""])
 def test_passages_off_the_grid(spark, blank):
     """A passage of 160 words in other surroundings, without sentence marks; for "" of 160 Han characters."""
     rng = np.random.default_rng(5)
@@ -69,6 +69,26 @@ def test_passages_off_the_grid(spark, blank):
         assert text.endswith(kept[-5:])
 
 
+def test_whole_copies_vanish(spark):
+    """Copies of any length, and passages with short last sentences, against plain comparison of texts."""
+    long = "One two three four five six seven eight nine ten. " * 2 + "Alpha beta gamma delta epsilon. Short one. End."
+    short = ["Only this.", "Two here. And more.", "Yes. No. Maybe so.", "no mark at all", long]
+    texts = [*short, *short, f"Another start of it. {long} It goes on in its own way. Then it ends."]
+    kept = removed_words(spark, texts)
+    assert kept[:5] == short and kept[5:10] == [""] * 5
+    assert kept[10] == "Another start of it. It goes on in its own way. Then it ends."
+    assert removed_words(spark, ["At 192.168.0.1 runs a.", "See 192.168.0.1 and b."]) == ["At 192.168.0.1 runs a.", "See 192.168.0.1 and b."]
+
+
+def test_copies_in_the_tables_vanish(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    seen = set()
+    for r, kept in zip(docs, removed_words(spark, [r["text"] for r in docs])):
+        assert r["text"] not in seen or kept == ""
+        seen.add(r["text"])
+    assert len(seen) < len(docs)
+
+
 def test_sentence_marks_of_other_scripts(spark):
     for mark in "\u3002\uff01\uff1f\u0964\u061f\u06d4":
         sentences = split(f"aa bb{mark}cc dd{mark} ee")
