@@ -334,6 +334,41 @@ def test_cut_words_leave_no_window(spark, docs):
         assert (sliced[i]["spans"], sliced[i]["items"]) == (whole[i]["spans"], whole[i]["items"])
 
 
+def test_pipeline_drops_similar_documents(spark):
+    """The stage against brute-force Jaccard over all pairs, with rows of one id, without an id and without words."""
+    import corpus_pipeline as P
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 2400").collect()]
+    base = [f"w{k}" for k in range(60)]
+    rows += [(10**6 + k, " ".join(base[:50 + k % 9] + [f"own{k}"])) for k in range(60)] + [(None, rows[0][1]), (None, None), (2 * 10**6, ""), (2 * 10**6 + 1, None)]
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    where = {}
+    for k, s in enumerate(sets):
+        for x in s or {()}:
+            where.setdefault(x, []).append(k)
+    group = list(range(len(rows)))
+    for k, s in enumerate(sets):
+        common = {}
+        for x in s or {()}:
+            for j in where[x]:
+                common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if j < k and group[j] != group[k] and (not s or n / (len(s) + len(sets[j]) - n) >= 0.8 - 1e-12):
+                a, b = sorted((group[j], group[k]))
+                group = [a if g == b else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    out = P.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == sorted(least.values())
+    assert sum(r["doc_id"] is None for r in out) == 2
+    assert not {205, 2250} & {r["doc_id"] for r in out} and 1700 in {r["doc_id"] for r in out}
+
+
 def test_pipeline_stages(spark):
     """Every stage against a plain version over its own input."""
     import corpus_pipeline as P
