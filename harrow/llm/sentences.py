@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 SOFT = ".!?\u2026"
 HARD = "\n\u2028\u2029\u0589\u061f\u06d4\u0964\u0965\u1362\u1367\u104a\u104b\u17d4\u17d5\u203c\u2047-\u2049\u3002\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
 CLOSE = "\"')\\]\u00bb\u2019\u201d\u300d\u300f"
-SENTENCE = re.compile(rf"[\s\S]*?(?:(?:(?<![{SOFT}])[{SOFT}]++[{CLOSE}]*+(?=[\s{HARD}]|\Z)|[{HARD}])[{SOFT}{HARD}]*\s*|\Z)")
+SENTENCE = re.compile(rf"(?:[^{SOFT}{HARD}]++|(?!(?:(?<![{SOFT}])[{SOFT}]++[{CLOSE}]*+(?=[\s{HARD}]|\Z)))[{SOFT}])*+(?:(?:(?<![{SOFT}])[{SOFT}]++[{CLOSE}]*+(?=[\s{HARD}]|\Z)|[{HARD}])[{SOFT}{HARD}]*\s*|\Z)")
 #: Scripts that set no blanks between words (Thai, Lao, Burmese, Khmer, kana, Han); each character counts as a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_CHAR = re.compile(f"[{UNSPACED}]")
 WORD = re.compile(rf"\s*(?:[{UNSPACED}]|[^\s{UNSPACED}]+)\s*|\s+$")
 #: A sentence of more than LONG words is cut after words whose hash is the least among NEAR words to either side, and LONG
 #: words after the last cut at the latest.
@@ -31,8 +32,9 @@ def split(text: str | None, long: int = LONG) -> list[str]:
     so, so that the cuts of a repeated passage agree wherever it stands."""
     out: list[str] = []
     for sentence in SENTENCE.findall(text or ""):
-        # most sentences are too short to have so many words
-        if len(sentence) <= long or len(words := WORD.findall(sentence)) <= long:
+        # most sentences have few words, all between blanks
+        few = len(sentence.split()) <= long and (sentence.isascii() or not UNSPACED_CHAR.search(sentence))
+        if few or len(words := WORD.findall(sentence)) <= long:
             if sentence:
                 out.append(sentence)
             continue
