@@ -144,3 +144,68 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
         "row.doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def piece(c: str) -> str:
+    """A value in a Merkle leaf, in SQL."""
+    return f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')"
+
+
+# a byte of the id enters the checksum at its first bit
+CRC_IN = "xor(c, case when i % 8 = 0 then ascii(cast(doc_id as varchar)[cast(i // 8 + 1 as int)]) else 0 end)"
+
+
+@query("op11_merkle_manifest", f"""
+with recursive leaf as (select doc_id, source, {" || ".join(map(piece, ["doc_id", "source", "lang", "n_chars"]))} head, text,
+  xor(4294967295, list_reduce(list_prepend(4294967295, range(0, 8 * length(cast(doc_id as varchar)))),
+   lambda c, i: xor({CRC_IN} // 2, case when {CRC_IN} % 2 = 1 then 3988292384 else 0 end))) crc from documents),
+hashed as (select doc_id, source, sha256(head || {piece("text")}) leaf,
+  case when crc % 2 = 0 then sha256(head || {piece("replace(text, chr(10), '')")}) else sha256(head || {piece("text")}) end given from leaf),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by source) n from hashed),
+low as (select source, 0 lvl, pos, n, leaf h from placed union all
+ select source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from low where n > 1 group by source, lvl, pos // 3, n),
+sub as (select source, h, row_number() over (order by source nulls first) - 1 pos, count(*) over () n from low where n = 1),
+high as (select 0 lvl, pos, n, h from sub union all
+ select lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from high where n > 1 group by lvl, pos // 3, n),
+kin as (select source, lvl, pos, n, h, false top from low union all select null, lvl, pos, n, h, true from high),
+around as (select source, top, lvl, pos, n, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') l,
+  coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') r from kin window w as (partition by top, source, lvl, pos // 3 order by pos)),
+way as (select doc_id, source, 0 lvl, pos, n, '' proof, given f from placed union all
+ select way.doc_id, way.source, way.lvl + 1, way.pos // 3, (way.n + 2) // 3, proof || l || r, sha256(l || f || r) from way join around a
+  on not a.top and way.source is not distinct from a.source and way.lvl = a.lvl and way.pos = a.pos where way.n > 1),
+up as (select doc_id, way.source, 0 lvl, sub.pos, sub.n, proof, f from way join sub on way.source is not distinct from sub.source where way.n = 1 union all
+ select up.doc_id, up.source, up.lvl + 1, up.pos // 3, (up.n + 2) // 3, proof || l || r, sha256(l || f || r) from up join around a on a.top and up.lvl = a.lvl and up.pos = a.pos where up.n > 1)
+select doc_id, leaf, sub.h subroot, root.h root, sha256(proof) proof_sha256, f folded_root, f = root.h verified
+from up join placed using (doc_id) join sub on placed.source is not distinct from sub.source join (select h from high where n = 1) root on true where up.n = 1""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle as M
+
+    cols = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = M.leaf_of([*cols[:4], F.replace("text", F.lit("\n"), F.lit(""))])
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    made = M.manifest(read(spark, sf_dir, "documents"), M.leaf_of(cols), ["doc_id"], carry={"tampered": F.when(crc % 2 == 0, tampered)})
+    made = made.withColumn("folded_root", M.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return made.select("row.doc_id", "leaf", "subroot", "root", M.digest_of(F.col("proof")).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op12_quality_qda")
+def op12_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import in_fraction
+    from .quality import quality
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = in_fraction("doc_id", 3, 1)
+    found = quality(docs.select("doc_id", "text", held_out.alias("held_out")), docs.filter(~held_out), read(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", "row.held_out", "score", "predicted")
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
