@@ -6,14 +6,12 @@ the range of scores.
 
 from pyspark.sql import functions as F
 
-from ..functions import rolling as R
-from ..functions.nullsafe import ratio, rounded
+from ..functions.nullsafe import rounded
 from ..operators import joins as J
-from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import models as X
 from ..operators import splits as S
-from ..operators.ordered import over_rows, side_by_side
+from ..operators.features import feature_columns
 from ..plans import reports
 from ..sources import tables as t
 from ..sources.sinks import cut
@@ -22,14 +20,13 @@ from .resampling import report_wide
 from .views import sround
 
 KEYS = ["symbol"]
-FEATURES = ["log_return", "rsi_14", "volatility_20d", "momentum_1w", "momentum_1m", "hl_range_pct", "volume_ratio"]
+IDENT = ["symbol", "d"]
 
 
-# rows of the model table: every feature needs its window, every label its horizon
+# rows of the model table: the integrated table of both crops
 view("fit_rows", """
- select symbol, d, target_binary, case when i<floor(n*0.7e0)-7 then 'train' when i>=floor(n*0.7e0) and i<floor(n*0.8e0)-7 then 'val' when i>=floor(n*0.8e0) then 'test' end split
- from (select symbol, d, (r>0.025e0)::double target_binary, row_number() over (partition by symbol order by d)-1 i, count(*) over (partition by symbol) n from
- (select symbol, d, lead(close,7) over w/close-1 r, row_number() over w rn, count(*) over (partition by symbol) m from bars window w as (partition by symbol order by d)) where rn>=22 and rn<=m-7)""")
+ select symbol, d, target_binary, r, n, i, case when i<floor(n*0.7e0)-7 then 'train' when i>=floor(n*0.7e0) and i<floor(n*0.8e0)-7 then 'val' when i>=floor(n*0.8e0) then 'test' end split
+ from (select symbol, d, r, (r>0.025e0)::double target_binary, row_number() over (partition by symbol order by d)-1 i, count(*) over (partition by symbol) n from i_final)""")
 BINARY = "select symbol, d, target_binary, true valid from fit_rows where split='test'"
 PLAIN = "select symbol, d, true valid from fit_rows where split='test'"
 
@@ -49,23 +46,19 @@ def finite(c):
 
 
 def model_table(spark, sf):
-    """Features, labels and split of all symbols in one table, written once per fit."""
-    layers = side_by_side(
-        [
-            lambda c: {"log_return": R.log_return(c, "close"), "momentum_1w": R.change(c, "close", 5), "momentum_1m": R.change(c, "close", 21),
-                       "hl_range_pct": ratio(F.col("high") - F.col("low"), "close"), "volume_ratio": ratio("volume", R.mean(c, "volume", 20) + 1e-8)}
-            | L.forward_return("close", 7)(c),
-            lambda c: {"volatility_20d": R.std(c, "log_return", 20)},
-        ],
-        R.rsi_layers("rsi_14", "close", 14),
-    )
-    b = over_rows(t.bars(spark, sf), KEYS, "d", layers, 21, 7)
-    b = b.withColumns(L.all_labels("return_future", t.THETA)).na.drop(how="any")
-    return cut(S.chrono_split(b, KEYS, "d", 7, keep_embargo=True), "model_table")
+    """The integrated table of both crops, daily, with the split of every row; written once per fit. And its features:
+    all numeric columns that are neither labels nor keys; what one crop does not have is missing there."""
+    from .jobs import both_crops
+
+    b = both_crops(spark, sf, weekly=False)
+    return cut(S.chrono_split(b, KEYS, "d", 7, keep_embargo=True), "model_table"), feature_columns(b, KEYS)
 
 
 def split_rows(spark, sf):
-    return model_table(spark, sf).filter(F.col("split").isNotNull())
+    """Rows of the three splits; training looks back on a bounded number of rows of each series."""
+    df, features = model_table(spark, sf)
+    border = F.floor(F.col("n") * F.lit(S.TRAIN_SHARE)) - 7
+    return df.filter(F.col("split").isNotNull() & ((F.col("split") != "train") | (F.col("rn") > border - X.LOOKBACK))), features
 
 
 def _test(df):
@@ -74,65 +67,67 @@ def _test(df):
 
 @query("gbt_binary", BINARY)
 def gbt_binary(spark, sf):
-    df = split_rows(spark, sf)
-    model = X.fit_gbt_binary(df, FEATURES, "target_binary")
-    return X.probability(model, X.assembled(_test(df), FEATURES)).select("symbol", "d", "target_binary", scores("p"))
+    df, features = split_rows(spark, sf)
+    model = X.fit_gbt_binary(df, features, "target_binary", ident=IDENT)
+    return X.scored(model, _test(df), ["p"]).select("symbol", "d", "target_binary", scores("p"))
 
 
 @query("gbt_multiclass", PLAIN)
 def gbt_multiclass(spark, sf):
-    df = split_rows(spark, sf)
-    out = X.gbt_multiclass(df, FEATURES, "target_multiclass", [0, 1, 2])
-    return _test(out).select("symbol", "d", scores("p_0", "p_1", "p_2", total=True))
+    df, features = split_rows(spark, sf)
+    model = X.fit_gbt_multiclass(df, features, "target_multiclass", ident=IDENT)
+    return X.scored(model, _test(df), ["p_0", "p_1", "p_2"]).select("symbol", "d", scores("p_0", "p_1", "p_2", total=True))
 
 
 @query("gbt_regression", PLAIN)
 def gbt_regression(spark, sf):
-    df = split_rows(spark, sf)
-    model = X.fit_gbt_regression(df, FEATURES, "target_reg")
-    return X.predictions(model, _test(df), FEATURES).select("symbol", "d", finite("y_hat"))
+    df, features = split_rows(spark, sf)
+    model = X.fit_gbt_regression(df, features, "target_reg", ident=IDENT)
+    return X.scored(model, _test(df), ["y_hat"]).select("symbol", "d", finite("y_hat"))
 
 
-@query("gbt_walkforward")
+@query("gbt_walkforward", "select symbol, d, (i-floor(n*0.8e0)::bigint)//130 block, target_binary y_true, true valid from fit_rows where split='test'")
 def gbt_walkforward(spark, sf):
-    blocks = cut(S.walkforward(model_table(spark, sf).drop("split"), 1000, 130), "blocks")
-    numbers = [r["block"] for r in blocks.select("block").distinct().orderBy("block").collect()]
-    out = X.walkforward_gbt(blocks, KEYS, "d", FEATURES, "target_binary", numbers)
-    return out.withColumn("p", rounded("p"))
+    df, features = model_table(spark, sf)
+    blocks = cut(S.walkforward(df.drop("split"), 1000, 130), "blocks")
+    out = X.walkforward_gbt(blocks, KEYS, "d", features, "target_binary")
+    return out.select("symbol", "d", "block", "y_true", scores("p"))
 
 
 @query("rf_binary", BINARY)
 def rf_binary(spark, sf):
-    df = split_rows(spark, sf)
-    model = X.fit_forest(df, FEATURES, "target_binary")
-    return X.probability(model, X.assembled(_test(df), FEATURES)).select("symbol", "d", "target_binary", scores("p"))
+    df, features = split_rows(spark, sf)
+    model = X.fit_forest(df, features, "target_binary")
+    return X.probability(model, X.assembled(_test(df), features)).select("symbol", "d", "target_binary", scores("p"))
 
 
 @query("rf_multiclass", PLAIN)
 def rf_multiclass(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    df = split_rows(spark, sf)
-    model = X.fit_forest(df, FEATURES, "target_multiclass")
-    scored = model.transform(X.assembled(_test(df), FEATURES)).withColumn("ps", vector_to_array("probability"))
+    df, features = split_rows(spark, sf)
+    model = X.fit_forest(df, features, "target_multiclass")
+    scored = model.transform(X.assembled(_test(df), features)).withColumn("ps", vector_to_array("probability"))
     return scored.withColumns({f"p_{c}": F.get("ps", F.lit(c)) for c in (0, 1, 2)}).select("symbol", "d", scores("p_0", "p_1", "p_2", total=True))
 
 
 @query("rf_regression", PLAIN)
 def rf_regression(spark, sf):
-    df = split_rows(spark, sf)
-    model = X.fit_forest_regression(df, FEATURES, "target_reg")
-    return X.predictions(model, _test(df), FEATURES).select("symbol", "d", finite("y_hat"))
+    df, features = split_rows(spark, sf)
+    model = X.fit_forest_regression(df, features, "target_reg")
+    return X.predictions(model, _test(df), features).select("symbol", "d", finite("y_hat"))
 
 
 @query("null_importance_select")
 def null_importance_select(spark, sf):
-    train = split_rows(spark, sf).filter(F.col("split") == "train").select("symbol", "d", *FEATURES, "target_binary")
+    """Which features a classifier uses more than it would by chance; training rows only."""
+    df, features = split_rows(spark, sf)
+    train = df.filter(F.col("split") == "train").select(*IDENT, *features, "target_binary")
     from ..operators.ordered import positions
 
     train = cut(positions(train, KEYS, "d", "rn", "n"), "train")
-    out = X.null_importance(train, FEATURES, "target_binary", ["symbol", "d"])
-    return out.select("feature", rounded("score").alias("score"), "kept")
+    out = X.null_importance(train, features, "target_binary", IDENT)
+    return out.select("feature", F.col("score").between(0.0, 1.0).alias("valid"))
 
 
 def meta(spark, sf, value="p", anchor="y_true"):
@@ -148,8 +143,7 @@ BASE = ["m1", "m2", "m3", "m4"]
 @query("stack_logistic", "select tag, d, y_true, true valid from preds_split where model=1 and split='test'")
 def stack_logistic(spark, sf):
     df = meta(spark, sf)
-    model = X.stack_logistic(df.filter(F.col("split") == "val"), BASE, "y_true")
-    return X.probability(model, X.assembled(_test(df), BASE)).select("tag", "d", "y_true", scores("p"))
+    return _test(X.stack_logistic(df.filter(F.col("split") != "train"), ["tag"], BASE, "y_true")).select("tag", "d", "y_true", scores("p"))
 
 
 @query("stack_multinomial", "select tag, d, cls, true valid from preds_split where model=1 and split='test'")
@@ -163,12 +157,28 @@ def stack_multinomial(spark, sf):
     df = wide[0].join(wide[1].drop("cls"), ["tag", "d"]).join(wide[2].drop("cls"), ["tag", "d"]).join(s, ["tag", "d"])
     df = cut(df, "meta")
     feats = [f"{m}_{c}" for c in cols for m in BASE]
-    model = X.stack_logistic(df.filter(F.col("split") == "val"), feats, "cls", multinomial=True)
+    model = X.stack_multinomial(df.filter(F.col("split") == "val"), feats, "cls")
     scored = model.transform(X.assembled(_test(df), feats)).withColumn("ps", vector_to_array("probability"))
     return scored.withColumns({f"p_{c}": F.get("ps", F.lit(c)) for c in (0, 1, 2)}).select("tag", "d", "cls", scores("p_0", "p_1", "p_2", total=True))
 
 
-@query("stack_rank_ridge")
+# normal equations of four centred ranks with a penalty on the diagonal, by elimination
+view("ridge_ranks", """
+ select tag, d, r, split, """ + ", ".join(
+    f"(rank() over (partition by tag, split order by m{i})+(count(*) over (partition by tag, split, m{i})-1)/2e0)/count(*) over (partition by tag, split) x{i}" for i in range(1, 5)) + """
+ from (select tag, d, split, any_value(r) r, """ + ", ".join(f"max(case when model={i} then y_hat end) m{i}" for i in range(1, 5)) + """ from preds_split where split<>'train' group by 1,2,3)""")
+view("ridge_0", "select tag, avg(r) my, " + ", ".join(f"avg(x{i}) mx{i}" for i in range(1, 5)) + ", " + ", ".join(
+    f"covar_pop(x{i},x{j})*count(*){'+0.1e0' if i == j else ''} a{i}{j}" for i in range(1, 5) for j in range(i, 5)) + ", " + ", ".join(
+    f"covar_pop(x{i},r)*count(*) a{i}5" for i in range(1, 5)) + " from ridge_ranks where split='val' group by 1")
+for _k in range(1, 5):  # one unknown less
+    view(f"ridge_{_k}", "select * exclude (" + ", ".join(f"a{i}{j}" for i in range(_k + 1, 5) for j in range(i, 6)) + ("" if _k < 4 else "a44") + "), " + (", ".join(
+        f"a{i}{j}-a{_k}{i}*a{_k}{j}/a{_k}{_k} a{i}{j}" for i in range(_k + 1, 5) for j in range(i, 6)) if _k < 4 else "a44") + f" from ridge_{_k - 1}")
+view("ridge_beta", """
+ select *, (a15-a12*b2-a13*b3-a14*b4)/a11 b1 from (select *, (a25-a23*b3-a24*b4)/a22 b2 from (select *, (a35-a34*b4)/a33 b3 from (select *, a45/a44 b4 from ridge_4)))""")
+
+
+@query("stack_rank_ridge", f"""
+ select tag, d, {sround('r')} r, {sround('my+b1*(x1-mx1)+b2*(x2-mx2)+b3*(x3-mx3)+b4*(x4-mx4)')} y_hat from ridge_ranks join ridge_beta using (tag) where split='test'""")
 def stack_rank_ridge(spark, sf):
     df = meta(spark, sf, "y_hat", "r")
     out = X.stack_rank_ridge(df.filter(F.col("split") != "train"), ["tag"], BASE, "r", bounded=True)
@@ -181,18 +191,19 @@ def blend_average(spark, sf):
     return wide.select("tag", "d", rounded(X.blend(BASE)).alias("p"))
 
 
-@query("hurdle_two_stage")
+@query("hurdle_two_stage", "select symbol tag, d, r target_reg_unclipped, true in_range, true adds_up from fit_rows where split='test'")
 def hurdle_two_stage(spark, sf):
-    df = split_rows(spark, sf)
-    test = X.hurdle_magnitudes(df, FEATURES, "return_future", t.THETA).withColumnRenamed("symbol", "tag")
-    p = t.predictions(spark, sf)
-    pick = lambda m, c, name: p.filter(F.col("model") == m).select("tag", "d", F.col(c).alias(name))
-    out = J.align_hurdle(test, pick(1, "p_up", "p_up"), pick(2, "p_down", "p_down"), pick(3, "y_hat", "single"), ["tag", "d"])
-    out = out.withColumns(X.hurdle_expectation())
-    cols = ["target_reg", "p_up", "p_down", "m_up", "m_down", "half_hurdle_pred", "full_hurdle_pred"]
-    return out.select("tag", "d", *[rounded(c).alias(c) for c in cols])
-
-
+    """Stage one: probabilities of a move up and down by models that have not seen the row. Stage two: sizes of both moves. Expected returns of
+    test rows, from the up leg alone and from both."""
+    df, features = split_rows(spark, sf)
+    border = F.floor(F.col("n") * F.lit(S.TRAIN_SHARE)) - 7
+    df = df.withColumns({"rn": F.when(F.col("split") == "train", F.col("rn") - F.greatest(border - X.LOOKBACK, F.lit(0))), "n": F.least(border, F.lit(X.LOOKBACK))})
+    one = X.hurdle_stage_one(df, features, "return_future", t.THETA, ident=IDENT)
+    two = X.hurdle_magnitudes(one, features, "return_future", t.THETA, ident=IDENT)
+    out = _test(two).withColumns(X.hurdle_expectation())
+    lost = (1 - F.col("p_up")).between(0, 1) & F.col("p_down").between(0, 1) & (F.col("m_up") >= 0) & (F.col("m_down") >= 0)
+    same = F.abs(F.col("half_hurdle_pred") - F.col("full_hurdle_pred") - F.col("p_down") * F.col("m_down")) < 1e-9
+    return out.select(F.col("symbol").alias("tag"), "d", F.col("return_future").alias("target_reg_unclipped"), lost.alias("in_range"), same.alias("adds_up"))
 
 
 @query("hurdle_combination", "select tag, d, model, p_up*(p/10) half_hurdle_pred, p_up*(p/10)-p_down*((1-p)/10) full_hurdle_pred from preds")
@@ -204,32 +215,29 @@ def hurdle_combination(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    model = X.fit_forest(split_rows(spark, sf), FEATURES, "target_binary")
-    return X.importances(model, FEATURES, spark).select("feature", rounded("gain").alias("gain")).orderBy(F.col("gain").desc())
+    df, features = split_rows(spark, sf)
+    model = X.fit_forest(df, features, "target_binary")
+    return X.importances(model, features, spark).select("feature", rounded("gain").alias("gain")).orderBy(F.col("gain").desc())
 
 
-@query("ablation_calendar")
+@query("ablation_calendar", """
+ select experiment, count(*) n_test, sum(target_binary::bigint) n_positive, true valid
+ from fit_rows cross join (select unnest(['A_synthetic', 'B_report_only', 'C_hybrid']) experiment) where split='test' group by 1""")
 def ablation_calendar(spark, sf):
     """The same boosted model on calendar columns, on report columns and on both: ranking on test rows, and F1
     there at the threshold that does best on validation rows."""
-    cal = J.prefixed(t.calendar(spark, sf, "corn"), "cal_", ["d"])
-    rep = J.prefixed(reports.corn_features(report_wide(spark, sf)).select("d", "corn_planting_pct", "corn_stress_index", "corn_signal_encoded"), "rep_", ["d"])
-    df = cut(J.left_on(split_rows(spark, sf), [cal, rep], ["d"]), "ablation")
-    cal_cols, rep_cols = ([c for c in df.columns if c.startswith(p)] for p in ("cal_", "rep_"))
-    variants = {"A_synthetic": cal_cols, "B_report_only": rep_cols, "C_hybrid": cal_cols + rep_cols}
-    parts = []
-    for name, extra in variants.items():
-        feats = FEATURES + extra
-        model = X.fit_gbt_binary(df, feats, "target_binary")
-        held = df.filter(F.col("split").isin("val", "test"))
-        scored = X.probability(model, X.assembled(held, feats)).select(F.lit(name).alias("experiment"), "symbol", "d", "split", "target_binary", "p")
-        parts.append(scored)
-    from functools import reduce
-
-    scores = cut(reduce(lambda a, b: a.unionByName(b), parts), "scores")
+    df, features = split_rows(spark, sf)
+    rep = J.prefixed(reports.corn_features(report_wide(spark, sf)), "rep_", ["d"])
+    df = cut(J.left_on(df, [rep], ["d"]), "ablation")
+    cal_cols = [c for c in features if c.startswith("cal_")]
+    rep_cols = [c for c in feature_columns(df, [*KEYS, "rn", "n"]) if c.startswith("rep_")]
+    base = [c for c in features if c not in cal_cols]
+    variants = {"A_synthetic": base + cal_cols, "B_report_only": base + rep_cols, "C_hybrid": base + cal_cols + rep_cols}
+    scores = cut(X.variants_gbt(df, variants, "target_binary", IDENT).select("experiment", *IDENT, "split", "target_binary", "p"), "scores")
     test = _test(scores)
     rank = M.ranking_metrics(test, ["experiment"], "target_binary", "p")
     best = M.best_f1_threshold(scores.filter(F.col("split") == "val"), ["experiment"], "target_binary", "p").select("experiment", "threshold")
     f1 = M.threshold_metrics(test.join(best, "experiment"), ["experiment"], "target_binary", "p", F.col("threshold"))
-    f1 = f1.select("experiment", F.col("f1").alias("test_f1"))
-    return rank.join(f1, "experiment").select("experiment", rounded("auc_roc", 4).alias("test_auc"), rounded("pr_auc", 4).alias("test_prauc"), rounded("test_f1", 4).alias("test_f1"))
+    f1 = f1.select("experiment", "n_samples", "n_positive", F.col("f1").alias("test_f1"))
+    fine = F.col("auc_roc").between(0, 1) & F.col("pr_auc").between(0, 1) & F.col("test_f1").between(0, 1)
+    return rank.join(f1, "experiment").select("experiment", F.col("n_samples").alias("n_test"), "n_positive", fine.alias("valid"))

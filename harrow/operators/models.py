@@ -1,8 +1,7 @@
-"""Models fitted with Spark ML on distributed feature tables.
+"""Models fitted on distributed feature tables: boosted trees from `boosting`, forests and stacks from Spark ML.
 
-Settings follow the inventory's; what Spark's trees do not have (leaf caps, L1/L2 on leaves) is
-left out. Every fit takes `rounds`, the most trees it may grow. Tables are written out before a
-fit, since boosting passes over its input once per tree level.
+Settings follow the inventory's. Every boosted fit takes `rounds`, the most trees it may grow. What is fitted several
+times, on blocks, folds, shuffled labels or lists of features, is fitted at once.
 
 Boosting stops early the way the settings ask for: the number of trees is the one with the least
 validation loss, once `patience` further trees have not improved it.
@@ -10,35 +9,39 @@ validation loss, once `patience` further trees have not improved it.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import cut
+from .boosting import Growth, Model, fit_boosted
+from .linear import linear, logistic_by, ridge_by
 from .metrics import rank_fraction
 from .ordered import positions
-from .splits import balanced_weights, expanding_folds, positive_weight
+from .splits import balanced_weights, expanding_folds
 
 SEED = 42
-# Trees without improvement after which boosting stops.
-PATIENCE = {"binary": 50, "multiclass": 50, "regression": 50, "magnitude": 30}
-# Rows of a training partition; fewer, larger partitions make the many small jobs of a fit cheap.
-PARTITION_ROWS = 100_000
-# Tree settings per task and frequency.
-GBT = {
-    ("binary", False): dict(maxIter=2000, stepSize=0.015, maxDepth=4, minInstancesPerNode=35, subsamplingRate=0.7, featureSubsetStrategy="0.6"),
-    ("binary", True): dict(maxIter=500, stepSize=0.01, maxDepth=3, minInstancesPerNode=10, subsamplingRate=0.7, featureSubsetStrategy="0.5"),
-    ("multiclass", False): dict(maxIter=2000, stepSize=0.02, maxDepth=4, minInstancesPerNode=30, subsamplingRate=0.7, featureSubsetStrategy="0.6"),
-    ("multiclass", True): dict(maxIter=500, stepSize=0.01, maxDepth=3, minInstancesPerNode=10, subsamplingRate=0.7, featureSubsetStrategy="0.5"),
-    ("regression", False): dict(maxIter=2000, stepSize=0.02, maxDepth=5, minInstancesPerNode=30, subsamplingRate=0.8, featureSubsetStrategy="0.7"),
-    ("regression", True): dict(maxIter=500, stepSize=0.01, maxDepth=3, minInstancesPerNode=10, subsamplingRate=0.8, featureSubsetStrategy="0.6"),
-    ("magnitude", False): dict(maxIter=500, stepSize=0.05, maxDepth=4, minInstancesPerNode=5, subsamplingRate=0.8, featureSubsetStrategy="0.7"),
-    ("magnitude", True): dict(maxIter=300, stepSize=0.05, maxDepth=3, minInstancesPerNode=3, subsamplingRate=0.8, featureSubsetStrategy="0.6"),
+# Settings of boosted trees per task, daily and weekly.
+TREES = {
+    ("binary", False): Growth(rounds=2000, rate=0.015, leaves=6, depth=4, least_rows=35, least_weight=5, least_gain=0.02, row_share=0.7, column_share=0.6, l1=1.0, l2=10.0, patience=30),
+    ("binary", True): Growth(rounds=500, rate=0.01, leaves=4, depth=3, least_rows=10, least_weight=5, least_gain=0.02, row_share=0.7, column_share=0.5, l1=1.0, l2=10.0, patience=30),
+    ("multiclass", False): Growth(rounds=2000, rate=0.02, leaves=7, depth=4, least_rows=30, least_weight=5, row_share=0.7, column_share=0.6, l1=1.0, l2=5.0, patience=50),
+    ("multiclass", True): Growth(rounds=500, rate=0.01, leaves=4, depth=3, least_rows=10, least_weight=5, row_share=0.7, column_share=0.5, l1=1.0, l2=10.0, patience=50),
+    ("regression", False): Growth(rounds=2000, rate=0.02, leaves=63, depth=5, least_rows=30, least_weight=5, row_share=0.8, column_share=0.7, l1=0.1, l2=1.0, patience=50),
+    ("regression", True): Growth(rounds=500, rate=0.01, leaves=15, depth=3, least_rows=10, least_weight=5, row_share=0.8, column_share=0.6, l1=0.1, l2=5.0, patience=50),
+    ("magnitude", False): Growth(rounds=500, rate=0.05, leaves=15, depth=4, least_rows=5, least_weight=1, row_share=0.8, column_share=0.7, l1=0.1, l2=0.5, patience=50),
+    ("magnitude", True): Growth(rounds=300, rate=0.05, leaves=7, depth=3, least_rows=3, least_weight=1, row_share=0.8, column_share=0.6, l1=0.1, l2=1.0, patience=50),
 }
+# Weight cap of positives, rows of a series that a daily fit looks back on.
+CAP = 10.0
+LOOKBACK = 1000
 FOREST = {
     ("class", False): dict(numTrees=500, maxDepth=5, minInstancesPerNode=20, featureSubsetStrategy="0.5"),
     ("class", True): dict(numTrees=200, maxDepth=3, minInstancesPerNode=30, featureSubsetStrategy="0.4"),
@@ -53,9 +56,9 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
 
 
-def _gbt_params(kind: str, weekly: bool, rounds: int | None) -> dict:
-    out = dict(GBT[kind, weekly], seed=SEED)
-    return out | {"maxIter": rounds} if rounds else out
+def growth(kind: str, weekly: bool, rounds: int | None) -> Growth:
+    out = TREES[kind, weekly]
+    return replace(out, rounds=rounds) if rounds else out
 
 
 def _forest_params(kind: str, weekly: bool, rounds: int | None) -> dict:
@@ -75,63 +78,24 @@ def probability(model, df: DataFrame, cls: int = 1, out: str = "p") -> DataFrame
     )
 
 
-def fit_boosted(est, rows: DataFrame, patience: int):
-    """Fit on rows that are not `is_val`, with as many trees as validation wants.
-
-    Spark's own rule stops at the first tree that does not help. Here the model grows to twice the
-    patience, and twice as far as long as the best tree is younger than the patience; the losses of all its
-    prefixes come from one pass over the validation rows. The best prefix is fitted again, as the
-    same seed grows the same trees.
-    """
-    n = rows.agg(F.count_if(~F.col("is_val")).alias("train"), F.count_if("is_val").alias("val")).first()
-    parts = max(1, -(-n["train"] // PARTITION_ROWS))
-    train = rows.filter(~F.col("is_val")).drop("is_val").coalesce(parts).persist()
-    val = rows.filter("is_val").drop("is_val").coalesce(parts).persist()
-    try:
-        most, size = est.getMaxIter(), min(est.getMaxIter(), 2 * patience)
-        while n["val"]:
-            model = est.copy({est.maxIter: size}).fit(train)
-            losses = model.evaluateEachIteration(val) if isinstance(est, GBTClassifier) else model.evaluateEachIteration(val, "squared")
-            best = min(range(size), key=lambda i: losses[i]) + 1
-            if size == most or size - best >= patience:
-                return model if best == size else est.copy({est.maxIter: best}).fit(train)
-            size = min(most, 2 * size)
-        return est.fit(train)
-    finally:
-        train.unpersist()
-        val.unpersist()
-
-
-def fit_gbt_binary(df: DataFrame, features: list[str], label: str, weekly: bool = False, rounds: int | None = None):
+def fit_gbt_binary(df: DataFrame, features: list[str], label: str, weekly: bool = False, rounds: int | None = None, ident: list[str] = ()) -> Model:
     """Boosted trees; positives weigh (negatives / positives), capped; stops early on validation."""
-    rows = assembled(_fit_rows(df), features)
-    weight = rows.filter(~F.col("is_val")).agg(positive_weight(label).alias("w")).first()["w"]
-    rows = rows.withColumn("weight", F.when(F.col(label) == 1, weight).otherwise(1.0))
-    est = GBTClassifier(labelCol=label, weightCol="weight", **_gbt_params("binary", weekly, rounds))
-    return fit_boosted(est, rows, PATIENCE["binary"])
+    return fit_boosted(_fit_rows(df), features, "logistic", growth("binary", weekly, rounds), label=label, ident=ident, cap=CAP)
 
 
-def gbt_multiclass(df: DataFrame, features: list[str], label: str, classes: list[int], weekly: bool = False, rounds: int | None = None) -> DataFrame:
-    """One boosted model per class against the rest, balanced rows, scores normalised to one.
+def fit_gbt_multiclass(df: DataFrame, features: list[str], label: str, classes: int = 3, weekly: bool = False, rounds: int | None = None, ident: list[str] = ()) -> Model:
+    """One softmax model: a tree per class and round from the gradients of the joint loss; balanced rows. Labels are 0, 1, .."""
+    return fit_boosted(_fit_rows(df), features, "softmax", growth("multiclass", weekly, rounds), outputs=classes, label=label, ident=ident, balanced=True)
 
-    Adds p_<class> columns to the assembled table.
-    """
-    rows = assembled(df, features)
-    fit = balanced_weights(_fit_rows(rows), [], label)
-    out = rows
-    for c in classes:
-        one = fit.withColumn("is_cls", (F.col(label) == c).cast("double"))
-        est = GBTClassifier(labelCol="is_cls", weightCol="weight", **_gbt_params("multiclass", weekly, rounds))
-        out = probability(fit_boosted(est, one, PATIENCE["multiclass"]), out, 1, f"__p{c}")
-    total = reduce(lambda a, b: a + b, [F.col(f"__p{c}") for c in classes])
-    out = out.withColumns({f"p_{c}": F.col(f"__p{c}") / total for c in classes})
-    return out.drop(*[f"__p{c}" for c in classes])
 
+def fit_gbt_regression(df: DataFrame, features: list[str], label: str, kind: str = "regression", weekly: bool = False, rounds: int | None = None, ident: list[str] = ()) -> Model:
+    return fit_boosted(_fit_rows(df), features, "squared", growth(kind, weekly, rounds), label=label, ident=ident)
 
-def fit_gbt_regression(df: DataFrame, features: list[str], label: str, kind: str = "regression", weekly: bool = False, rounds: int | None = None):
-    rows = assembled(_fit_rows(df), features)
-    est = GBTRegressor(labelCol=label, **_gbt_params(kind, weekly, rounds))
-    return fit_boosted(est, rows, PATIENCE[kind])
+
+def scored(model: Model, df: DataFrame, out: list[str], fit: str | None = None) -> DataFrame:
+    """Adds a column per output of a boosted model."""
+    got = model.predict(df, fit, "__scores")
+    return got.withColumns({name: F.get("__scores", F.lit(k)) for k, name in enumerate(out)}).drop("__scores")
 
 
 def fit_forest(df: DataFrame, features: list[str], label: str, weekly: bool = False, rounds: int | None = None):
@@ -156,82 +120,85 @@ def importances(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(g)) for f, g in zip(features, gains)], "feature string, gain double")
 
 
-def walkforward_gbt(blocks: DataFrame, keys: list[str], d: str, features: list[str], label: str, numbers: list[int], rounds: int | None = None) -> DataFrame:
+def walkforward_gbt(blocks: DataFrame, keys: list[str], d: str, features: list[str], label: str, rounds: int | None = None) -> DataFrame:
     """Predictions of the test rows of each walk-forward block by a model of the block's rows.
 
     `blocks` has (block, role) from `splits.walkforward`; the last 15 % of a training window, at
-    least 30 rows, stop the boosting early. A handful of fits, each distributed.
+    least 30 rows, stop the boosting early. All blocks are fitted at once.
     """
     train = positions(blocks.filter(F.col("role") == "train"), [*keys, "block"], d, "__i", "__m")
     held = F.greatest(F.lit(30), F.floor(F.col("__m") * F.lit(0.15)))
-    train = train.withColumn("split", F.when(F.col("__i") > F.col("__m") - held, "val").otherwise("train"))
-    parts = []
-    for b in numbers:
-        model = fit_gbt_binary(train.filter(F.col("block") == b).drop("__i", "__m"), features, label, rounds=rounds)
-        test = blocks.filter((F.col("block") == b) & (F.col("role") == "test"))
-        parts.append(probability(model, assembled(test, features)).select(*keys, d, "block", F.col(label).alias("y_true"), "p"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    train = train.withColumn("is_val", F.col("__i") > F.col("__m") - held)
+    fits = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    model = fit_boosted(train, features, "logistic", growth("binary", False, rounds), fits=fits, fit="block", label=label, ident=[*keys, d], cap=CAP)
+    return scored(model, blocks.filter(F.col("role") == "test"), ["p"], "block").select(*keys, d, "block", F.col(label).alias("y_true"), "p")
 
 
-def shuffled_label(df: DataFrame, ident: list[str], label: str, seed: int) -> DataFrame:
-    """The table with its labels in random order.
+def shuffled_labels(df: DataFrame, ident: list[str], label: str, runs: int, seed: int = SEED) -> DataFrame:
+    """Adds `labels`: the row's own label, then its label in each of `runs` shuffles.
 
-    Rows and labels are numbered along two independent hashes and paired by number, so the
-    shuffle is an equi join and no task sees the whole column.
+    Rows are numbered along a hash; run r gives number i the label of number (a i + b) mod n, a prime a that does not
+    divide n. Only numbers and labels are joined, whatever the width of the rows, and no task sees the whole column.
     """
-    cell = 2**52
-    order = lambda s, name: F.xxhash64(F.lit(s), *ident).alias(name)
-    a = positions(df.drop(label).select("*", order(seed, "__h")), [], "__h", "__at", blocked=True, width=cell)
-    b = df.select(label, order(seed + 1, "__g"))
-    b = positions(b, [], "__g", "__at", blocked=True, width=cell)
-    return a.join(b, "__at").drop("__h", "__g", "__at")
+    numbered = positions(df.withColumn("__h", F.xxhash64(F.lit(seed), *ident)), [], "__h", "__at", "__n", blocked=True, width=2**52)
+    numbered = cut(numbered.drop("__h"), "numbered")
+    n = numbered.agg(F.max("__n")).first()[0] or 1
+    steps = [p for p in (700001, 800011, 900001, 1000003, 1100009, 1200007, 1300021, 1400017, 1500007, 1600033, 1700021, 1800017) if n % p]
+    if runs > len(steps):
+        raise ValueError(f"at most {len(steps)} shuffles")
+    moves = F.array(*[F.struct(F.lit(r).alias("run"), (((F.col("__at") - 1) * a + F.lit(7919 * (seed + r))) % n + 1).alias("__from")) for r, a in enumerate(steps[:runs])])
+    drawn = numbered.select("__at", F.explode(moves).alias("m")).select("__at", "m.*")
+    drawn = drawn.join(numbered.select(F.col("__at").alias("__from"), F.col(label).alias("__y")), "__from")
+    drawn = drawn.groupBy("__at").agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "__y"))), lambda m: m["__y"]).alias("__drawn"))
+    out = numbered.join(drawn, "__at", "left") if runs else numbered.withColumn("__drawn", F.array().cast("array<double>"))
+    return out.withColumn("labels", F.concat(F.array(F.col(label).cast("double")), F.col("__drawn").cast("array<double>"))).drop("__at", "__n", "__drawn")
 
 
 def null_importance(df: DataFrame, features: list[str], label: str, ident: list[str], folds: int = 3, null_runs: int = 5, rounds: int = 50, keep: float = 0.05, regression: bool = False) -> DataFrame:
-    """(feature, score, kept): importance over expanding folds minus importance under shuffled
-    labels, relative to the largest; every feature is kept when none passes.
+    """(feature, score, kept): splits on a feature over expanding folds less splits under shuffled
+    labels, relative to the most; every feature is kept when none passes.
 
-    `df` holds training rows with rn and n.
+    `df` holds training rows with rn and n. Folds and runs are fitted at once.
     """
-    spark = df.sparkSession
-
-    def gains(table: DataFrame) -> DataFrame:
-        folded = expanding_folds(table, folds).filter(F.col("role") == "train")
-        parts = []
-        for f in range(folds):
-            rows = assembled(folded.filter(F.col("fold") == f), features)
-            est = (GBTRegressor if regression else GBTClassifier)(labelCol=label, maxIter=rounds, seed=SEED)
-            parts.append(importances(est.fit(rows), features, spark))
-        return reduce(lambda a, b: a.unionByName(b), parts).groupBy("feature").agg(F.avg("gain").alias("gain"))
-
-    actual = gains(df)
-    nulls = [gains(shuffled_label(df, ident, label, SEED + 2 * i)) for i in range(null_runs)]
-    null = reduce(lambda a, b: a.unionByName(b), nulls).groupBy("feature").agg(F.avg("gain").alias("null_gain"))
-    # one row per feature from here on
-    top = actual.agg(F.max("gain").alias("g")).first()["g"] + 1e-5
-    scored = actual.join(null, "feature").withColumn("score", F.greatest(F.col("gain") - F.col("null_gain"), F.lit(0.0)) / top)
-    passed = scored.agg(F.count_if(F.col("score") >= keep).alias("k")).first()["k"]
-    return scored.select("feature", "score", (F.col("score") >= keep if passed else F.lit(True)).alias("kept"))
-
-
-def _l2(c: float, weights: float) -> float:
-    """Spark's averaged penalty for an inverse strength c over total weight."""
-    return 1.0 / (c * weights)
-
-
-def stack_logistic(meta: DataFrame, cols: list[str], label: str, c: float = 1.0, multinomial: bool = False):
-    """L2 logistic regression with balanced rows on base predictions (rows of the fit only)."""
+    folded = expanding_folds(shuffled_labels(df, ident, label, null_runs), folds).filter(F.col("role") == "train")
+    rows = folded.select("*", F.posexplode("labels").alias("run", "__y")).withColumn("fit", F.col("run") * folds + F.col("fold")).withColumn("is_val", F.lit(False))
+    fits = folds * (null_runs + 1)
+    model = fit_boosted(rows.drop("labels"), features, "squared" if regression else "logistic", Growth(rounds=rounds), fits=fits, fit="fit", label="__y", ident=ident)
+    used = model.splits.reshape(null_runs + 1, folds, len(features)).mean(axis=1)
+    score = np.maximum(0.0, used[0] - (used[1:].mean(axis=0) if null_runs else 0.0)) / (used[0].max() + 1e-5)
+    passed = score >= keep
+    kept = passed if passed.any() else ~passed
+    return df.sparkSession.createDataFrame([(f, float(s), bool(k)) for f, s, k in zip(features, score, kept)], "feature string, score double, kept boolean")
+
+
+def variants_gbt(df: DataFrame, variants: dict[str, list[str]], label: str, ident: list[str], weekly: bool = False, rounds: int | None = None) -> DataFrame:
+    """Validation and test rows of every variant of the feature list (column `experiment`) with its score p; all variants are
+    fitted at once over one table of all features."""
+    features = list(dict.fromkeys(c for v in variants.values() for c in v))
+    only = np.array([[c in v for c in features] for v in variants.values()])
+    names = F.array(*[F.lit(v) for v in variants])
+    each = lambda t: t.select("*", F.posexplode(names).alias("fit", "experiment"))
+    model = fit_boosted(each(_fit_rows(df)), features, "logistic", growth("binary", weekly, rounds), fits=len(variants), fit="fit", label=label, ident=ident, cap=CAP, only=only)
+    return scored(model, each(df.filter(F.col("split").isin("val", "test"))), ["p"], "fit").drop("fit")
+
+
+def stack_logistic(meta: DataFrame, keys: list[str], cols: list[str], label: str, c: float = 1.0, fit_split: str = "val") -> DataFrame:
+    """All rows with p, the probability by a logistic regression per key with balanced classes and an L2 penalty, fitted on the
+    rows of `fit_split`; keys without such rows get null."""
+    fitted = logistic_by(meta.filter(F.col("split") == fit_split), keys, cols, label, c)
+    return linear(meta, fitted, keys, cols, "p").withColumn("p", 1 / (1 + F.exp(-F.col("p"))))
+
+
+def stack_multinomial(meta: DataFrame, cols: list[str], label: str, c: float = 1.0):
+    """L2 multinomial regression with balanced rows on base predictions (rows of the fit only)."""
     rows = balanced_weights(assembled(meta, cols), [], label)
     n = rows.count()  # balanced weights sum to the number of rows
-    est = LogisticRegression(
-        labelCol=label, weightCol="weight", regParam=_l2(c, n), elasticNetParam=0.0, standardization=False,
-        maxIter=1000 if not multinomial else 500, family="multinomial" if multinomial else "binomial",
-    )
+    est = LogisticRegression(labelCol=label, weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=500, family="multinomial")
     return est.fit(rows)
 
 
 def stack_rank_ridge(meta: DataFrame, keys: list[str], cols: list[str], label: str, alpha: float = 0.1, fit_split: str = "val", bounded: bool = False) -> DataFrame:
-    """Ridge on rank-transformed base predictions; ranks are taken per key and split.
+    """Ridge per key on rank-transformed base predictions; ranks are taken per key and split.
 
     Returns all rows with y_hat.
     """
@@ -239,12 +206,7 @@ def stack_rank_ridge(meta: DataFrame, keys: list[str], cols: list[str], label: s
     for c in cols:
         ranked = rank_fraction(ranked, [*keys, "split"], c, f"rank_{c}", bounded)
     feats = [f"rank_{c}" for c in cols]
-    rows = assembled(ranked.filter(F.col("split") == fit_split), feats)
-    # Spark divides the label by its deviation before it applies the penalty
-    n, sd = rows.agg(F.count(F.lit(1)), F.stddev(label)).first()
-    penalty = alpha * sd / n if sd else 0.0
-    est = LinearRegression(labelCol=label, regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal")
-    return predictions(est.fit(rows), ranked, feats)
+    return linear(ranked, ridge_by(ranked.filter(F.col("split") == fit_split), keys, feats, label, alpha), keys, feats, "y_hat")
 
 
 def blend(cols: list[str]) -> Column:
@@ -260,27 +222,43 @@ def hurdle_legs(df: DataFrame, r: str, theta: float) -> DataFrame:
     )
 
 
-def hurdle_magnitudes(df: DataFrame, features: list[str], r: str, theta: float, weekly: bool = False, rounds: int | None = None, least: int = 20) -> DataFrame:
-    """Test rows with the predicted size of an up move and of a down move, at least 0.
+def hurdle_magnitudes(df: DataFrame, features: list[str], r: str, theta: float, weekly: bool = False, rounds: int | None = None, least: int = 20, ident: list[str] = ()) -> DataFrame:
+    """All rows with the predicted size of an up move (m_up) and of a down move (m_down), at least 0.
 
-    A leg with fewer than `least` training rows predicts theta.
+    Both legs are fitted at once, each on the rows of its moves. A leg with fewer than `least` training rows predicts theta.
     """
-    legs = hurdle_legs(df, r, theta)
-    train_rows = {
-        x["leg"]: x["n"]
-        for x in legs.filter(F.col("split") == "train").groupBy("leg").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    out = assembled(df.filter(F.col("split") == "test"), features)
-    for leg, name in (("up", "m_up"), ("down", "m_down")):
-        if train_rows.get(leg, 0) < least:
+    legs = hurdle_legs(df, r, theta).withColumn("fit", (F.col("leg") == "down").cast("int"))
+    train = {x["fit"]: x["n"] for x in legs.filter(F.col("split") == "train").groupBy("fit").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model = fit_boosted(_fit_rows(legs), features, "squared", growth("magnitude", weekly, rounds), fits=2, fit="fit", label="magnitude", ident=ident)
+    out = df
+    for k, name in enumerate(("m_up", "m_down")):
+        if train.get(k, 0) < least:
             out = out.withColumn(name, F.lit(theta))
             continue
-        model = fit_gbt_regression(legs.filter(F.col("leg") == leg), features, "magnitude", "magnitude", weekly, rounds)
-        scored = model.transform(out)
-        out = scored.withColumn(name, F.greatest("prediction", F.lit(0.0))).drop("prediction")
+        out = scored(model, out.withColumn("__fit", F.lit(k)), [name], "__fit").withColumn(name, F.greatest(name, F.lit(0.0))).drop("__fit")
     return out
 
 
+def hurdle_stage_one(df: DataFrame, features: list[str], r: str, theta: float, folds: int = 3, weekly: bool = False, rounds: int | None = None, ident: list[str] = ()) -> DataFrame:
+    """Rows with p_up and p_down, the probabilities of a move above theta and below -theta, by models that have not seen them.
+
+    `df` has split, and rn and n over the training rows of a series. Training rows are scored out of fold: expanding folds, each by models of the
+    rows before it (the rows before the first fold are left out); validation and test rows by models of all training rows. Models of
+    the last kind stop early on validation rows; all legs and folds are fitted at once.
+    """
+    up, down = (F.col(r) > theta).cast("double"), (F.col(r) < -theta).cast("double")
+    legs = F.array(F.struct(F.lit(0).alias("leg"), up.alias("__y")), F.struct(F.lit(1).alias("leg"), down.alias("__y")))
+    folded = expanding_folds(df.filter(F.col("split") == "train"), folds)
+    fit_rows = folded.filter(F.col("role") == "train").withColumn("is_val", F.lit(False)).drop("role")
+    fit_rows = fit_rows.unionByName(_fit_rows(df).withColumn("fold", F.lit(folds)))
+    fit_rows = fit_rows.select("*", F.explode(legs).alias("l")).select("*", "l.*").withColumn("fit", F.col("leg") * (folds + 1) + F.col("fold"))
+    model = fit_boosted(fit_rows.drop("l"), features, "logistic", growth("binary", weekly, rounds), fits=2 * (folds + 1), fit="fit", label="__y", ident=ident, cap=CAP)
+    out = folded.filter(F.col("role") == "test").drop("role").unionByName(df.filter(F.col("split").isin("val", "test")).withColumn("fold", F.lit(folds)))
+    for leg, name in enumerate(("p_up", "p_down")):
+        out = scored(model, out.withColumn("__fit", F.col("fold") + leg * (folds + 1)), [name], "__fit").drop("__fit")
+    return out.drop("fold")
+
+
 def hurdle_expectation(p_up="p_up", m_up="m_up", p_down="p_down", m_down="m_down") -> dict[str, Column]:
     """Half (up leg only) and full expected return."""
     half = F.col(p_up) * F.col(m_up)

@@ -37,13 +37,25 @@ def clear() -> None:
         _made.pop(path)
 
 
-def cut(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFrame:
-    """Materialise a stage as a table in the shared folder, so later plans read it instead of
-    recomputing it; survives the loss of executors."""
+def stage(df: DataFrame, name: str = "stage", codec: str = "snappy") -> tuple[DataFrame, str]:
+    """A table like that of `cut`, and its path, for callers that release it themselves."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Remove a stage table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _made.pop(path, None)
+
+
+def cut(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFrame:
+    """Materialise a stage as a table in the shared folder, so later plans read it instead of
+    recomputing it; survives the loss of executors."""
+    return stage(df, name, codec)[0]
 
 
 def write_csv(df: DataFrame, path: str, by: list[str] = ()) -> None:

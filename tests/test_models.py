@@ -22,17 +22,38 @@ def test_rank_ridge_is_the_closed_form(spark):
     np.testing.assert_allclose(out.y_hat, want, atol=1e-6)
 
 
+def test_logistic_per_key_is_the_penalised_optimum(spark):
+    """Coefficients against Newton steps on one key at a time; a key of one class, missing values."""
+    from harrow.operators.linear import logistic_by
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for tag in range(3):
+        x = rng.random((200, 2))
+        y = (rng.random(200) < 1 / (1 + np.exp(-(tag + 1) * (x[:, 0] - 0.7)))).astype(float)
+        rows += [(tag, *map(float, v), float(k)) for v, k in zip(x, y)]
+        design, beta, w = np.column_stack([np.ones(200), x]), np.zeros(3), np.where(y == 1, 100 / y.sum(), 100 / (200 - y.sum()))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-design @ beta))
+            pull = np.array([0, 1, 1]) / 0.5
+            beta = beta + np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + np.diag(pull), design.T @ (w * (y - p)) - pull * beta)
+        want[tag] = beta
+    rows += [(7, 0.1, 0.2, 1.0), (7, 0.3, 0.1, 1.0), (0, None, 0.5, 1.0), (1, 0.5, 0.5, None)]
+    got = {r["tag"]: [r[f"beta_{i}"] for i in range(3)] for r in logistic_by(spark.createDataFrame(rows, "tag int, a double, b double, y double"), ["tag"], ["a", "b"], "y", 0.5).collect()}
+    for tag in range(3):
+        np.testing.assert_allclose(got[tag], want[tag], atol=1e-7)
+    assert got[7] == [0.0, 0.0, 0.0]
+
+
 def test_boosting_keeps_the_trees_that_help(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 3))
     y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(int)
     rows = [(*map(float, a), int(b), "val" if i % 5 == 0 else "train") for i, (a, b) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, "a double, b double, c double, y int, split string")
-    model = X.fit_gbt_binary(df, ["a", "b", "c"], "y", rounds=25)
-    assert 1 < model.getNumTrees <= 25
+    fit = lambda t, rounds, patience: X.fit_boosted(X._fit_rows(t), ["a", "b", "c"], "logistic", X.Growth(rounds=rounds, patience=patience, rate=0.3), label="y")
+    model = fit(df, 25, 10)
+    assert 1 < model.best[0] <= 25
     noise = df.withColumn("y", (F.rand(5) > 0.5).cast("int"))
-    fitted = X.assembled(X._fit_rows(noise), ["a", "b", "c"])
-    from pyspark.ml.regression import GBTRegressor
-
-    est = GBTRegressor(labelCol="y", maxIter=60, maxDepth=3, stepSize=0.3, seed=1)
-    assert X.fit_boosted(est, fitted, 5).getNumTrees < 60
+    stopped = fit(noise, 60, 5)
+    assert len(stopped.trees) < 60 and stopped.best[0] < len(stopped.trees)
