@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-#: UTF-8 bytes of text after which a block of documents closes.
-BLOCK_BYTES = 1 << 23
+#: Characters of text after which a block of documents closes, and that are looked up at once.
+BLOCK_SIZE = 1 << 23
+PORTION = 1 << 19
 #: Pieces and their bytes that a worker remembers before it starts anew, at the end of a block.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 1 << 25
 #: Pieces that are tokenized as one line.
@@ -27,7 +28,6 @@ LINE = 4096
 #: A blank between two visible characters: both tokenizers begin a token there, whatever stands around.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r" \s|\s |\A | \Z")
-WHITE = re.compile(r"\s")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,6 +52,24 @@ def b_bytes(pieces: list[str]) -> list[bytes]:
     return [bytes([int(m[1], 16)]) if (m := one.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
 
 
+def decoded(raw: bytes | None) -> str:
+    """A text, empty if it is missing or no UTF-8."""
+    try:
+        return (raw or b"").decode()
+    except UnicodeDecodeError:
+        return ""
+
+
+def portions(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `size` characters."""
+    begin = n = 0
+    for k, text in enumerate(texts):
+        n += len(text)
+        if n >= size or k == len(texts) - 1:
+            yield begin, k + 1
+            begin, n = k + 1, 0
+
+
 def coalesce(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of A and of B tokens of every group, where both sides are tokens that follow each other from byte 0.
 
@@ -100,8 +118,9 @@ class Aligner:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.groups: list[str | None] = []
+        self.groups: list[str] = []
         self.sizes, self.codes = array("q"), array("q")  # A tokens, B tokens, groups, links of a piece; codes of its links
+        self.unspelt: set[int] = set()
         self.held = 0
 
     def pieces(self, text: str) -> list[str]:
@@ -112,7 +131,8 @@ class Aligner:
     def learn(self, pieces: list[str]) -> None:
         plain, odd = [], []
         for p in pieces:
-            (odd if self.whole or WHITE.search(p) else plain).append(p)
+            # a line is cut again where visible characters meet its blanks
+            (odd if self.whole or not p or p[0].isspace() or p[-1].isspace() else plain).append(p)
         lines = [plain[i:i + LINE] for i in range(0, len(plain), LINE)] + [[p] for p in odd]
         while lines:
             texts = [" ".join(line) for line in lines]
@@ -126,10 +146,11 @@ class Aligner:
                 elif len(line) > 1:  # tells which of them it is
                     again += [[p] for p in line]
                 else:
-                    self.keep(line[0], None, (0, 0, 0, 0))
+                    self.unspelt.add(len(self.groups))
+                    self.keep(line[0], "", (0, 0, 0, 0))
             lines = again
 
-    def keep(self, piece: str, groups: str | None, sizes: tuple[int, int, int, int]) -> None:
+    def keep(self, piece: str, groups: str, sizes: tuple[int, int, int, int]) -> None:
         self.at[piece] = len(self.groups)
         self.groups.append(groups)
         self.sizes.extend(sizes)
@@ -169,18 +190,19 @@ class Aligner:
             g, n = stop, k
         self.codes.frombytes(code.tobytes())
 
-    def __call__(self, text: str) -> list[int]:
-        """Places of the alignments of a text's pieces."""
-        pieces = self.pieces(text)
-        missing = list(set(pieces).difference(self.at))
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        """Places of the alignments of the pieces of each text; none for a text that a piece does not spell."""
+        cut = [self.pieces(text) if text else [] for text in texts]
+        missing = list(set(chain.from_iterable(cut)).difference(self.at))
         if missing:
             self.learn(missing)
-        return list(map(self.at.__getitem__, pieces))
+        found = [list(map(self.at.__getitem__, pieces)) for pieces in cut]
+        return [[] if self.unspelt and not self.unspelt.isdisjoint(places) else places for places in found]
 
 
 def align(
     docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: list[str] | None = None, links: str = "ends", groups: bool = False,
-    block_bytes: int = BLOCK_BYTES,
+    block_size: int = BLOCK_SIZE,
 ) -> DataFrame:
     """One row per document: row (the columns `keep`, by default all but the text), n_a, n_b, n_groups, n_links,
     groups_sha256, n_best, count_sum, and with `groups` the groups as text (`a1,a2|b1;a3|b2,b3`).
@@ -195,7 +217,7 @@ def align(
     groups and digest. Long texts are cut at blanks and need no more than their own size in tokens. Repeated rows each count. An
     empty table gives no rows. Only `keep` is carried, packed, so names of other columns do not matter.
 
-    Documents are dealt with in blocks of about `block_bytes`: a block sends each id pair once, so that a frequent pair, like all others, has
+    Documents are dealt with in blocks of about `block_size` characters: a block sends each id pair once, so that a frequent pair, like all others, has
     one row per block; the counts of its pairs come back to the block, and to nothing larger.
     """
     import sentencepiece
@@ -246,18 +268,12 @@ def align(
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch in batches:
-            for k, value in enumerate(batch["text"]):
-                raw, places = value.as_py() or b"", []
-                try:
-                    places = aligner(raw.decode()) if raw else []
-                except UnicodeDecodeError:
-                    places = []
-                if any(aligner.groups[i] is None for i in set(places)):
-                    places = []
-                rows.append(batch["row"].slice(k, 1))
-                found.append(places)
-                size += len(raw)
-                if size >= block_bytes:
+            whole = [decoded(value.as_py()) for value in batch["text"]]
+            for begin, end in portions(whole, PORTION):
+                found += aligner(whole[begin:end])
+                rows += [batch["row"].slice(k, 1) for k in range(begin, end)]
+                size += sum(map(len, whole[begin:end]))
+                if size >= block_size:
                     yield close()
                     seq, size, rows, found = seq + 1, 0, [], []
                     if len(aligner.groups) > REMEMBERED or aligner.held > REMEMBERED_BYTES:
