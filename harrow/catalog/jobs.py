@@ -3,10 +3,14 @@
 from pyspark.sql import functions as F
 
 from ..functions.nullsafe import rounded
+from ..operators import labels
+from ..operators import lagscan as G
+from ..operators.ordered import over_rows
 from ..plans import calendars, integrate, macro, market, reports, weather
 from ..sources import tables as t
 from ..sources.sinks import cut
 from . import query, view
+from .lags import DRAWS, p_sql
 from .resampling import report_wide
 from .scalars import label_of
 from .views import full, sround
@@ -273,20 +277,30 @@ def backbone(spark, sf, crop):
     return weather.backbone(w.filter(corn if crop == "corn" else ~corn), [])
 
 
-def integrated(spark, sf, crop, weekly, bars, shared):
-    """The table of one crop; only the weekly form reads the daily features twice."""
+def crop_sources(spark, sf, crop, bars, shared):
+    """Daily market features, dated sources and weather of a crop."""
     symbols = F.col("symbol") % 2 == (1 if crop == "corn" else 0)
     daily = market.daily_features(bars.filter(symbols), ["symbol"], market.SPIKE_LIMIT[crop])
     sources = {"usd_": shared["usd_"], "inf_": shared["inf_"], "cal_": cal_week(spark, sf, crop), "vix_": shared["vix_"]}
+    return daily, sources, backbone(spark, sf, crop)
+
+
+def integrated(spark, sf, crop, weekly, bars, shared, lag_actions=None):
+    """The table of one crop; only the weekly form reads the daily features twice."""
+    daily, sources, weather_days = crop_sources(spark, sf, crop, bars, shared)
     daily = cut(daily, "market") if weekly else daily
-    return integrate.integrate(daily, ["symbol"], sources, backbone(spark, sf, crop), crop, weekly)
+    return integrate.integrate(daily, ["symbol"], sources, weather_days, crop, weekly, lag_actions=lag_actions)
 
 
-def both_crops(spark, sf, weekly):
-    """The integrated tables of all symbols, each with the columns of its crop. What both crops use, bars and dated
-    tables, is made once."""
+def shared_inputs(spark, sf):
+    """What both crops use, bars and dated tables, made once."""
     bars = cut(t.bars(spark, sf), "bars")
-    shared = {"usd_": cut(usd_week(spark, sf), "usd"), "inf_": cut(inf_week(spark, sf), "inf"), "vix_": cut(vix_week(spark, sf), "vix")}
+    return bars, {"usd_": cut(usd_week(spark, sf), "usd"), "inf_": cut(inf_week(spark, sf), "inf"), "vix_": cut(vix_week(spark, sf), "vix")}
+
+
+def both_crops(spark, sf, weekly):
+    """The integrated tables of all symbols, each with the columns of its crop."""
+    bars, shared = shared_inputs(spark, sf)
     parts = [integrated(spark, sf, crop, weekly, bars, shared).withColumn("crop", F.lit(crop)) for crop in ("corn", "coffee")]
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
@@ -352,6 +366,87 @@ def job_integrate_weekly(spark, sf):
     return out.select("symbol", "d", "crop", *[rounded(c, 5).alias(c) for c, t_ in out.dtypes if t_ == "double"])
 
 
+# names in the views and in the table
+SCANNED = {**{c: c for c in ("high", "low", "close", "volume", *BB, "usd_close", "inf_mom_pct", "cal_sin_week", "vix_regime")}, "usd_lag_ret": "usd_log_return_lag_1w"}
+CROP = "case when symbol%2=1 then 'corn' else 'coffee' end"
+view("ls_week", f"select {CROP} crop, cast(date_trunc('week', d + 6) as date) d, {', '.join(f'avg({c}) {c}' for c in SCANNED)} from i_carried group by 1,2")
+view("ls_rows", f"""
+ select *, row_number() over (partition by crop order by d) i, count(*) over (partition by crop) n from
+  (select *, lead(close) over (partition by crop order by d)/close-1 y from ls_week) where y is not null and {' and '.join(f'{c} is not null' for c in SCANNED)}""")
+view("ls_long", f"unpivot ls_rows on {', '.join(SCANNED)} into name variable value x")
+view("ls_static", """
+ select a.crop, a.variable, b.i-a.i lag, corr(a.x,b.y) r, count(*) pairs from ls_long a join ls_rows b on a.crop=b.crop and b.i-a.i between 1 and 52 where a.n>=72 group by 1,2,3 having count(*)>=20""")
+view("ls_null", f"""
+ with l as (select * from ls_rows cross join (select unnest(range(1,53)) lag) where n>=72 and n-lag>=20),
+ sx as (select crop, lag, b, {', '.join(SCANNED)}, row_number() over (partition by crop, lag, b order by (((b*7919+(i-1)*104729)%1000003)*((b*31+(i-1)*17+7)%999983)+b*(i-1))%2147483647, i) pos
+  from l cross join (select unnest(range(1,{DRAWS + 1})) b) where i<=n-lag),
+ sy as (select crop, lag, i-lag pos, y from l where i>lag)
+ unpivot (select crop, lag, b, {', '.join(f'coalesce(corr({c},y),2e0) {c}' for c in SCANNED)} from sx join sy using (crop, lag, pos) group by 1,2,3) on {', '.join(SCANNED)} into name variable value r""")
+view("ls_p", f"""
+ select s.crop, s.variable, s.lag, s.r, coalesce(sum((u.r<2 and abs(u.r)>=abs(s.r))::int),0)/{DRAWS}e0 p from ls_static s join ls_null u using (crop, variable, lag) group by 1,2,3,4""")
+view("ls_sig", """
+ with s as (select crop, variable, x, y, i-1 i, n from ls_long),
+ p as (select a.crop, a.variable, a.i, b.i-a.i lag, a.n, a.x, b.y from s a join s b on a.crop=b.crop and a.variable=b.variable and b.i-a.i between 1 and 37 join ls_p k on k.crop=a.crop and k.variable=a.variable and k.lag=b.i-a.i and k.p<0.05e0),
+ w as (select p.*, st*4 st from p join (select unnest(range(0,5000)) st) q on st*4<=i and i<st*4+52-p.lag and st*4<n-52-p.lag)
+ select crop, variable, lag, st, corr(x,y) r, count(*) pairs from w group by 1,2,3,4 having count(*)>=15""")
+view("ls_class", f"""
+ select crop, variable, lag, count(*) windows, count(*) filter (where {p_sql('r', 'pairs')}<0.05) significant from ls_sig group by 1,2,3""")
+view("ls_shift", "select crop, variable, lag from ls_class where significant/windows>=0.6e0")
+
+
+def weekly_rows(spark, sf, bars, shared):
+    """Weeks of each crop: means over its symbols of every scanned column, and the next week's return of the mean close. Complete rows only."""
+    parts = []
+    for crop in ("corn", "coffee"):
+        daily, sources, weather_days = crop_sources(spark, sf, crop, bars, shared)
+        parts.append(integrate.merged(daily, ["symbol"], sources, weather_days).select(F.lit(crop).alias("crop"), "d", *SCANNED.values()))
+    week = F.date_add(F.date_trunc("week", F.date_add("d", 6)).cast("date"), 0)
+    weeks = parts[0].unionByName(parts[1]).groupBy("crop", week.alias("d")).agg(*[F.avg(c).alias(c) for c in SCANNED.values()])
+    weeks = over_rows(weeks, ["crop"], "d", [labels.forward_return("close", 1, "y")], 0, 1)
+    return cut(weeks.na.drop(how="any", subset=["y", *SCANNED.values()]), "scan_weeks")
+
+
+def scanned_config(spark, sf, bars, shared):
+    rows = weekly_rows(spark, sf, bars, shared)
+    found, tested = G.scan_all(rows, ["crop"], "d", list(SCANNED.values()), "y", DRAWS)
+    return cut(found, "scan_found"), tested
+
+
+NAMED = "case when variable='usd_lag_ret' then 'usd_log_return_lag_1w' else variable end"
+
+
+@query("ccf_all_variables", f"select crop, {NAMED} variable, lag, {sround('r')} r, {sround('p')} p from ls_p")
+def ccf_all_variables(spark, sf):
+    """Correlation and permutation test of every lag of every weekly column, both crops, in one scan."""
+    _, tested = scanned_config(spark, sf, *shared_inputs(spark, sf))
+    return tested.select("crop", "variable", F.col("lag").cast("long").alias("lag"), rounded("r").alias("r"), rounded("p").alias("p"))
+
+
+@query("job_integrate_lagged", f"""
+ with keyed as (select f.symbol, f.d, {CROP} crop, c.rn from i_final f join i_carried c using (symbol, d)),
+ longer as (unpivot (select symbol, rn, {', '.join(f'{c}::double {c}' for c in SCANNED)} from i_carried) on {', '.join(SCANNED)} into name variable value x),
+ shifted as (select k.symbol, k.d, k.crop, s.variable, s.lag, l.x from keyed k join ls_shift s using (crop) left join longer l on l.symbol=k.symbol and l.variable=s.variable and l.rn=k.rn-s.lag*5),
+ used as (select crop, variable, lag from shifted group by 1,2,3 having count(x)>0),
+ whole as (select symbol, d, crop from keyed k where not exists (select 1 from shifted s join used u using (crop, variable, lag) where s.symbol=k.symbol and s.d=k.d and s.x is null))
+ select crop, {NAMED} || '_lag_' || lag || 'w' feature, count(*) n, {sround('avg(x)', 4)} mean from shifted join used using (crop, variable, lag) join whole using (symbol, d, crop) group by 1,2""")
+def job_integrate_lagged(spark, sf):
+    """The integrated table with the lags that the scan found stable: the scan of all weekly columns, its stored verdicts, and the columns
+    they ask for. One row per added column, with its rows and mean."""
+    bars, shared = shared_inputs(spark, sf)
+    found, tested = scanned_config(spark, sf, bars, shared)
+    config = cut(G.lag_config(found, tested, ["crop", "variable"]), "lag_config")
+    todo, parts = G.actions(config, ["crop"]), []
+    for crop in ("corn", "coffee"):
+        own = todo.get((crop,), {})
+        out = integrated(spark, sf, crop, False, bars, shared, own)
+        added = [f"{v}_lag_{k}w" for v, lags in own.items() for k, action in lags.items() if action == "shift_feature"]
+        added = [c for c in added if c in out.columns]
+        each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in added]) if added else F.array().cast("array<struct<feature:string,x:double>>")
+        parts.append(out.select(F.lit(crop).alias("crop"), F.explode(each).alias("f")).select("crop", "f.*"))
+    long = parts[0].unionByName(parts[1])
+    return long.groupBy("crop", "feature").agg(F.count("x").alias("n"), rounded(F.avg("x"), 4).alias("mean"))
+
+
 REP = ["corn_planting_pct", "corn_condition_ge_pct", "corn_stress_index"]
 
 

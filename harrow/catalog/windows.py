@@ -17,8 +17,8 @@ view("tick_rows", f"select *, row_number() over ({W}) rn from ticks")
 view("bar_rows", f"select *, row_number() over ({B}) rn, lag(close) over ({B}) pc from bars")
 
 
-def _ticks(spark, sf, layers, before, after=0, width=4096):
-    return over_rows(t.ticks(spark, sf), KEY, "seq", layers, before, after, width=width)
+def _ticks(spark, sf, layers, before, after=0):
+    return over_rows(t.ticks(spark, sf), KEY, "seq", layers, before, after)
 
 
 def _bars(spark, sf, layers, before, after=0):

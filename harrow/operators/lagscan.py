@@ -7,12 +7,14 @@ the work spreads over (series, lag), (series, lag, draw) and (series, lag, windo
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.nullsafe import pearson
+from ..sources.sinks import cut
 from .ordered import over_rows, positions
 from .splits import permuted_arrays
 
@@ -64,6 +66,60 @@ def static_scan(df: DataFrame, keys: list[str], d: str, x: str, y: str, max_lag:
     return out.filter(F.col("pairs") >= MIN_PAIRS)
 
 
+def per_variable(df: DataFrame, keys: list[str], d: str, variables: list[str], y: str) -> DataFrame:
+    """Long form (keys, variable, d, x, y), which every scan takes with the variable as a key."""
+    pairs = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"`{v}`").cast("double").alias("x")) for v in variables])
+    return df.select(*keys, d, y, F.explode(pairs).alias("p")).select(*keys, "p.variable", d, "p.x", F.col(y).alias("y"))
+
+
+def shared_null_scan(df: DataFrame, keys: list[str], d: str, variables: list[str], y: str, draws: int = DRAWS, max_lag: int = MAX_LAG) -> DataFrame:
+    """(keys, variable, lag, b, r) like `null_scan` of every variable, from one set of shuffles.
+
+    Takes tables whose rows are complete. A shuffle moves the row with all its variables, so sorting and joining are done once for
+    all; one aggregate then holds the sums of every variable.
+    """
+    whole = df.filter(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in (*variables, y)]))
+    rows = positions(whole, keys, d, "rn", "n").filter(F.col("n") >= max_lag + MIN_PAIRS)
+    each = F.struct(*[F.col(f"`{v}`").cast("double").alias(f"x{i}") for i, v in enumerate(variables)])
+    series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", each.alias("x"), F.col(y).alias("y")))).alias("s"))
+    arrays = series.select(*keys, F.transform("s", lambda e: e["x"]).alias("x"), F.transform("s", lambda e: e["y"]).alias("y"))
+    lagged = _lagged(arrays, keys, max_lag)
+    drawn = permuted_arrays(lagged, [*keys, "lag"], "x", draws)
+    long = drawn.select(*keys, "lag", "b", F.explode(F.arrays_zip("shuffled", "y")).alias("p"))
+    found = long.groupBy(*keys, "lag", "b").agg(*[pearson(F.col(f"p.shuffled.x{i}"), F.col("p.y")).alias(f"r{i}") for i in range(len(variables))])
+    by = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"r{i}").alias("r")) for i, v in enumerate(variables)])
+    return found.select(*keys, "lag", "b", F.explode(by).alias("v")).select(*keys, "v.variable", "lag", "b", "v.r")
+
+
+def _lagged(arrays: DataFrame, keys: list[str], max_lag: int) -> DataFrame:
+    """One row per series and lag with the paired parts of x and y: few small rows with much work each, in a fixed number of
+    tasks, which are not merged again."""
+    lagged = arrays.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
+    lagged = lagged.repartition(4 * arrays.sparkSession.sparkContext.defaultParallelism, *keys, "lag")
+    n = F.size("x") - F.col("lag")
+    return lagged.filter(n >= MIN_PAIRS).select(*keys, "lag", F.slice("x", F.lit(1), n).alias("x"), F.slice("y", F.col("lag") + 1, n).alias("y"))
+
+
+def scan_all(df: DataFrame, keys: list[str], d: str, variables: list[str], y: str, draws: int = DRAWS) -> tuple[DataFrame, DataFrame]:
+    """The verdicts (keys, variable, lag, windows, significant, action) and the tested lags (keys, variable, lag, r, p, pairs) of all
+    variables of a table of complete rows."""
+    by = [*keys, "variable"]
+    long = cut(per_variable(df, keys, d, variables, y), "scan_long")
+    static = static_scan(long, by, d, "x", "y")
+    tested = cut(permutation_p(static, shared_null_scan(df, keys, d, variables, y, draws), by, draws), "scan_tested")
+    rolling = rolling_scan(long, by, d, "x", "y", tested.filter(F.col("p") < ALPHA))
+    return classify(tested, rolling, by), tested
+
+
+def actions(config: DataFrame, keys: list[str]) -> dict[tuple, dict[str, dict[int, str]]]:
+    """What to do with each lag, per key: one entry per variable with a verdict, as `shift_layer` takes them. `config` comes from
+    `lag_config`; it has a row per key and variable, whatever the length of the series."""
+    out: dict[tuple, dict[str, dict[int, str]]] = {}
+    for r in config.select(*keys, "variable", "action").collect():
+        out.setdefault(tuple(r[k] for k in keys), {})[r["variable"]] = {int(lag): a for lag, a in r["action"].items()}
+    return out
+
+
 def series_arrays(df: DataFrame, keys: list[str], d: str, x: str, y: str, max_lag: int = MAX_LAG) -> DataFrame:
     """One row per series with its x and y in date order."""
     rows = complete_pairs(df, keys, d, x, y, max_lag)
@@ -75,14 +131,7 @@ def series_arrays(df: DataFrame, keys: list[str], d: str, x: str, y: str, max_la
 def null_scan(df: DataFrame, keys: list[str], d: str, x: str, y: str, draws: int = DRAWS, max_lag: int = MAX_LAG) -> DataFrame:
     """(keys, lag, b, r): correlations after shuffling the lagged side, one row per draw."""
     arrays = series_arrays(df, keys, d, x, y, max_lag)
-    lagged = arrays.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
-    # few small rows with much work each: a fixed number of tasks, which are not merged again
-    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    lagged = lagged.repartition(tasks, *keys, "lag")
-    n = F.size("x") - F.col("lag")
-    lagged = lagged.filter(n >= MIN_PAIRS).select(
-        *keys, "lag", F.slice("x", F.lit(1), n).alias("x"), F.slice("y", F.col("lag") + 1, n).alias("y")
-    )
+    lagged = _lagged(arrays, keys, max_lag)
     drawn = permuted_arrays(lagged, [*keys, "lag"], "x", draws)
     long = drawn.select(*keys, "lag", "b", F.explode(F.arrays_zip("shuffled", "y")).alias("p"))
     return long.groupBy(*keys, "lag", "b").agg(pearson("p.shuffled", "p.y").alias("r"))

@@ -140,7 +140,7 @@ def shuffled_labels(df: DataFrame, ident: list[str], label: str, runs: int, seed
     Rows are numbered along a hash; run r gives number i the label of number (a i + b) mod n, a prime a that does not
     divide n. Only numbers and labels are joined, whatever the width of the rows, and no task sees the whole column.
     """
-    numbered = positions(df.withColumn("__h", F.xxhash64(F.lit(seed), *ident)), [], "__h", "__at", "__n", blocked=True, width=2**52)
+    numbered = positions(df.withColumn("__h", F.xxhash64(F.lit(seed), *ident)), [], "__h", "__at", "__n", blocked=True)
     numbered = cut(numbered.drop("__h"), "numbered")
     n = numbered.agg(F.max("__n")).first()[0] or 1
     steps = [p for p in (700001, 800011, 900001, 1000003, 1100009, 1200007, 1300021, 1400017, 1500007, 1600033, 1700021, 1800017) if n % p]

@@ -12,10 +12,12 @@ Each has two physical forms.
 per series and day, so a series is bounded by the calendar (36,525 rows per century), whatever
 the data volume. This costs a single exchange on the series keys.
 
-*blocked* - chosen for every other order column (timestamps, ids), where one series may hold a
-third of all rows. The series is cut into blocks; a block, not a series, is the unit of work.
-Bounded frames get a halo: rows near a block edge are copied to the neighbour that needs them.
-Unbounded frames get a carry: block summaries (one row per block) are scanned, then joined back.
+*blocked* - chosen for every other order column (timestamps, ids, text), where one series may hold a
+third of all rows. Rows are laid out by ranges of (keys, order) of about even size and written, so a range, not a
+series, is the unit of work, whatever the type and the unit of the order column.
+Row numbers come from the place in the range and the counts of earlier ranges.
+Bounded frames get a halo: rows near the edge of a block of rows are copied to the neighbour that needs them.
+Unbounded frames get a carry: summaries (one row per series and range) are scanned, then joined back.
 """
 
 from __future__ import annotations
@@ -32,10 +34,9 @@ from pyspark.sql import types as T
 from ..functions.nullsafe import col
 from ..sources.sinks import cut
 
+# Least rows of a block with a halo, and rows of a range of values.
 BLOCK_ROWS = 4096
-# Rows of a value range, and how many there may be; the ranges grow beyond that.
 PIECE_ROWS = 500_000
-MAX_PIECES = 1024
 
 
 @dataclass(frozen=True)
@@ -60,13 +61,16 @@ def is_calendar(df: DataFrame, order: str) -> bool:
     return isinstance(df.schema[order].dataType, T.DateType)
 
 
-def _bucket(df: DataFrame, order: str, width: int) -> Column:
-    kind = df.schema[order].dataType
-    if isinstance(kind, T.DateType):
-        return F.floor(F.unix_date(order) / width)
-    if isinstance(kind, T.TimestampType):
-        return F.floor(F.unix_seconds(order) / width)
-    return F.floor(F.col(order) / width)
+def laid_out(df: DataFrame, keys: list[str], order: str, parts: int | None = None) -> DataFrame:
+    """The rows by ranges of (keys, order), with __t, the range, and __at, which ascends along the order.
+
+    `parts` ranges of about even size, by default the session's number of shuffle partitions; a hot series lies in many. Bounds
+    come from a sample, so the layout is written before it is used.
+    """
+    by = [*keys, order]
+    ranges = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    laid = ranges.sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    return cut(laid, "laid_out").withColumn("__t", F.shiftright("__at", 33))
 
 
 def positions(
@@ -76,13 +80,12 @@ def positions(
     rn: str = "rn",
     n: str | None = None,
     blocked: bool | None = None,
-    width: int = BLOCK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the 1-based row number of each row in its series and, if named, the series length.
 
-    Blocked form: rows are bucketed on the order column, buckets are counted (map-side combined),
-    the counts are prefix-summed, and rows are numbered inside their own bucket. `width` is the
-    bucket size in units of the order column.
+    Blocked form: rows are laid out by range, counts of ranges (map-side combined) are prefix-summed, and a row's number
+    follows from its place in the range; rows are not moved again.
     """
     if blocked is None:
         blocked = not is_calendar(df, order)
@@ -91,27 +94,22 @@ def positions(
         if n:
             cols[n] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
         return df.withColumns(cols)
-    cut_up = df.withColumn("__t", _bucket(df, order, width))
-    counts = cut_up.groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias("__c"))
+    laid = laid_out(df, keys, order, parts)
+    counts = laid.groupBy(*keys, "__t").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__c"))
     series = Window.partitionBy(*keys)
     offsets = counts.select(
         *keys,
         "__t",
-        (F.sum("__c").over(series.orderBy("__t")) - F.col("__c")).alias("__off"),
+        (F.sum("__c").over(series.orderBy("__t")) - F.col("__c") - F.col("__first") + 1).alias("__off"),
         F.sum("__c").over(series).alias(n or "__n"),
     )
-    inside = Window.partitionBy(*keys, "__t").orderBy(order)
-    out = cut_up.join(offsets, [*keys, "__t"]).withColumn(
-        rn, F.col("__off") + F.row_number().over(inside)
-    )
-    return out.drop("__t", "__off") if n else out.drop("__t", "__off", "__n")
+    out = laid.join(offsets, [*keys, "__t"]).withColumn(rn, F.col("__off") + F.col("__at")).drop("__t", "__at", "__off")
+    return out if n else out.drop("__n")
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, n: str | None = None, **kw) -> DataFrame:
-    """`positions` as `__pos` for a following `running`; the blocked form is written out, since
-    that scan reads its input twice."""
-    out = positions(df, keys, order, "__pos", n, **kw)
-    return out if is_calendar(df, order) else cut(out, "numbered")
+    """`positions` as `__pos` for a following `running`."""
+    return positions(df, keys, order, "__pos", n, **kw)
 
 
 def over_rows(
@@ -122,7 +120,7 @@ def over_rows(
     before: int,
     after: int = 0,
     blocked: bool | None = None,
-    width: int = BLOCK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most `before` rows back and `after` rows ahead.
 
@@ -133,11 +131,11 @@ def over_rows(
         blocked = not is_calendar(df, order)
     keep = [c for c in df.columns]
     if blocked:
-        out, parts = _halo(df, keys, order, before, after, width), (*keys, "__blk")
-        ctx = Ctx(Window.partitionBy(*parts).orderBy("__rn"), parts)
+        out, unit = _halo(df, keys, order, before, after, parts), (*keys, "__blk")
+        ctx = Ctx(Window.partitionBy(*unit).orderBy("__rn"), unit)
     else:
-        out, parts = df, tuple(keys)
-        ctx = Ctx(Window.partitionBy(*parts).orderBy(order), parts)
+        out, unit = df, tuple(keys)
+        ctx = Ctx(Window.partitionBy(*unit).orderBy(order), unit)
         out = out.withColumn("__rn", F.row_number().over(ctx.w).cast("long"))
     for layer in layers:
         added = layer(ctx)
@@ -149,11 +147,11 @@ def over_rows(
 
 
 def _halo(
-    df: DataFrame, keys: list[str], order: str, before: int, after: int, width: int
+    df: DataFrame, keys: list[str], order: str, before: int, after: int, parts: int | None
 ) -> DataFrame:
     """Assign rows to row blocks and copy edge rows to the neighbours that look at them."""
     size = max(BLOCK_ROWS, 4 * (before + after))
-    p = positions(df, keys, order, "__rn", "__n", blocked=True, width=width)
+    p = positions(df, keys, order, "__rn", "__n", blocked=True, parts=parts)
     r = F.col("__rn") - 1
     first = F.greatest(F.floor((r - after) / size), F.lit(0))
     last = F.least(F.floor((r + before) / size), F.floor((F.col("__n") - 1) / size))
@@ -201,17 +199,15 @@ def running(
     order: str,
     specs: dict[str, Run],
     blocked: bool | None = None,
-    width: int = BLOCK_ROWS,
-    bucket: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add running columns over everything up to the row (`first`: from the row on).
 
-    Blocked form is a two-level scan: one summary row per block, a scan over summaries, and a
-    join on (keys, block) that adds the carried-in value to the scan inside each block. `bucket`
-    replaces the default block id; it must not decrease along the order.
+    Blocked form is a two-level scan: one summary row per series and range, a scan over summaries, and a
+    join that adds the carried-in value to the scan inside each range.
     """
     if blocked is None:
-        blocked = bucket is not None or not is_calendar(df, order)
+        blocked = not is_calendar(df, order)
 
     @cache
     def frame(by: tuple[str, ...], at: str, kind: str, exclude: int = 0) -> WindowSpec:
@@ -224,16 +220,11 @@ def running(
             {o: _fold(s.kind, s.expr).over(frame((*keys,), order, s.kind)) for o, s in specs.items()}
         )
 
-    cut_up = df.withColumns(
-        {
-            "__t": _bucket(df, order, width) if bucket is None else bucket,
-            **{f"__x_{o}": s.expr for o, s in specs.items()},
-        }
-    )
+    cut_up = laid_out(df, keys, order, parts).withColumns({f"__x_{o}": s.expr for o, s in specs.items()})
 
     def summary(o: str, kind: str) -> Column:
         x = F.col(f"__x_{o}")
-        at = F.when(x.isNotNull(), F.col(order))
+        at = F.when(x.isNotNull(), F.col("__at"))
         if kind == "last":
             return F.max_by(x, at)
         if kind == "first":
@@ -251,7 +242,7 @@ def running(
     )
     inside = (*keys, "__t")
     joined = cut_up.join(carried, [*keys, "__t"]).withColumns(
-        {f"__l_{o}": _fold(s.kind, F.col(f"__x_{o}")).over(frame(inside, order, s.kind)) for o, s in specs.items()}
+        {f"__l_{o}": _fold(s.kind, F.col(f"__x_{o}")).over(frame(inside, "__at", s.kind)) for o, s in specs.items()}
     )
     merged = joined.withColumns(
         {o: _merge(s.kind, F.col(f"__c_{o}"), F.col(f"__l_{o}")) for o, s in specs.items()}
@@ -266,21 +257,13 @@ def running_by_value(
     """`running` along a numeric column.
 
     bounded: the caller knows that a key holds at most one row per day, so a key fits one task.
-    Otherwise a key is cut at approximate quantiles of its values into pieces of about
-    `piece_rows` rows, so neither outliers nor a hot key gather rows in one task. The splits and the input
-    are written out first: they are read more than once and have to stay the same.
+    Otherwise rows are laid out by ranges of (key, value) of about `piece_rows` rows, so neither outliers nor a hot key gather rows in
+    one task, and a key has ranges in proportion to its rows. The input is written out first, to be counted and laid out.
     """
     if bounded:
         return running(df, keys, value, specs, blocked=False)
-    if not keys:
-        return running_by_value(df.withColumn("__all", F.lit(0)), ["__all"], value, specs, piece_rows=piece_rows).drop("__all")
     df = cut(df, "by_value")
-    pieces = min(MAX_PIECES, df.count() // piece_rows + 1)
-    at = [i / pieces for i in range(1, pieces)] or [0.5]
-    splits = df.groupBy(*keys).agg(F.percentile_approx(value, at, 10_000).alias("__splits"))
-    splits = cut(splits.withColumn("__splits", F.array_distinct("__splits")), "splits")
-    piece = F.size(F.filter("__splits", lambda s: s < F.col(value))).cast("long")
-    return running(df.join(splits, keys), keys, value, specs, bucket=F.coalesce(piece, F.lit(0))).drop("__splits")
+    return running(df, keys, value, specs, blocked=True, parts=df.count() // piece_rows + 1)
 
 
 def ewm_reach(span: int) -> int:

@@ -75,7 +75,7 @@ def integrate(
             cols["precip_bio_lag"] = R.shift(c, "weekend_precip_sum", back)
         if lag_actions:
             known = {v: a for v, a in lag_actions.items() if v in df.columns}
-            cols |= shift_layer(known, step)(c)
+            cols |= {name: x for name, x in shift_layer(known, step)(c).items() if name not in df.columns}
         cols["hl_range_pct"] = ratio(F.col("high") - F.col("low"), "close")
         if vol:
             cols["volume_ratio"] = ratio("volume", R.mean(c, "volume", 20) + TINY)
@@ -107,7 +107,8 @@ def integrate(
     last = lambda c: {"rv_ratio": ratio("rv_5d", F.col("rv_20d") + TINY)}
     after_base = side_by_side([second, third, last], ewm_layers("ema_adj", adj, n), R.rsi_layers("rsi_adj", adj, n))
     layers = [base, *after_base]
-    reach = max(ewm_reach(30), BIO_LAG_WEEKS[crop] * step) + 64
+    longest = max((weeks for lags in (lag_actions or {}).values() for weeks in lags), default=0)
+    reach = max(ewm_reach(30), BIO_LAG_WEEKS[crop] * step, longest * step) + 64
     if bio:
         trends = side_by_side(
             ewm_layers("temp_wavelet_trend", "weekend_temp_max", 30, adjust=False),

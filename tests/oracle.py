@@ -10,6 +10,7 @@ import decimal
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -82,6 +83,7 @@ def session():
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="harrow-"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )

@@ -29,7 +29,7 @@ def series():
 @pytest.fixture(params=["plain", "blocked"])
 def form(request, monkeypatch):
     monkeypatch.setattr(ordered, "BLOCK_ROWS", 16)
-    return {"blocked": request.param == "blocked", "width": 37}
+    return {"blocked": request.param == "blocked", "parts": 13}
 
 
 @pytest.fixture(scope="module")
@@ -83,30 +83,26 @@ def test_ewm_over_long_gap(spark, form, monkeypatch):
     v[3000:8950] = np.nan
     pdf = pd.DataFrame({"k": "a", "seq": np.arange(len(v)), "v": v})
     df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    out = over_rows(df, ["k"], "seq", ewm_layers("e", "v", 9), ewm_reach(9), **(form | {"width": 4096}))
+    out = over_rows(df, ["k"], "seq", ewm_layers("e", "v", 9), ewm_reach(9), **form)
     got = hold(out, ["k"], "seq", ["e"]).orderBy("seq").toPandas()["e"].to_numpy()
     np.testing.assert_allclose(got, pdf.v.ewm(span=9).mean().to_numpy(), rtol=1e-9)
 
 
-def test_value_ranges_follow_the_rows(spark):
+def test_value_ranges_follow_the_rows(spark, monkeypatch):
     """An outlier and a hot key do not gather rows in one range."""
     n = 20_000
     df = spark.range(n).select(F.when(F.col("id") % 10 < 7, "hot").otherwise("b").alias("k"), (F.rand(3) * 100).alias("v"), F.lit(1).alias("one"))
     df = df.unionByName(df.limit(1).withColumn("v", F.lit(1e9)))
-    seen = {}
-    keep = ordered.running
-
-    def watch(rows, keys, order, specs, blocked=None, width=4096, bucket=None):
-        if bucket is not None:
-            seen["most"] = rows.withColumn("__b", bucket).groupBy(*keys, "__b").count().agg(F.max("count")).first()[0]
-        return keep(rows, keys, order, specs, bucket=bucket)
-
-    ordered.running = watch
-    try:
-        out = running_by_value(df, ["k"], "v", {"total": Run("sum", F.col("one"))}, piece_rows=500).toPandas()
-    finally:
-        ordered.running = keep
-    assert seen["most"] < n / 20
+    keep, seen = ordered.laid_out, []
+
+    def watch(*args):
+        out = keep(*args)
+        seen.extend(r["count"] for r in out.groupBy("k", "__t").count().collect())
+        return out
+
+    monkeypatch.setattr(ordered, "laid_out", watch)
+    out = running_by_value(df, ["k"], "v", {"total": Run("sum", F.col("one"))}, piece_rows=500).toPandas()
+    assert max(seen) < 3 * 500
     for _, g in out.sort_values("v").groupby("k"):
         assert g.total.tolist() == list(range(1, len(g) + 1))
 
@@ -158,3 +154,24 @@ def test_blocked_plan_never_partitions_rows_by_series_alone(frame):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and all("__t" in w or "__blk" in w or "__c" in w for w in windows)
+
+
+@pytest.mark.parametrize("kind", ["microseconds", "timestamp", "timestamp_ntz", "text", "sparse"])
+def test_any_order_column(spark, kind):
+    """One key with nearly all rows, whatever the type and the unit of the order: even ranges, the same results."""
+    n = 6000
+    i = F.col("id")
+    order = {
+        "microseconds": 1_700_000_000_000_000 + i * 997, "timestamp": F.timestamp_micros(1_700_000_000_000_000 + i * 13), "text": F.lpad(i.cast("string"), 12, "0"),
+        "timestamp_ntz": F.timestamp_micros(1_700_000_000_000_000 + i * 13).cast("timestamp_ntz"), "sparse": i * i * 1_000_003}[kind]
+    df = spark.range(n).select(F.when(i % 50 == 0, "b").otherwise("hot").alias("k"), order.alias("o"), i, F.when(i % 7 > 0, i).alias("v"))
+    sizes = [r["count"] for r in ordered.laid_out(df, ["k"], "o", 12).groupBy("__t").count().collect()]
+    assert max(sizes) <= 3 * np.median(sizes) and len(sizes) >= 10
+    out = positions(df, ["k"], "o", "rn", "n", blocked=True, parts=12)
+    out = running(out, ["k"], "o", {"ff": Run("last", F.col("v")), "cum": Run("sum", F.lit(1)), "peak": Run("max", F.col("v"))}, blocked=True, parts=9)
+    out = over_rows(out, ["k"], "o", [lambda c: {"lag": R.shift(c, "id", 2)}], 2, blocked=True, parts=7)
+    for _, g in out.toPandas().sort_values("id").groupby("k"):
+        assert g.rn.tolist() == g.cum.tolist() == list(range(1, len(g) + 1)) and set(g.n) == {len(g)}
+        np.testing.assert_array_equal(g.ff, g.v.ffill())
+        np.testing.assert_array_equal(g.peak, g.v.cummax().ffill())
+        np.testing.assert_array_equal(g.lag, g.id.shift(2))
