@@ -7,14 +7,17 @@ the range of scores.
 from pyspark.sql import functions as F
 
 from ..functions.nullsafe import rounded
+from ..operators import backtest as B
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import models as X
+from ..operators import packing as P
 from ..operators import splits as S
 from ..operators.features import feature_columns
 from ..plans import reports
+from ..sources import files
 from ..sources import tables as t
-from ..sources.sinks import cut
+from ..sources.sinks import cut, scratch, unpivoted_scores, write_predictions
 from . import query, view
 from .resampling import report_wide
 from .views import sround
@@ -241,3 +244,57 @@ def ablation_calendar(spark, sf):
     f1 = f1.select("experiment", "n_samples", "n_positive", F.col("f1").alias("test_f1"))
     fine = F.col("auc_roc").between(0, 1) & F.col("pr_auc").between(0, 1) & F.col("test_f1").between(0, 1)
     return rank.join(f1, "experiment").select("experiment", F.col("n_samples").alias("n_test"), "n_positive", fine.alias("valid"))
+
+
+view("packed_rows", """
+ select symbol, d, split, (volume_ratio-lo)/(case when hi=lo then 1 else hi-lo end) v, target_binary y, pd/(pd+pf+pu) down, pu/(pd+pf+pu) up, row_number() over (partition by symbol, split order by d) q
+ from fit_rows join (select symbol, d, volume_ratio, pd, pf, pu from i_final) using (symbol, d)
+  join (select symbol, min(volume_ratio) lo, max(volume_ratio) hi from fit_rows join i_final using (symbol, d) where split='train' group by 1) using (symbol) where split is not null""")
+PACKED = """
+ select symbol, split, d, {w} win, {w}::bigint rows, round(sum(v) over w,4)+0e0 v_sum, round(first_value(v) over w,5)+0e0 v_first, round(v,5)+0e0 v_last, y, round(down,5)+0e0 down, round(up,5)+0e0 up
+ from packed_rows window w as (partition by symbol, split order by d rows between {b} preceding and current row) qualify q>={w}"""
+
+
+@query("pack_table", " union all ".join(PACKED.format(w=w, b=w - 1) for w in (14, 30, 45)))
+def pack_table_query(spark, sf):
+    """Windows of all daily widths over every input of the integrated table, with both targets; a column's place comes from the schema."""
+    df, _ = model_table(spark, sf)
+    df = df.filter(F.col("split").isNotNull())
+    ignore = ["rn", "n"]
+    dynamic, _ = P.tensor_columns(df.drop(*ignore), KEYS)
+    at = dynamic.index("volume_ratio")
+    total = F.aggregate("dynamic", F.lit(0.0), lambda s, v: s + v[at])
+    five = lambda c, name: rounded(c, 5).alias(name)
+    return P.pack_table(df, KEYS, "d", P.WIDTHS[False], ignore=ignore).select(
+        "symbol", "split", "d", "win", F.size("dynamic").cast("long").alias("rows"), rounded(total, 4).alias("v_sum"), five(F.get("dynamic", F.lit(0))[at], "v_first"),
+        five(F.element_at("dynamic", -1)[at], "v_last"), "y", five(F.get("y_classes", F.lit(0)), "down"), five(F.get("y_classes", F.lit(2)), "up"))
+
+
+view("stored_trades", """
+ select *, row_number() over (partition by symbol order by d) q, count(*) over (partition by symbol) m from fit_rows where split='test'""")
+
+
+@query("job_fit_backtest", f"""
+ select case when symbol%2=1 then 'corn' else 'coffee' end || '_daily' tag, model, symbol, count(*) n_test, {sround('case when count(*)>=2 then (avg(r)-0.04e0/52)/nullif(stddev_pop(r),0)*sqrt(52e0) end', 4)} bh_sharpe, true valid
+ from stored_trades cross join (select unnest(['gbt', 'rf', 'stack']) model) where m>=10 and (q-1)%7=0 group by 1,2,3""")
+def job_fit_backtest(spark, sf):
+    """Fits to backtest in one job. Boosted trees, a forest and the stack of both write their scores of validation and test rows to a
+    table partitioned by (tag, model, split); thresholds come from its validation partitions, metrics and trades from its test partitions."""
+    df, features = split_rows(spark, sf)
+    held = df.filter(F.col("split").isin("val", "test"))
+    kept = ["symbol", "d", "split", "target_binary", "return_future"]
+    boosted = X.scored(X.fit_gbt_binary(df, features, "target_binary", ident=IDENT), held, ["gbt"]).select(*kept, "gbt")
+    forest = X.probability(X.fit_forest(df, features, "target_binary"), X.assembled(held, features)).select(*IDENT, F.col("p").alias("rf"))
+    base = cut(boosted.join(forest, IDENT).withColumn("tag", F.concat(F.when(F.col("symbol") % 2 == 1, "corn").otherwise("coffee"), F.lit("_daily"))), "base_scores")
+    stacked = X.stack_logistic(base, ["tag"], ["gbt", "rf"], "target_binary").withColumnRenamed("p", "stack")
+    path = scratch(spark, "predictions")
+    write_predictions(unpivoted_scores(stacked, ["gbt", "rf", "stack"], ["tag", *kept]), path)
+    key = ["tag", "model"]
+    best = M.best_f1_threshold(files.read_predictions(spark, path, split="val"), key, "target_binary", "p").select(*key, "threshold")
+    test = files.read_predictions(spark, path, split="test").join(best, key)
+    rank = M.ranking_metrics(test, key, "target_binary", "p").select(*key, (F.coalesce(F.col("auc_roc"), F.lit(0.5)).between(0, 1) & F.col("pr_auc").between(0, 1)).alias("ranked"))
+    at = M.threshold_metrics(test, [*key, "threshold"], "target_binary", "p", F.col("threshold")).select(*key, (F.col("f1").between(0, 1) & F.col("threshold").between(0.05, 0.94)).alias("cut"))
+    trades = B.compare(test.withColumnRenamed("return_future", "r"), [*key, "symbol"], B.threshold_signal("p", F.col("threshold")))
+    fine = F.col("trade_rate").between(0, 1) & (F.col("max_drawdown") <= 0) & F.coalesce(F.col("win_rate"), F.lit(0.0)).between(0, 1) & (F.col("n_trades") <= F.col("n_test"))
+    out = trades.join(rank, key).join(at, key)
+    return out.select(*key, "symbol", "n_test", rounded("bh_sharpe", 4).alias("bh_sharpe"), (fine & F.col("ranked") & F.col("cut")).alias("valid"))

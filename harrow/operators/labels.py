@@ -9,16 +9,22 @@ from ..functions.nullsafe import col, ratio
 from ..functions.scalars import argmax, clamp, logistic
 from .ordered import Ctx, Layer
 
+# Width of soft labels, cap of returns as a target, thresholds and horizons of a move, names of labels.
 TAU = 0.02
 CAP = 0.30
+THRESHOLDS = {("corn", True): 0.015}
+THRESHOLD = 0.025
+HORIZON = {False: 7, True: 1}
+SOFT_CLASSES = ["target_mc_down", "target_mc_flat", "target_mc_up"]
+LABEL_COLUMNS = ["target", "target_binary", "target_soft", "target_reg", *SOFT_CLASSES, "target_multiclass", "return_future"]
 
 
 def threshold(crop: str, weekly: bool) -> float:
-    return 0.015 if crop == "corn" and weekly else 0.025
+    return THRESHOLDS.get((crop, weekly), THRESHOLD)
 
 
 def horizon(weekly: bool) -> int:
-    return 1 if weekly else 7
+    return HORIZON[weekly]
 
 
 def forward_return(c: str, rows: int, out: str = "return_future") -> Layer:
@@ -64,9 +70,3 @@ def all_labels(r: str, theta) -> dict[str, Column]:
         "target_mc_up": F.when(known, up / total),
         "target_multiclass": F.when(known, argmax([down, flat, up]).cast("double")),
     }
-
-
-LABEL_COLUMNS = [
-    "target", "target_binary", "target_soft", "target_reg",
-    "target_mc_down", "target_mc_flat", "target_mc_up", "target_multiclass", "return_future",
-]

@@ -71,3 +71,16 @@ def write_documents(df: DataFrame, path: str, digits: int = 4) -> None:
     """One JSON document per row, doubles rounded."""
     cols = [F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
     df.select(*cols).write.json(path)
+
+
+def unpivoted_scores(df: DataFrame, models: list[str], keep: list[str]) -> DataFrame:
+    """One row per row and model: the columns `keep`, model and p."""
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("p")) for m in models])
+    return df.select(*keep, F.explode(each).alias("m")).select(*keep, "m.*")
+
+
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Add scores of models to a store partitioned by (tag, model, split). Rows are dealt out by partition and by a hash, so
+    that a large tag has several files and a small one few."""
+    spread = df.repartition("tag", "model", "split", F.pmod(F.xxhash64("d"), F.lit(8)))
+    spread.write.mode("append").partitionBy("tag", "model", "split").parquet(path)
