@@ -77,62 +77,62 @@ def code_of(c: str | Column, codes: dict[str, int] | list[str], default: int | N
     return out
 
 
+# Limits and labels, first match wins; the last entry has no limit.
+PROGRESS_GAP = [("ge", 5, "ahead_bullish"), ("le", -15, "very_delayed_very_bearish"), ("le", -5, "delayed_bearish")]
+PROGRESS_POOR = [("ge", 30, "condition_deteriorating"), ("le", 10, "condition_improving"), (None, None, "on_track")]
+PRODUCTION_CHANGE = [("ge", 10, "bumper_crop_bullish"), ("ge", 3, "above_average"), ("le", -10, "crop_stress_bearish"), ("le", -3, "below_average"), (None, None, "on_track")]
+COST_SHARPE = [("ge", 1.5, "Robust"), ("ge", 0.8, "Acceptable"), ("ge", 0.0, "Degraded"), (None, None, "Negative")]
+COST_NONE = "Baseline"
+# Thirds of the years that have to be good.
+GATE_THIRDS = [("ge", 2, "VIABLE"), ("ge", 1, "MARGINAL"), (None, None, "WEAK")]
+# Sources by the start of a feature's name, and names that stand for themselves.
+GROUP_PREFIXES = [
+    ("macro", ["usd_", "vix_", "inf_"]), ("farming", ["cal_"]),
+    ("weather", ["temperature_", "precipitation_", "et0_", "vpd_", "weekend_", "precip_", "temp_"])]
+GROUP_NAMES = {"is_harvest": "farming", "is_planting": "farming"}
+GROUP_OTHER = "market"
+
+
+def tiers(x: Column, table: list[tuple], otherwise: Column | None = None, scale: Column | int = 1) -> Column:
+    """The label of the first limit that x reaches (ge) or does not exceed (le); unknown values reach none."""
+    out = otherwise if otherwise is not None else F.lit(None).cast("string")
+    for side, limit, label in reversed(table):
+        if side is None:
+            out = F.lit(label)
+            continue
+        edge = F.lit(limit) * scale
+        out = F.when(is_true(x >= edge if side == "ge" else x <= edge), label).otherwise(out)
+    return out
+
+
 def progress_signal(planting_gap: Column, poor_share: Column) -> Column:
     """Planting gap decides first, then the poor-condition share, else on track."""
-    return (
-        F.when(planting_gap >= 5, "ahead_bullish")
-        .when(planting_gap <= -15, "very_delayed_very_bearish")
-        .when(planting_gap <= -5, "delayed_bearish")
-        .when(poor_share >= 30, "condition_deteriorating")
-        .when(poor_share <= 10, "condition_improving")
-        .otherwise("on_track")
-    )
+    return tiers(planting_gap, PROGRESS_GAP, tiers(poor_share, PROGRESS_POOR))
 
 
 def production_signal(change_pct: Column) -> Column:
-    return (
-        F.when(change_pct >= 10, "bumper_crop_bullish")
-        .when(change_pct >= 3, "above_average")
-        .when(change_pct <= -10, "crop_stress_bearish")
-        .when(change_pct <= -3, "below_average")
-        .otherwise("on_track")
-    )
+    return tiers(change_pct, PRODUCTION_CHANGE)
 
 
 def cost_verdict(cost: Column, sharpe: Column) -> Column:
     """Label a Sharpe ratio after costs; an undefined one falls through to the last label."""
-    return (
-        F.when(cost == 0, "Baseline")
-        .when(is_true(sharpe >= 1.5), "Robust")
-        .when(is_true(sharpe >= 0.8), "Acceptable")
-        .when(is_true(sharpe >= 0.0), "Degraded")
-        .otherwise("Negative")
-    )
+    return F.when(cost == 0, COST_NONE).otherwise(tiers(sharpe, COST_SHARPE))
 
 
 def gate_verdict(good: Column, total: Column) -> Column:
     """Share of good years against thirds, compared in integers."""
-    return (
-        F.when(good * 3 >= total * 2, "VIABLE").when(good * 3 >= total, "MARGINAL").otherwise("WEAK")
-    )
+    return tiers(good * 3, GATE_THIRDS, scale=total)
 
 
 def feature_group(name: str | Column) -> Column:
     """Which source a feature comes from, by its name."""
     n = F.lower(col(name))
-
-    def starts(*prefixes: str) -> Column:
-        out = F.lit(False)
+    out = F.lit(GROUP_OTHER)
+    for group, prefixes in reversed(GROUP_PREFIXES):
+        hit = F.lit(False)
         for p in prefixes:
-            out = out | n.startswith(p)
-        return out
-
-    return (
-        F.when(starts("usd_", "vix_", "inf_"), "macro")
-        .when(starts("cal_") | n.isin("is_harvest", "is_planting"), "farming")
-        .when(
-            starts("temperature_", "precipitation_", "et0_", "vpd_", "weekend_", "precip_", "temp_"),
-            "weather",
-        )
-        .otherwise("market")
-    )
+            hit = hit | n.startswith(p)
+        out = F.when(hit, group).otherwise(out)
+    for own, group in GROUP_NAMES.items():
+        out = F.when(n == own, group).otherwise(out)
+    return out

@@ -120,6 +120,11 @@ def importances(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(g)) for f, g in zip(features, gains)], "feature string, gain double")
 
 
+def held_back(n: Column) -> Column:
+    """How many of the last of n training rows stop the boosting: 15 %, at least 30."""
+    return F.greatest(F.lit(30), F.floor(n * F.lit(0.15)))
+
+
 def walkforward_gbt(blocks: DataFrame, keys: list[str], d: str, features: list[str], label: str, rounds: int | None = None) -> DataFrame:
     """Predictions of the test rows of each walk-forward block by a model of the block's rows.
 
@@ -127,8 +132,7 @@ def walkforward_gbt(blocks: DataFrame, keys: list[str], d: str, features: list[s
     least 30 rows, stop the boosting early. All blocks are fitted at once.
     """
     train = positions(blocks.filter(F.col("role") == "train"), [*keys, "block"], d, "__i", "__m")
-    held = F.greatest(F.lit(30), F.floor(F.col("__m") * F.lit(0.15)))
-    train = train.withColumn("is_val", F.col("__i") > F.col("__m") - held)
+    train = train.withColumn("is_val", F.col("__i") > F.col("__m") - held_back(F.col("__m")))
     fits = (blocks.agg(F.max("block")).first()[0] or 0) + 1
     model = fit_boosted(train, features, "logistic", growth("binary", False, rounds), fits=fits, fit="block", label=label, ident=[*keys, d], cap=CAP)
     return scored(model, blocks.filter(F.col("role") == "test"), ["p"], "block").select(*keys, d, "block", F.col(label).alias("y_true"), "p")
@@ -140,18 +144,18 @@ def shuffled_labels(df: DataFrame, ident: list[str], label: str, runs: int, seed
     Rows are numbered along a hash; run r gives number i the label of number (a i + b) mod n, a prime a that does not
     divide n. Only numbers and labels are joined, whatever the width of the rows, and no task sees the whole column.
     """
-    numbered = positions(df.withColumn("__h", F.xxhash64(F.lit(seed), *ident)), [], "__h", "__at", "__n", blocked=True)
+    numbered = positions(df.withColumn("__h", F.xxhash64(F.lit(seed), *ident)), [], "__h", "__no", "__n", blocked=True)
     numbered = cut(numbered.drop("__h"), "numbered")
     n = numbered.agg(F.max("__n")).first()[0] or 1
     steps = [p for p in (700001, 800011, 900001, 1000003, 1100009, 1200007, 1300021, 1400017, 1500007, 1600033, 1700021, 1800017) if n % p]
     if runs > len(steps):
         raise ValueError(f"at most {len(steps)} shuffles")
-    moves = F.array(*[F.struct(F.lit(r).alias("run"), (((F.col("__at") - 1) * a + F.lit(7919 * (seed + r))) % n + 1).alias("__from")) for r, a in enumerate(steps[:runs])])
-    drawn = numbered.select("__at", F.explode(moves).alias("m")).select("__at", "m.*")
-    drawn = drawn.join(numbered.select(F.col("__at").alias("__from"), F.col(label).alias("__y")), "__from")
-    drawn = drawn.groupBy("__at").agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "__y"))), lambda m: m["__y"]).alias("__drawn"))
-    out = numbered.join(drawn, "__at", "left") if runs else numbered.withColumn("__drawn", F.array().cast("array<double>"))
-    return out.withColumn("labels", F.concat(F.array(F.col(label).cast("double")), F.col("__drawn").cast("array<double>"))).drop("__at", "__n", "__drawn")
+    moves = F.array(*[F.struct(F.lit(r).alias("run"), (((F.col("__no") - 1) * a + F.lit(7919 * (seed + r))) % n + 1).alias("__from")) for r, a in enumerate(steps[:runs])])
+    drawn = numbered.select("__no", F.explode(moves).alias("m")).select("__no", "m.*")
+    drawn = drawn.join(numbered.select(F.col("__no").alias("__from"), F.col(label).alias("__y")), "__from")
+    drawn = drawn.groupBy("__no").agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "__y"))), lambda m: m["__y"]).alias("__drawn"))
+    out = numbered.join(drawn, "__no", "left") if runs else numbered.withColumn("__drawn", F.array().cast("array<double>"))
+    return out.withColumn("labels", F.concat(F.array(F.col(label).cast("double")), F.col("__drawn").cast("array<double>"))).drop("__no", "__n", "__drawn")
 
 
 def null_importance(df: DataFrame, features: list[str], label: str, ident: list[str], folds: int = 3, null_runs: int = 5, rounds: int = 50, keep: float = 0.05, regression: bool = False) -> DataFrame:
@@ -243,13 +247,14 @@ def hurdle_stage_one(df: DataFrame, features: list[str], r: str, theta: float, f
     """Rows with p_up and p_down, the probabilities of a move above theta and below -theta, by models that have not seen them.
 
     `df` has split, and rn and n over the training rows of a series. Training rows are scored out of fold: expanding folds, each by models of the
-    rows before it (the rows before the first fold are left out); validation and test rows by models of all training rows. Models of
-    the last kind stop early on validation rows; all legs and folds are fitted at once.
+    rows before it (the rows before the first fold are left out), of which the last stop the boosting; validation and test rows by models of
+    all training rows, which stop on validation rows. All legs and folds are fitted at once.
     """
     up, down = (F.col(r) > theta).cast("double"), (F.col(r) < -theta).cast("double")
     legs = F.array(F.struct(F.lit(0).alias("leg"), up.alias("__y")), F.struct(F.lit(1).alias("leg"), down.alias("__y")))
     folded = expanding_folds(df.filter(F.col("split") == "train"), folds)
-    fit_rows = folded.filter(F.col("role") == "train").withColumn("is_val", F.lit(False)).drop("role")
+    own = F.col("n") - (folds - F.col("fold")) * F.floor(F.col("n") / (folds + 1))
+    fit_rows = folded.filter(F.col("role") == "train").withColumn("is_val", F.col("rn") > own - held_back(own)).drop("role")
     fit_rows = fit_rows.unionByName(_fit_rows(df).withColumn("fold", F.lit(folds)))
     fit_rows = fit_rows.select("*", F.explode(legs).alias("l")).select("*", "l.*").withColumn("fit", F.col("leg") * (folds + 1) + F.col("fold"))
     model = fit_boosted(fit_rows.drop("l"), features, "logistic", growth("binary", weekly, rounds), fits=2 * (folds + 1), fit="fit", label="__y", ident=ident, cap=CAP)
