@@ -20,8 +20,9 @@ GRAM = 24
 SHARD = 16_384
 #: Bits of a sieve, which is broadcast; a full one lets everything through and costs nothing but time.
 SIEVE_BITS = 1 << 27
-#: Bytes of documents taken together.
+#: Bytes of documents taken together, and contexts that are handed on at once.
 CHUNK = 1 << 20
+AT_ONCE = 8192
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SALTS = tuple(np.uint64(j * 0x9E3779B97F4A7C15 % 2**64) for j in (1, 2, 3))
 BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
@@ -158,6 +159,14 @@ def _places(docs: DataFrame, size: int, bits) -> DataFrame:
 def _contexts(docs: DataFrame, size: int, bits, hot: dict[int, int], shards: int) -> DataFrame:
     """Bytes around the anchors to compare: (shard, doc_id, at, lo, hi, bytes). Anchors with very many contexts are
     cut into slices of window places, as windows only match at the same place."""
+    names = ("shard", "row", "at", "lo", "hi", "bytes")
+
+    def told(batch: pa.RecordBatch, out: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out["shard"], pa.int64()), batch["doc_id"].take(pa.array(out["row"], pa.int64())), pa.array(out["at"], pa.int64()),
+             pa.array(out["lo"], pa.int16()), pa.array(out["hi"], pa.int16()), pa.array(out["bytes"], pa.binary())],
+            names=["shard", "doc_id", "at", "lo", "hi", "bytes"])
+
     hot_keys = np.array(sorted(hot), np.int64)
     hot_slices = np.array([hot[k] for k in sorted(hot)], np.int64)
 
@@ -168,7 +177,7 @@ def _contexts(docs: DataFrame, size: int, bits, hot: dict[int, int], shards: int
                 doc, at, first, last, h = anchors(np.frombuffer(raw, np.uint8), ends, size)
                 mark = tie[rows[doc]] << 32 | (at - starts[doc])
                 kept = Sieve.passes(bits.value, place_key(dh[rows[doc]], mark))
-                out: dict[str, list] = {k: [] for k in ("shard", "row", "at", "lo", "hi", "bytes")}
+                out: dict[str, list] = {k: [] for k in names}
                 keys = h.view(np.int64)
                 near = np.searchsorted(hot_keys, keys) if len(hot_keys) else np.zeros(len(keys), np.int64)
                 slices = np.ones(len(keys), np.int64)
@@ -187,10 +196,10 @@ def _contexts(docs: DataFrame, size: int, bits, hot: dict[int, int], shards: int
                         out["lo"].append(a)
                         out["hi"].append(b)
                         out["bytes"].append(raw[int(at[i]) - b:int(at[i]) - a + size])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["shard"], pa.int64()), batch["doc_id"].take(pa.array(out["row"], pa.int64())), pa.array(out["at"], pa.int64()),
-                     pa.array(out["lo"], pa.int16()), pa.array(out["hi"], pa.int16()), pa.array(out["bytes"], pa.binary())],
-                    names=["shard", "doc_id", "at", "lo", "hi", "bytes"])
+                    if len(out["row"]) >= AT_ONCE:  # what a task holds does not follow the contexts of a chunk
+                        yield told(batch, out)
+                        out = {k: [] for k in names}
+                yield told(batch, out)
 
     schema = T.StructType([T.StructField("shard", T.LongType()), docs.schema["doc_id"], T.StructField("at", T.LongType()),
                            T.StructField("lo", T.ShortType()), T.StructField("hi", T.ShortType()), T.StructField("bytes", T.BinaryType())])
