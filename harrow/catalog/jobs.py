@@ -348,8 +348,11 @@ view("i_final", """
  from i_third join i_ewm using (symbol, d) where r is not null and (temp_bio_lag is not null or bio_rows=0) and rv_20d is not null and hl20 is not null and u20 is not null and price_vol_corr is not null and volume_ratio is not null
   and loss>0 and gain is not null and inflation_pressure is not null and vix_regime is not null and cal_sin_week is not null and close_lag_2 is not null and bb_upper_adj is not null and weekend_et0 is not null""")
 I_OUT = ["temp_max", "dry_spell", "weekend_temp_max", "inf_mom_pct", "cal_sin_week", "vix_regime", "currency_adjusted_close", "inflation_pressure", "temp_bio_lag", "temp_wavelet_trend",
-         "bb_upper_adj", "ema_adj", "rsi_adj", "rv_5d", "rv_ratio", "hl_expansion", "volume_ratio", "price_vol_corr", "usd_rv_ratio", "return_future", "target_mc_up"]
-I_SQL = {"currency_adjusted_close": "adj", "return_future": "r", "target_mc_up": "pu/(pd+pf+pu)"}
+         "bb_upper_adj", "ema_adj", "rsi_adj", "rv_5d", "rv_ratio", "hl_expansion", "volume_ratio", "price_vol_corr", "usd_rv_ratio", "return_future", "target_mc_up",
+         "volume", "temp_min", "vpd_max", "precip", "et0", "weekend_precip_sum", "weekend_et0", "hot_day", "cold_day", "dry_day", "usd_close",
+         "usd_log_return_lag_1w", "hl_range_pct", "hl_range_ma20", "usd_rv_5d", "usd_rv_20d", "rv_20d", "target_mc_down", "target_mc_flat", "target_soft", "target_reg"]
+I_SQL = {"currency_adjusted_close": "adj", "return_future": "r", "target_mc_up": "pu/(pd+pf+pu)", "target_mc_down": "pd/(pd+pf+pu)", "target_mc_flat": "pf/(pd+pf+pu)",
+         "target_soft": "pu", "target_reg": "greatest(-0.3e0,least(0.3e0,r))", "usd_log_return_lag_1w": "usd_lag_ret", "hl_range_pct": "hl", "hl_range_ma20": "hl20", "usd_rv_5d": "u5", "usd_rv_20d": "u20"}
 
 
 @query("job_integrate", f"""
