@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, portions
 
 #: Characters of text after which a block of documents closes, and that are looked up at once.
 BLOCK_SIZE = 1 << 23
@@ -60,16 +60,6 @@ def decoded(raw: bytes | None) -> str:
         return ""
 
 
-def portions(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about `size` characters."""
-    begin = n = 0
-    for k, text in enumerate(texts):
-        n += len(text)
-        if n >= size or k == len(texts) - 1:
-            yield begin, k + 1
-            begin, n = k + 1, 0
-
-
 def coalesce(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of A and of B tokens of every group, where both sides are tokens that follow each other from byte 0.
 

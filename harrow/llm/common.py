@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from harrow.sources.sinks import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-__all__ = ["Query", "bounded_sample", "compose", "cut", "components", "in_fraction", "pack", "read", "revive"]
+__all__ = ["Query", "bounded_sample", "compose", "cut", "components", "in_fraction", "pack", "portions", "read", "revive"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,16 @@ def components(edges: DataFrame) -> DataFrame:
         )
 
 
+def portions(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `size` characters."""
+    begin = n = 0
+    for k, text in enumerate(texts):
+        n += len(text)
+        if n >= size or k == len(texts) - 1:
+            yield begin, k + 1
+            begin, n = k + 1, 0
+
+
 def revive(kind: type, state: dict | None):
     """An object from its broadcast attributes; broadcasts carry plain data only."""
     if state is None:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -14,44 +14,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rans
-from .common import cut
+from .common import cut, portions
 
 #: Tokens after which a block closes at the next document end, and tokens of a file.
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 25
 #: Encoded pieces that a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
-#: White space that keeps a text from being cut at its blanks.
-UNEVEN = re.compile(r" \s|\A | \Z")
+#: Characters that are looked up at once, and unknown pieces that are encoded as one text.
+PORTION, TOGETHER = 1 << 20, 96
 
 
 class Encoder:
     """Whole texts to ids with the tokenizers library.
 
     Byte-level BPE splits a text before every blank that a visible character follows, whatever stands around, so
-    a text is cut there and each distinct piece is encoded once per worker. Texts with
-    other runs of blanks are encoded whole.
+    a text is cut there and each distinct piece is encoded once per worker; pieces that many texts lack are
+    encoded in one go. Texts with other runs of blanks are encoded whole. Strings of special tokens become their ids, as the
+    library does it; they are parts of pieces as well.
     """
 
     def __init__(self, spec: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.kind, self.inner, self.leading = kind, {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # a byte is one character in a byte-level vocabulary
+        added = self.tokenizer.get_added_tokens_decoder()
+        for i, token in added.items():
+            self.bytes_of[i] = len(token.content.encode())
+        self.uncut = any(" " in token.content or token.lstrip or token.rstrip for token in added.values())
 
     def whole(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found[0].ids, self.kind).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces in one go, each with its blank; token lengths tell them apart."""
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)
-        ids = np.array(found[0].ids, self.kind)
+        """Encode pieces, each with its blank, in lines of a few; token lengths tell them apart."""
+        lines = [" " + " ".join(pieces[i:i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+        ids = np.array([i for line in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in line.ids], self.kind)
         upto, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) + 1 for p in pieces])
         cut = np.searchsorted(upto, ends)
         if not (upto[cut] == ends).all():
@@ -59,23 +63,27 @@ class Encoder:
         blob, ends = ids.tobytes(), ((cut + 1) * ids.itemsize).tolist()
         self.inner.update(zip(pieces, [blob[a:b] for a, b in zip([0, *ends], ends)]))
 
-    def __call__(self, text: str) -> bytes:
-        if UNEVEN.search(text):
-            return self.whole(text)
+    def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > REMEMBERED:  # short pieces recur most
             self.inner = {k: v for k, v in self.inner.items() if len(k) <= 7}
             if len(self.inner) > REMEMBERED // 2:
                 self.inner = {}
-        first, *pieces = text.split(" ")
-        missing = list(set(pieces).difference(self.inner))
-        if missing:
-            self._learn(missing)
-        lead = self.leading.get(first)
-        if lead is None:
-            if len(self.leading) > REMEMBERED // 10:
-                self.leading.clear()
-            lead = self.leading[first] = self.whole(first)
-        return lead + b"".join(map(self.inner.__getitem__, pieces))
+        if len(self.leading) > REMEMBERED // 10:
+            self.leading.clear()
+        cut = [None if self.uncut else text.split(" ") for text in texts]
+        first = [None if pieces is None else pieces.pop(0) for pieces in cut]
+        unknown = set(chain.from_iterable(pieces for pieces in cut if pieces)).difference(self.inner)
+        # blanks that white space or nothing follows; pieces of this kind are never known
+        uneven = {piece for piece in unknown if not piece or piece[0].isspace()}
+        if uneven:
+            cut = [None if pieces and not uneven.isdisjoint(pieces) else pieces for pieces in cut]
+            unknown = set(chain.from_iterable(pieces for pieces in cut if pieces)).difference(self.inner)
+        self._learn(list(unknown))
+        new = list({lead for lead, pieces in zip(first, cut) if pieces is not None}.difference(self.leading))
+        for lead, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.leading[lead] = np.array(found.ids, self.kind).tobytes()
+        get = self.inner.__getitem__
+        return [self.whole(text) if pieces is None else self.leading[lead] + b"".join(map(get, pieces)) for text, lead, pieces in zip(texts, first, cut)]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", end: int = 0) -> tuple[DataFrame, int]:
@@ -95,7 +103,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: s
         own = shared.value
         encoder, tail = own.get("encoder") or own.setdefault("encoder", Encoder(own["spec"], kind)), np.array([end], kind).tobytes()
         for batch in batches:
-            blobs = [encoder(t.as_py() or "") + tail for t in batch["text"]]
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            blobs = [blob + tail for begin, end in portions(texts, PORTION) for blob in encoder(texts[begin:end])]
             sizes = pa.array([len(b) // width for b in blobs], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, pa.array(blobs, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 

@@ -150,6 +150,23 @@ def test_tokens_edges(spark, docs, tmp_path):
     assert tokens.read_tokens(spark, f"{tmp_path}/b").collect() == []
 
 
+def test_tokens_are_those_of_the_library(spark, tmp_path):
+    """Ids of special tokens, control characters, tabs and runs of blanks against the plain library on whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|> <|endoftext|>\n", "tab\there \t and", "two  blanks", " lead", "trail ", "a\n b\nc", "\x00 \x01\x1c d", "\u00a0 e\u2003f",
+             "it's <|endoftext|>'s", None, "", " ", "über 中文 😀 " * 40, "<|endoftext |>", "z" * 5000, "w <|endoftext|> " * 30]
+    plain = Tokenizer.from_file(path)
+    for name, part in (("a", texts), ("b", texts * 3)):
+        rows = spark.createDataFrame(list(enumerate(part)), "doc_id long, text string")
+        tokens.write_tokens(rows, f"{tmp_path}/{name}", path)
+        got = {r["doc_id"]: r["ids"] for r in tokens.read_tokens(spark, f"{tmp_path}/{name}").collect()}
+        for i, text in enumerate(part):
+            assert got[i] == [*plain.encode(text or "", add_special_tokens=False).ids, 0]
+
+
 def test_top_k_edges(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]),
