@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -273,7 +274,7 @@ def align(
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text).cast("binary").alias("text"))
     long, blob = T.LongType(), T.BinaryType()
-    fields = [("block", long), ("row", packed.schema["row"].dataType), ("n_a", long), ("n_b", long), ("n_groups", long), ("n_links", long), ("groups_sha256", T.StringType()),
+    fields = [("block", long), ("row", nullable(packed.schema["row"].dataType)), ("n_a", long), ("n_b", long), ("n_groups", long), ("n_links", long), ("groups_sha256", T.StringType()),
               ("groups", T.StringType()), ("places", blob), ("width", T.IntegerType()), ("sizes", blob), ("ordinals", blob), ("pairs", T.ArrayType(long)), ("times", T.ArrayType(long))]
     schema = T.StructType([T.StructField(a, b) for a, b in fields])
     blocks = cut(packed.mapInArrow(run, schema), "aligned", "zstd")
@@ -282,6 +283,14 @@ def align(
     return out if groups else out.drop("groups")
 
 
+def nullable(kind: T.StructType) -> T.StructType:
+    """The type with every part nullable, as tasks return it."""
+    text = kind.json()
+    for part in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{part}":false', f'"{part}":true')
+    return T.StructType.fromJson(json.loads(text))
+
+
 def counted(blocks: DataFrame, vocabulary: int) -> DataFrame:
     """(of, pair, count, best) of the pairs of every block: the count in all blocks, and whether it is the highest
     of the pair's B id."""
