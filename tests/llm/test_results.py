@@ -334,6 +334,19 @@ def test_cut_words_leave_no_window(spark, docs):
         assert (sliced[i]["spans"], sliced[i]["items"]) == (whole[i]["spans"], whole[i]["items"])
 
 
+def test_parities_never_exclude_similar_sets():
+    from harrow.llm.jaccard import apart, packed, parities, unpacked
+
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, int(rng.integers(1, 900))).astype(np.uint64)]))
+        assert apart(parities(a), parities(b)) <= len(np.setxor1d(a, b))
+        assert (unpacked(packed(a)) == a >> np.uint64(16)).all()
+    none = np.zeros(0, np.uint64)
+    assert apart(parities(none), parities(none)) == 0 and len(unpacked(packed(none))) == 0
+
+
 def least_of_similar(rows: list[tuple[int | None, str | None]]) -> list[int]:
     """The least id of every class of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
     sets = []
