@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+from .substrings import Sieve
+
 #: A sentence with the marks and white space that end it; a line end closes it as well. Marks that numbers and
 #: addresses hold too (3.5, a.org) end it only before white space.
 SOFT = ".!?\u2026"
@@ -71,8 +74,9 @@ def runs(sentences: list[str], several: int, min_words: int = 0) -> tuple[list[i
     return ends, [b" ".join(filter(None, flat[i:e])) for i, e in enumerate(ends)]
 
 
-def spans(ids: DataFrame, several: int) -> DataFrame:
-    """Rows (h1, h2, doc_id, at) of every run: 128 bits of hash, the document, its tie-breaker and the first sentence."""
+def spans(ids: DataFrame, several: int, bits=None) -> DataFrame:
+    """Rows (h1, h2, doc_id, at) of every run, or of those that pass the broadcast sieve `bits`: 128 bits of hash, the document, its
+    tie-breaker and the first sentence."""
 
     def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -86,8 +90,12 @@ def spans(ids: DataFrame, several: int) -> DataFrame:
                 start += range(len(keys))
                 hashes += [digest(x) for x in keys]
             both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            rows = pa.array(row, pa.int64())
-            at = batch["tie"].to_numpy()[np.array(row, np.int64)] << 32 | np.array(start, np.int64)
+            of, begin = np.array(row, np.int64), np.array(start, np.int64)
+            if bits is not None:
+                kept = Sieve.passes(bits.value, both[:, 0].view(np.uint64))
+                both, of, begin = both[kept], of[kept], begin[kept]
+            rows = pa.array(of)
+            at = batch["tie"].to_numpy()[of] << 32 | begin
             yield pa.RecordBatch.from_arrays(
                 [pa.array(both[:, 0]), pa.array(both[:, 1]), batch["doc_id"].take(rows), pa.array(at)], names=["h1", "h2", "doc_id", "at"])
 
@@ -103,9 +111,10 @@ def drop_repeated_spans(
 
     Every run of `several` consecutive sentences, however short, is hashed and joined globally, and a text of fewer
     sentences as a whole. Sentences covered by a run that also starts earlier (smaller id, or the same
-    document, earlier start) go; runs are judged on the input. White space does not count. The first
-    occurrence is a minimum combined before the shuffle, and the join back has one row per hash on
-    one side, so a run that a third of the documents share is split by adaptive execution.
+    document, earlier start) go; runs are judged on the input. White space does not count. Hashes are counted first, and
+    those that repeat are broadcast as a sieve of fixed size, so runs that occur once are not shuffled. The first
+    occurrence is a minimum combined before the shuffle; it is written, and the join back has one row per hash on
+    that side, so a run that a third of the documents share is split by adaptive execution.
 
     Null and empty texts have no sentences; kept is then the text itself. Rows that repeat id and text
     are one document and change alike; rows of one id with other texts are told apart by the text's
@@ -113,9 +122,12 @@ def drop_repeated_spans(
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     packed = packed.withColumn("tie", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
-    found = spans(packed.select("doc_id", "tie", "text"), several)
+    ids = packed.select("doc_id", "tie", "text")
+    seen = spans(ids, several).groupBy(F.col("h1").alias("key")).agg(F.count("*").alias("n")).filter("n > 1")
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(seen))
+    found = cut(spans(ids, several, sieve), "runs", "zstd")
     place = F.struct("doc_id", "at")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    first = cut(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times"), "first_runs", "zstd")
     later = found.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     # bounded by a document's own sentences
     start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
