@@ -204,7 +204,8 @@ def _boot(spark, sf):
 @query("bootstrap_draws", f"select a.tag, b, count(*) n, {sround('sum(sr)')} total from boot_draws a join boot_src s on a.tag=s.tag and a.idx=s.j group by 1,2")
 def bootstrap_draws(spark, sf):
     out = B.bootstrap_draws(_boot(spark, sf), ["tag"], "strat", DRAWS)
-    return out.groupBy("tag", "b").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("x")).alias("total"))
+    long = out.select("tag", "n", F.posexplode("total").alias("b", "total"))
+    return long.select("tag", (F.col("b") + 1).cast("long").alias("b"), "n", rounded("total").alias("total"))
 
 
 BOOT = {"ci_lower": "quantile_cont(sh,0.025)", "median_bs": "quantile_cont(sh,0.5)", "ci_upper": "quantile_cont(sh,0.975)",

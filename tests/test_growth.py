@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+
+from harrow.operators import backtest as B
 from harrow.sources import tables as t
 
 
@@ -23,3 +26,24 @@ def test_bars_have_more_partitions_as_the_table_grows(spark, tmp_path, monkeypat
     assert bars.count() == 1200 and bars.select("symbol").distinct().count() == 60
     assert t.predictions(spark, sf).rdd.getNumPartitions() == 12
     assert t.layout_parts(spark, 0) == 1
+
+
+def test_draws_are_summed_in_one_row_per_key(spark):
+    """No row per slot or draw is shuffled; sums and ratios are those of a plain version."""
+    rng = np.random.default_rng(3)
+    values = {1: rng.normal(0, 0.1, 9), 2: np.full(5, 0.1), 3: np.array([0.2])}
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(i), float(x)) for k, v in values.items() for i, x in enumerate(v)] + [(4, dt.date(2020, 1, 1), None), (None, dt.date(2020, 1, 1), 0.3)]
+    trades = spark.createDataFrame(rows, "tag int, d date, strat double")
+    out = {r["tag"]: r for r in B.bootstrap_draws(trades, ["tag"], "strat", 40).collect()}
+    assert sorted(out, key=str) == [1, 2, 3, 4, None]
+    for k, v in values.items():
+        n = len(v)
+        for b in range(1, 41):
+            x = [v[((b * 7919 + j * 104729) % 1000003 * ((b * 31 + j * 17 + 7) % 999983) + b * j) % 2147483647 % n] for j in range(n)]
+            assert abs(out[k]["total"][b - 1] - sum(x)) < 1e-12
+            if len(set(x)) == 1:
+                assert out[k]["sharpe"][b - 1] is None
+            else:
+                assert abs(out[k]["sharpe"][b - 1] - (np.mean(x) - B.RISK_FREE / B.PERIODS) / np.std(x) * np.sqrt(B.PERIODS)) < 1e-9
+    assert set(out[4]["total"]) == {None} and out[4]["n"] == 1
+    assert [r["tag"] for r in B.bootstrap_sharpe(trades, ["tag"], draws=40).collect()] == [1]
