@@ -7,6 +7,7 @@ import datetime as dt
 import numpy as np
 
 from harrow.operators import backtest as B
+from harrow.operators import lagscan as G
 from harrow.sources import tables as t
 
 
@@ -47,3 +48,26 @@ def test_draws_are_summed_in_one_row_per_key(spark):
                 assert abs(out[k]["sharpe"][b - 1] - (np.mean(x) - B.RISK_FREE / B.PERIODS) / np.std(x) * np.sqrt(B.PERIODS)) < 1e-9
     assert set(out[4]["total"]) == {None} and out[4]["n"] == 1
     assert [r["tag"] for r in B.bootstrap_sharpe(trades, ["tag"], draws=40).collect()] == [1]
+
+
+def test_lag_scan_moves_series_not_draws_or_windows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, dt.date(2020, 1, 6) + dt.timedelta(weeks=i), float(rng.integers(0, 50)) if k else 3.0, float(rng.random())) for k in range(4) for i in range(90)]
+    df = spark.createDataFrame(rows, "symbol int, d date, x double, y double")
+    seen = G.static_scan(df, ["symbol"], "d", "x", "y", 6)
+    draws = G.null_scan(df, ["symbol"], "d", "x", "y", 30, 6)
+    plain = {(r["symbol"], r["lag"]): (r["r"], r["p"]) for r in G.permutation_p(seen, draws, ["symbol"], 30).collect()}
+    counted = G.permutation_p(seen, G.null_scan(df, ["symbol"], "d", "x", "y", 30, 6, seen=seen), ["symbol"], 30)
+    assert {(r["symbol"], r["lag"]): (r["r"], r["p"]) for r in counted.collect()} == plain
+    assert len(plain) == 24 and all(plain[0, lag] == (None, 0.0) for lag in range(1, 7))
+    one = {(r["lag"], r["b"]): r["r"] for r in draws.filter("symbol = 2").collect()}
+    x, y = [np.array([r[c] for r in rows if r[0] == 2]) for c in (2, 3)]
+    for lag, b in ((1, 1), (6, 30)):
+        j = range(90 - lag)
+        order = sorted(j, key=lambda i: (((b * 7919 + i * 104729) % 1000003 * ((b * 31 + i * 17 + 7) % 999983) + b * i) % 2147483647, i))
+        assert abs(one[lag, b] - np.corrcoef(x[order], y[lag:])[0, 1]) < 1e-12
+    lags = spark.createDataFrame([(1, 2), (2, 5), (2, 7)], "symbol int, lag int")
+    windows = G.rolling_scan(df, ["symbol"], "d", "x", "y", lags)
+    assert {(r["symbol"], r["lag"]) for r in windows.select("symbol", "lag").distinct().collect()} == {(1, 2), (2, 5), (2, 7)}
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning(" in line and "lag" in line.split("hashpartitioning(")[1]]
