@@ -23,8 +23,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (Jaccard similarity of their 5-word shingles of 0.8 or more), the one
-    with the smallest id."""
+    """One document of each class of near-duplicates, the one with the smallest id: links of the trie of SimHash fingerprints that an
+    exact check (Jaccard similarity of 5-word shingles of 0.8 or more) confirms, and similar texts that the trie cannot reach."""
     return drop_similar(docs)
 
 

@@ -1,4 +1,5 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: prefix-filtered set join and classes."""
+"""Near-duplicates: SimHash links of the trie, checked by the exact Jaccard similarity of word shingles, and a prefix-filtered
+set join for the similar texts that no bit budget reaches."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from harrow.sources.sinks import release, stage
 
 from .common import components, cut
+from .simhash import fingerprint, near_groups
 from .substrings import Sieve
 
 #: Documents sampled for frequent shingles, and how many of these are told to the tasks. They only set the order of a
@@ -57,6 +59,14 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s % np.uint64(places)).astype(np.int64), minlength=places) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(p: bytes) -> bytes:
+    """Parities on 256 places."""
+    a = np.frombuffer(p, np.uint8)
+    while len(a) > 32:
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return a.tobytes()
+
+
 def apart(x: bytes, y: bytes) -> int:
     """Places in which two parities differ, on the places of the shorter one."""
     a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
@@ -77,8 +87,9 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, size: int) -> DataFrame:
-    """Rows (v, n, first, tie, prefix, parities) of the distinct shingle sets: name, size, least (id, tie), a text's tie, and the rarest
-    n - ceil(0.8 n) + 1 shingles; two sets with a similarity of 0.8 or more share one of these."""
+    """Rows (v, n, first, tie, fp, prefix, parities, sign) of the distinct shingle sets: name, size, least (id, tie), a text's tie and
+    fingerprint, the rarest n - ceil(0.8 n) + 1 shingles (two sets with a similarity of 0.8 or more share one of these), and parities,
+    also on 256 places as four longs."""
     order = _frequent(texts, size)
     at = np.argsort(order)
     shared = texts.sparkSession.sparkContext.broadcast((order[at], at))
@@ -86,9 +97,10 @@ def _prefixes(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            v, n, prefix, odd = [], [], [], []
+            v, n, fp, prefix, odd = [], [], [], [], []
             for text in batch["text"]:
                 s = shingles(text.as_py(), size)
+                fp.append(fingerprint(text.as_py(), size))
                 v.append(name(s))
                 n.append(len(s))
                 odd.append(parities(s))
@@ -96,15 +108,17 @@ def _prefixes(texts: DataFrame, size: int) -> DataFrame:
                     k = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[k] == s, rank[k], -1), kind="stable")]
                 prefix.append(s[:len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64))
+            sign = np.frombuffer(b"".join(map(folded, odd)), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["tie"], pa.array(v, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(odd, pa.binary())],
-                names=["doc_id", "tie", "v", "n", "prefix", "parities"])
+                [batch["doc_id"], batch["tie"], pa.array(v, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)),
+                 pa.array(prefix, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * 4, pa.int32()), pa.array(sign))],
+                names=["doc_id", "tie", "v", "n", "fp", "prefix", "parities", "sign"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("doc_id", "tie", "text").mapInArrow(run, f"doc_id {kind}, tie long, v long, n int, prefix array<long>, parities binary")
+    rows = texts.select("doc_id", "tie", "text").mapInArrow(run, f"doc_id {kind}, tie long, v long, n int, fp long, prefix array<long>, parities binary, sign array<long>")
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tie"))
     return cut(rows.groupBy("v").agg(
-        F.min(named).alias("first"), F.min("tie").alias("tie"), *[F.first(c).alias(c) for c in ("n", "prefix", "parities")]), "shingle_sets")
+        F.min(named).alias("first"), F.min("tie").alias("tie"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", "prefix", "parities", "sign")]), "shingle_sets")
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
@@ -170,29 +184,56 @@ def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) ->
     return out
 
 
-def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5) -> DataFrame:
+def _trie_pairs(sets: DataFrame, budget: int) -> DataFrame:
+    """Pairs (a, b) of a set and the least one that the trie of fingerprints links it with, over one or more links of `budget` bits."""
+    groups = near_groups(sets.select("fp", F.col("v").alias("doc_id")), budget=budget)
+    return sets.select("v", "fp").join(groups, "fp").filter("v <> component_id").select(F.col("component_id").alias("a"), F.col("v").alias("b"))
+
+
+def _hub_pairs(tokens: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a set and one smallest set under its shingles: of those of its own magnitude and the next lower one, the one
+    that most of its shingles name. A set has one such pair at most."""
+    bucket = F.floor(F.log(F.col("n").cast("double")) * 4).cast("int")
+    tokens = tokens.withColumn("bucket", bucket)
+    hub = tokens.groupBy("t", "bucket").agg(F.min(F.struct("n", "v")).alias("hub"))
+    sought = tokens.select("t", "v", "n", F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"))
+    named = sought.join(hub, ["t", "bucket"]).filter("v <> hub.v and hub.n <= n and 5 * hub.n >= 4 * n").groupBy("v", "hub").agg(F.count("*").alias("times"))
+    best = named.groupBy("v").agg(F.max_by("hub.v", F.struct("times", -F.col("hub.n"), -F.col("hub.v"))).alias("a"))
+    return best.select("a", F.col("v").alias("b"))
+
+
+def _open_pairs(tokens: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of sets in different classes `m` that share a shingle and that size, position and parities leave open.
+
+    Sets meet in classes of size of a ratio of 1.3: one with the larger ones of its own class and of the next.
+    """
+    mixed = tokens.groupBy("t").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).filter("lo <> hi").select("t")
+    signs = sets.select("v", *[F.get("sign", F.lit(i)).alias(f"s{i}") for i in range(4)])
+    rows = tokens.join(mixed, "t").join(signs, "v").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.3))).cast("int"))
+    rows = cut(rows, "open")
+    one = rows.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    other = rows.select("t", "band", *[F.col(c).alias(f"{c}_2") for c in ("v", "n", "pos", "m", "s0", "s1", "s2", "s3")])
+    differ = " + ".join(f"bit_count(s{i} ^ s{i}_2)" for i in range(4))
+    fine = f"m <> m_2 and (n < n_2 or n = n_2 and v < v_2) and 5 * n >= 4 * n_2 and 9 * least(n - pos, n_2 - pos_2) >= 4 * (n + n_2) and 9 * ({differ}) <= n + n_2"
+    return one.join(other, ["t", "band"]).filter(fine).select(F.col("v").alias("a"), F.col("v_2").alias("b"))
+
+
+def similar_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, budget: int = 4) -> DataFrame:
     """Rows (v, first, class) of the distinct shingle sets; sets with a Jaccard similarity of 0.8 or more are linked and
     `class` is the least name that is reachable.
 
-    Links come in two rounds. First each set is compared with the smallest one of its magnitude under each prefix shingle, which
-    joins dense groups at the cost of their rows; then all pairs of a shingle that are in different classes still and
-    that size and position leave open. Both compare whole sets of hashes; nothing is sampled or capped.
+    Links come in two rounds. First the trie of SimHash fingerprints links sets within `budget` bits, and each set is compared with a
+    smallest one under its shingles, so that dense groups are joined at the cost of their rows. Similar sets may differ in
+    more bits (17 of 64 were seen), so then come all pairs under a shingle that are in different classes still. All of these
+    are decided by whole sets of hashes; nothing is sampled or capped.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     sets = _prefixes(texts, size)
-    bucket = F.floor(F.log(F.col("n").cast("double")) * 4).cast("int")
-    tokens = _tokens(sets).withColumn("bucket", bucket)
-    hub = tokens.groupBy("t", "bucket").agg(F.min(F.struct("n", "v")).alias("hub"), F.count("*").alias("rows")).filter("rows > 1")
-    near = tokens.join(hub, ["t", "bucket"]).filter("v <> hub.v and 5 * hub.n >= 4 * n")
-    links = _similar(cut(near.select(F.col("hub.v").alias("a"), F.col("v").alias("b")).distinct(), "pairs"), sets, texts, size)
-    part = components(links)
-    tokens = tokens.drop("bucket").join(part, "v", "left").withColumn("m", F.coalesce("m", "v"))
-    mixed = tokens.groupBy("t").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).filter("lo <> hi").select("t")
-    tokens = cut(tokens.join(mixed, "t"), "open")
-    other = tokens.select("t", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("m").alias("m2"))
-    left = tokens.join(other, "t").filter(
-        "m <> m2 and (n < n2 or n = n2 and v < v2) and 5 * n >= 4 * n2 and 9 * least(n - pos, n2 - pos2) >= 4 * (n + n2)")
-    more = _similar(cut(left.select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct(), "pairs"), sets, texts, size)
+    tokens = _tokens(sets)
+    first = _trie_pairs(sets, budget).union(_hub_pairs(tokens)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = _similar(cut(first.distinct(), "pairs"), sets, texts, size)
+    tokens = tokens.join(components(links), "v", "left").withColumn("m", F.coalesce("m", "v"))
+    more = _similar(cut(_open_pairs(tokens, sets).distinct(), "pairs"), sets, texts, size)
     classes = components(links.union(more))
     return sets.select("v", "first").join(classes, "v", "left").select("v", "first", F.coalesce("m", "v").alias("class"))
 
