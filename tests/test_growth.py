@@ -71,3 +71,20 @@ def test_lag_scan_moves_series_not_draws_or_windows(spark):
     assert {(r["symbol"], r["lag"]) for r in windows.select("symbol", "lag").distinct().collect()} == {(1, 2), (2, 5), (2, 7)}
     plan = windows._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "hashpartitioning(" in line and "lag" in line.split("hashpartitioning(")[1]]
+
+
+def test_stacks_read_the_predictions_once(spark, tmp_path, monkeypatch):
+    """One pass makes returns, predictions of all models and splits; rows and splits are those of the returns."""
+    from harrow.catalog import fits
+    from harrow.operators import joins as J
+    from harrow.operators import splits as S
+
+    sf = lines(spark, tmp_path, 6, 120)
+    own, calls = t.returns, []
+    monkeypatch.setattr(t, "returns", lambda *a, **k: calls.append(a) or own(*a, **k))
+    out = {(r["tag"], r["d"]): r["split"] for r in fits.meta(spark, sf).collect()}
+    assert len(calls) == 1
+    plain = S.chrono_split(own(spark, sf).select("tag", "d"), ["tag"], "d", 7)
+    assert out == {(r["tag"], r["d"]): r["split"] for r in plain.collect()} and {"train", "val", "test"} == set(out.values())
+    wide = J.models_wide(t.predictions(spark, sf), ["tag", "d"], "model", [1, 2, 3, 4], "p", ["y_true"])
+    assert "Join" not in fits.split_wide(wide)._jdf.queryExecution().executedPlan().toString()
