@@ -88,3 +88,68 @@ def test_stacks_read_the_predictions_once(spark, tmp_path, monkeypatch):
     assert out == {(r["tag"], r["d"]): r["split"] for r in plain.collect()} and {"train", "val", "test"} == set(out.values())
     wide = J.models_wide(t.predictions(spark, sf), ["tag", "d"], "model", [1, 2, 3, 4], "p", ["y_true"])
     assert "Join" not in fits.split_wide(wide)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_complete_rows_are_those_of_na_drop(spark):
+    """NaN counts as missing, in any numeric type; text only where null."""
+    from harrow.operators.features import complete
+
+    nan = float("nan")
+    rows = [(1, 1.0, "a"), (2, None, "a"), (3, nan, "a"), (4, 1.0, None), (None, 1.0, "a"), (6, float("inf"), ""), (7, 0.0, "NaN")]
+    df = spark.createDataFrame(rows, "i int, x double, s string").withColumn("f", df_float("x"))
+    assert sorted(map(str, complete(df).collect())) == sorted(map(str, df.na.drop(how="any").collect()))
+    assert complete(df).count() == 3
+
+
+def df_float(c):
+    from pyspark.sql import functions as F
+
+    return F.col(c).cast("float")
+
+
+def test_empty_columns_are_found_a_few_at_a_time(spark):
+    from harrow.operators.features import drop_all_null_columns
+
+    df = spark.createDataFrame([(1, None, None, 2.0, None), (None, None, "x", None, None)], "a int, b int, c string, d double, e double")
+    for at_once in (None, 1, 2, 12):
+        assert drop_all_null_columns(df, at_once).columns == ["a", "c", "d"]
+    assert drop_all_null_columns(df.filter("a > 5"), 2).columns == []
+
+
+def test_exponential_means_in_one_sort(spark):
+    """Ordered by segment, all layers share a sort; the values are those of the order by day."""
+    from harrow.operators.ordered import SEGMENT, ewm_layers, ewm_reach, over_rows, side_by_side
+
+    day, rng = dt.date(2000, 1, 1), np.random.default_rng(4)
+    n = SEGMENT + 150
+    rows = [(k, day + dt.timedelta(i), float(v) if rng.random() > 0.1 else None) for k in (1, 2) for i, v in enumerate(rng.standard_normal(n))]
+    df = spark.createDataFrame(rows, "k int, d date, x double")
+    lag = lambda name, c: lambda ctx: {name: np_lag(c, ctx)}
+    stack = lambda: [*side_by_side(ewm_layers("a", "x", 12), ewm_layers("b", "x", 26)), lag("l", "a"), *ewm_layers("c", "l", 9), lag("m", "c")]
+    plain, seg = (over_rows(df, ["k"], "d", stack(), before=3 * ewm_reach(26), segmented=s) for s in (False, True))
+    sorts = lambda x: x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [")
+    assert sorts(seg) == 2 < sorts(plain)
+    assert plain.columns == seg.columns
+    assert sorted(plain.collect(), key=str) == sorted(seg.collect(), key=str)
+
+
+def np_lag(c, ctx):
+    from pyspark.sql import functions as F
+
+    return F.lag(c, 3).over(ctx.w)
+
+
+def test_integrated_table_keeps_columns_no_layer_looks_at(spark):
+    """Columns that travel through the windows as one come out where they were, and a new column replaces one of the same name."""
+    from harrow.plans.integrate import integrate
+
+    day = dt.date(2010, 1, 4)
+    rows = [(1, day + dt.timedelta(i), 10.0 + i % 7, 11.0 + i % 7, 9.0, 5.0 + i % 3, float(i), -1.0) for i in range(60)]
+    market = spark.createDataFrame(rows, "symbol int, d date, close double, high double, low double, volume double, extra double, hl_expansion double")
+    usd = spark.createDataFrame([(r[1], 2.0 + r[0] % 2 + (k % 5) / 10, "u") for k, r in enumerate(rows)], "d date, close double, name string")
+    out = integrate(market, ["symbol"], {"usd_": usd}, drop_empty=False)
+    assert out.columns.index("extra") < out.columns.index("usd_close") < out.columns.index("usd_name")
+    assert out.columns.count("hl_expansion") == 1
+    got = {r["d"]: r for r in out.collect()}
+    assert got and all(r["extra"] == (d - day).days and r["usd_name"] == "u" and r["hl_expansion"] > 0 for d, r in got.items())
+    assert "__rest" in out._jdf.queryExecution().optimizedPlan().toString()
