@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from harrow.operators import backtest as B
 from harrow.operators import lagscan as G
@@ -96,17 +97,11 @@ def test_complete_rows_are_those_of_na_drop(spark):
 
     nan = float("nan")
     rows = [(1, 1.0, "a"), (2, None, "a"), (3, nan, "a"), (4, 1.0, None), (None, 1.0, "a"), (6, float("inf"), ""), (7, 0.0, "NaN")]
-    df = spark.createDataFrame(rows, "i int, x double, s string").withColumn("f", df_float("x"))
+    df = spark.createDataFrame(rows, "i int, x double, s string").withColumn("f", F.col("x").cast("float"))
     assert sorted(map(str, complete(df).collect())) == sorted(map(str, df.na.drop(how="any").collect()))
     assert complete(df).count() == 3
 
 
-def df_float(c):
-    from pyspark.sql import functions as F
-
-    return F.col(c).cast("float")
-
-
 def test_empty_columns_are_found_a_few_at_a_time(spark):
     from harrow.operators.features import drop_all_null_columns
 
@@ -124,7 +119,7 @@ def test_exponential_means_in_one_sort(spark):
     n = SEGMENT + 150
     rows = [(k, day + dt.timedelta(i), float(v) if rng.random() > 0.1 else None) for k in (1, 2) for i, v in enumerate(rng.standard_normal(n))]
     df = spark.createDataFrame(rows, "k int, d date, x double")
-    lag = lambda name, c: lambda ctx: {name: np_lag(c, ctx)}
+    lag = lambda name, c: lambda ctx: {name: F.lag(c, 3).over(ctx.w)}
     stack = lambda: [*side_by_side(ewm_layers("a", "x", 12), ewm_layers("b", "x", 26)), lag("l", "a"), *ewm_layers("c", "l", 9), lag("m", "c")]
     plain, seg = (over_rows(df, ["k"], "d", stack(), before=3 * ewm_reach(26), segmented=s) for s in (False, True))
     sorts = lambda x: x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [")
@@ -133,12 +128,6 @@ def test_exponential_means_in_one_sort(spark):
     assert sorted(plain.collect(), key=str) == sorted(seg.collect(), key=str)
 
 
-def np_lag(c, ctx):
-    from pyspark.sql import functions as F
-
-    return F.lag(c, 3).over(ctx.w)
-
-
 def test_integrated_table_keeps_columns_no_layer_looks_at(spark):
     """Columns that travel through the windows as one come out where they were, and a new column replaces one of the same name."""
     from harrow.plans.integrate import integrate
@@ -153,3 +142,20 @@ def test_integrated_table_keeps_columns_no_layer_looks_at(spark):
     got = {r["d"]: r for r in out.collect()}
     assert got and all(r["extra"] == (d - day).days and r["usd_name"] == "u" and r["hl_expansion"] > 0 for d, r in got.items())
     assert "__rest" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_crops_are_laid_out_by_symbol_as_bars_grow(spark, tmp_path, monkeypatch):
+    """Windows of a crop follow the layout of its series and are not shuffled again."""
+    from harrow.catalog import jobs
+
+    sf = lines(spark, tmp_path, 60, 120)
+    monkeypatch.setattr(t, "LAYOUT_ROWS", 100)
+    monkeypatch.setattr(jobs, "cal_week", lambda *a: None)
+    monkeypatch.setattr(jobs, "backbone", lambda *a: None)
+    shared = dict.fromkeys(("usd_", "inf_", "vix_"))
+    bars = jobs.cut(t.bars(spark, sf), "bars")
+    for crop, odd in (("corn", 1), ("coffee", 0)):
+        daily, _, _ = jobs.crop_sources(spark, sf, crop, bars, shared)
+        assert daily.rdd.getNumPartitions() == 36
+        assert {r["symbol"] for r in daily.select("symbol").distinct().collect()} == {i for i in range(60) if i % 2 == odd}
+        assert daily._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
