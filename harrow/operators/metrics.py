@@ -22,10 +22,18 @@ THRESHOLDS = 90  # 0.05, 0.06, .. 0.94
 def rank_fraction(df: DataFrame, keys: list[str], c: str, out: str, bounded: bool = False) -> DataFrame:
     """Average rank of a value in its group over the group size.
 
-    Ranks come from a table of distinct values with counts, scanned along value ranges.
+    Ranks come from a table of distinct values with counts, scanned along value ranges. bounded: the caller knows that a key holds at
+    most one row per day; then rows are ranked where a key's rows lie, with one sort, and a layout by keys is kept.
     """
+    if bounded:
+        group = [*keys, F.col(c).isNull()]
+        whole = F.count(F.lit(1))
+        ties = whole.over(Window.partitionBy(*group, c))
+        upto = whole.over(Window.partitionBy(*group).orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (*keys, c)])
+        return df.withColumn(out, F.when(known, (upto - ties + (ties + 1) / 2.0) / whole.over(Window.partitionBy(*group))))
     counts = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__c"))
-    below = running_by_value(counts, keys, c, {"__cum": Run("sum", F.col("__c"))}, bounded)
+    below = running_by_value(counts, keys, c, {"__cum": Run("sum", F.col("__c"))})
     size = counts.groupBy(*keys).agg(F.sum("__c").alias("__size"))
     rank = F.col("__cum") - F.col("__c") + (F.col("__c") + 1) / 2.0
     ranked = below.join(size, keys).select(*keys, c, (rank / F.col("__size")).alias(out))

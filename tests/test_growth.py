@@ -159,3 +159,19 @@ def test_crops_are_laid_out_by_symbol_as_bars_grow(spark, tmp_path, monkeypatch)
         assert daily.rdd.getNumPartitions() == 36
         assert {r["symbol"] for r in daily.select("symbol").distinct().collect()} == {i for i in range(60) if i % 2 == odd}
         assert daily._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+
+
+def test_bounded_ranks_stay_in_the_layout_of_their_keys(spark):
+    """Ranks by windows are those of the table of distinct values, and move no row; ties, repeated rows, missing values and keys."""
+    from harrow.operators.metrics import rank_fraction
+
+    rng = np.random.default_rng(11)
+    rows = [(int(k), s, float(v) if v else None, i) for i, (k, s, v) in enumerate(zip(rng.integers(0, 5, 300), rng.choice(["val", "test"], 300), rng.integers(0, 9, 300)))]
+    rows += [(1, "val", float("nan"), 900), (1, "val", -0.0, 901), (1, "val", 0.0, 902), (None, "val", 1.0, 903), (2, None, 1.0, 904), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "tag int, split string, v double, i int").repartition(7, "tag")
+    ranked = rank_fraction(df, ["tag", "split"], "v", "rank", bounded=True)
+    plain = rank_fraction(df, ["tag", "split"], "v", "rank")
+    take = lambda t: sorted((r["i"], r["rank"]) for r in t.select("i", "rank").fillna(-1.0, ["rank"]).collect())
+    assert take(ranked) == take(plain) and len(take(ranked)) == len(rows)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
