@@ -64,15 +64,14 @@ def test_forest_rows_are_even_and_node_sums_are_taken_in_small_groups(spark, mon
     rng = np.random.default_rng(6)
     rows = [(float(a), float(b), int(a > 0), float(a), "train" if i % 4 else "test") for i, (a, b) in enumerate(rng.standard_normal((900, 2)))]
     df = spark.createDataFrame(rows, "a double, b double, y int, r double, split string").coalesce(1)
+    as_it_lies, sums = X._even(X._train(df, ["a", "b"], "y"))
+    assert sums == {} and as_it_lies.rdd.getNumPartitions() == 1
     monkeypatch.setattr(X, "FOREST_ROWS", 20)
-    monkeypatch.setattr(X, "LEAST_ROWS", 10)
     cores = spark.sparkContext.defaultParallelism
-    laid = X._even(X._train(df, ["a", "b"], "y"))
+    laid, sums = X._even(X._train(df, ["a", "b"], "y"))
     sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id()).count().collect()]
-    assert len(sizes) % cores == 0 or len(sizes) == 67
-    assert sum(sizes) == 675 and max(sizes) - min(sizes) <= 1 + len(sizes) // 8
-    for kind in ("class", "regression"):
-        assert X._forest_params(kind, False, None)["maxMemoryInMB"] <= 8
+    assert laid.rdd.getNumPartitions() % cores == 0 and sum(sizes) == 675 and max(sizes) <= 20 + 1
+    assert sums["maxMemoryInMB"] <= 8
     model = X.fit_forest(df, ["a", "b"], "y", rounds=20)
     assert model.getNumTrees == 20 and model.featureImportances[0] > 0.8
     scored = X.probability(model, X.assembled(df, ["a", "b"])).select("y", "p").toPandas()
