@@ -114,11 +114,12 @@ view("shuffle_src", "select tag, r, row_number() over (partition by tag order by
  select tag, b, row_number() over (partition by tag, b order by h%2147483647, j)-1 pos, {sround('r')} r from k""")
 def permutation_draws(spark, sf):
     src = t.predictions(spark, sf).filter(F.col("model") == 1)
-    src = positions(S.stride(src, ["tag"], "d", 7).select("tag", "d", "r"), ["tag"], "d")
+    # rounded once, not for each draw
+    src = positions(S.stride(src, ["tag"], "d", 7).select("tag", "d", rounded("r").alias("r")), ["tag"], "d")
     pairs = F.array_sort(F.collect_list(F.struct("rn", "r")))
     arrays = src.groupBy("tag").agg(F.transform(pairs, lambda s: s["r"]).alias("x"))
     out = S.permuted_arrays(arrays, ["tag"], "x", 300).select("tag", "b", F.posexplode("shuffled").alias("pos", "r"))
-    return out.select("tag", "b", F.col("pos").cast("long").alias("pos"), rounded("r").alias("r"))
+    return out.select("tag", "b", F.col("pos").cast("long").alias("pos"), "r")
 
 
 view("feature_split", """
