@@ -130,8 +130,9 @@ view("scaled", """
 
 
 def feature_split(spark, sf):
-    s = S.chrono_split(t.returns(spark, sf).select("tag", "d", "r"), ["tag"], "d", 7).select(F.col("tag").alias("symbol"), "d", "split", "r")
-    return t.bars(spark, sf).select("symbol", "d", "close", "volume", F.lit(1.0).alias("const")).join(s, ["symbol", "d"])
+    """Inputs of bars with a return, and the split of their day; rows keep the layout of the bars."""
+    rows = t.returns_split(spark, sf, ["close", "volume"])
+    return rows.select(F.col("tag").alias("symbol"), "d", "close", "volume", F.lit(1.0).alias("const"), "split", "r")
 
 
 def scaled(spark, sf):
